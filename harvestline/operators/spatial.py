@@ -211,11 +211,12 @@ def dissolve_outline(regions: DataFrame, parent: str, digits: int = 7) -> DataFr
     """Outline of merged polygons: the edges that belong to exactly one member."""
     r = lambda c: F.round(c, digits)
     e = _edges(regions, [parent]).select(parent, r("x0").alias("x0"), r("y0").alias("y0"), r("x1").alias("x1"), r("y1").alias("y1"))
-    a, b = F.struct("x0", "y0"), F.struct("x1", "y1")
+    end = lambda i: F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"))
+    a, b = end(0), end(1)
     e = e.select(parent, F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     once = e.groupBy(parent, "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    return once.select(parent, F.col("a.x0").alias("x0"), F.col("a.y0").alias("y0"),
-                       F.col("b.x1").alias("x1"), F.col("b.y1").alias("y1"))
+    return once.select(parent, F.col("a.x").alias("x0"), F.col("a.y").alias("y0"),
+                       F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
 
 
 def zonal_median_std(pixels_in_region: DataFrame, by: Sequence[str] = ("region_id", "scene_id", "band"),
