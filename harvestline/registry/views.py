@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from harvestline.functions.metrics import score_columns
 from harvestline.functions.scalars import admin_key
 from harvestline.operators.timeseries import resample_daily
+from harvestline.session import ship_package
 from harvestline.sources.tables import with_bbox
 
 FEATURES = [f"{p}_LT{k}" for k in (4, 3, 2, 1) for p in ("evi", "sm", "t2m", "tp")]
@@ -46,6 +47,7 @@ def region_code(key: str):
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

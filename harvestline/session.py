@@ -56,3 +56,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=eager)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever the driver started. Where
+    it is installed on the executors or given by ``--py-files`` this only adds a copy."""
+    import shutil
+
+    sc = spark.sparkContext
+    if getattr(sc, "_harvestline_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="harvestline-package-")  # read by the driver only
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "harvestline"), "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._harvestline_shipped = True
