@@ -11,31 +11,35 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from harvestline.functions.ranking import _null_safe_join, with_bucket
+from harvestline.functions.ranking import BUCKETS, null_safe_join, packed, with_bucket
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
-                    buckets: int = 4096) -> DataFrame:
+                    std: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """``by`` + one column per name in ``probs`` (linear interpolation between the two
-    nearest ranks) + ``n``, the count of non-null values. Groups without any are left out."""
-    by = list(by)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v"))
+    nearest ranks) + ``n``, the count of non-null values, and the population sigma if a name
+    for it is given. Groups without any value are left out."""
+    counts = (df.where(F.col(value).isNotNull()).groupBy(packed(by).alias("_g"), F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_n")))
-    counts = with_bucket(counts, "_v", by, buckets)
-    hist = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_bn"))
-    hist = (hist.withColumn("_base", F.sum("_bn").over(W.partitionBy(*by).orderBy("_bucket")) - F.col("_bn"))
-            .withColumn("_total", F.sum("_bn").over(W.partitionBy(*by))))
+    mean = [(F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean")] if std else []
+    counts = with_bucket(counts, F.col("_v"), buckets, mean)
+    spread = [F.sum(F.pow(F.col("_v") - F.col("_mean"), 2) * F.col("_n")).alias("_bss")] if std else []
+    hist = counts.groupBy("_g", "_bucket").agg(F.sum("_n").alias("_bn"), *spread)
+    whole = W.partitionBy("_g")  # at most ``buckets`` rows
+    hist = hist.withColumns({"_base": F.sum("_bn").over(whole.orderBy("_bucket")) - F.col("_bn"), "_total": F.sum("_bn").over(whole)})
+    if std:
+        hist = hist.withColumn("_ss", F.sum("_bss").over(whole)).drop("_bss")
     # every probability needs the ranks just below and above (total-1)*p
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("_total") - 1) * F.lit(float(p))).alias("pos"))
                        for name, p in probs.items()])
     inside = lambda w: (F.floor(w["pos"]) < F.col("_base") + F.col("_bn")) & (F.ceil(w["pos"]) >= F.col("_base"))
-    hist = (hist.withColumn("_want", F.filter(wanted, inside)).where(F.size("_want") > 0)
-            .drop("_bn"))
-    picked = _null_safe_join(counts, hist, by + ["_bucket"])
-    order = W.partitionBy(*by, "_bucket").orderBy("_v")
+    hist = hist.withColumn("_want", F.filter(wanted, inside)).where(F.size("_want") > 0).drop("_bn")
+    picked = counts.drop("_mean").join(hist, ["_g", "_bucket"])
+    order = W.partitionBy("_g", "_bucket").orderBy("_v")
     picked = picked.withColumn("_to", F.col("_base") + F.sum("_n").over(order)) \
                    .withColumn("_from", F.col("_to") - F.col("_n"))
-    picked = picked.select(*by, "_v", "_from", "_to", "_total", F.explode("_want").alias("_w"))
+    kept = ["_g", "_v", "_from", "_to", "_total"] + (["_ss"] if std else [])
+    picked = picked.select(*kept, F.explode("_want").alias("_w"))
     low, high = F.floor(F.col("_w.pos")), F.ceil(F.col("_w.pos"))
     holds = lambda r: (F.col("_from") <= r) & (r < F.col("_to"))
     aggs = []
@@ -45,11 +49,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
         hi = F.max(F.when(here & holds(high), F.col("_v")))
         frac = F.max(F.when(here, F.col("_w.pos") - low))
         aggs.append((lo + (hi - lo) * frac).alias(name))
-    return picked.groupBy(*by).agg(*aggs, F.max("_total").alias("n"))
+    if std:
+        aggs.append(F.sqrt(F.max("_ss") / F.max("_total")).alias(std))
+    out = picked.groupBy("_g").agg(*aggs, F.max("_total").alias("n"))
+    return out.select(*[F.col("_g")[c].alias(c) for c in by], *probs, *([std] if std else []), "n")
 
 
-def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:
-    return exact_quantiles(df, value, {name: 0.5}, by)
+def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median", std: str | None = None) -> DataFrame:
+    return exact_quantiles(df, value, {name: 0.5}, by, std)
 
 
 def exact_mode(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "mode") -> DataFrame:
@@ -64,4 +71,4 @@ def exact_mode(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "m
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Group statistics back to the rows. A join, not a window: the statistics are
     reduced map-side and a hot group is split by the adaptive skew join."""
-    return _null_safe_join(df, stats, list(by), "left")
+    return null_safe_join(df, stats, list(by), "left")

@@ -1,9 +1,13 @@
 """Exact ranks without one-task windows.
 
 A window without a partition key, or over one hot group, puts every row into a single
-task. Both helpers here split a group by a prefix of a row hash (uniform whatever the
-data looks like), count rows per slice, and add the slice offset to the rank inside the
-slice. The offset table has at most ``16**PREFIX`` rows per group and key.
+task. The helpers here split a group by a prefix of a row hash (uniform whatever the
+data looks like) or by value buckets, count rows per slice, and add the slice offset to
+the rank inside the slice. Offset tables have a fixed number of rows per group.
+
+Group keys travel packed in one struct: unlike plain columns, structs with equal NULL
+fields are equal, so ordinary equi-joins keep NULL groups and share the partitioning of
+the windows after them.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 PREFIX = 2  # hex digits: 256 slices of every group
+BUCKETS = 4096
 
 
 def hash_order(id_cols: Sequence[str], seed: int | str) -> Column:
@@ -20,46 +25,48 @@ def hash_order(id_cols: Sequence[str], seed: int | str) -> Column:
     return F.md5(F.concat_ws("_", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))))
 
 
+def packed(by: Sequence[str]) -> Column:
+    """Group key as one never-null column."""
+    return F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+
+
 def hash_rank(df: DataFrame, id_cols: Sequence[str], seed: int | str, by: Sequence[str] = (),
               rank: str = "rank", total: str | None = None) -> DataFrame:
     """1..n in seeded random order inside each ``by`` group (or overall)."""
-    by = list(by)
-    hashed = df.withColumn("_h", hash_order(id_cols, seed)).withColumn("_slice", F.substring("_h", 1, PREFIX))
-    slices = hashed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    hashed = df.withColumns({"_g": packed(by), "_h": hash_order(id_cols, seed)})
+    hashed = hashed.withColumn("_slice", F.substring("_h", 1, PREFIX))
+    slices = hashed.groupBy("_g", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     # one row per slice: at most 16**PREFIX rows per group
-    upto = W.partitionBy(*by).orderBy("_slice")
+    upto = W.partitionBy("_g").orderBy("_slice")
     slices = slices.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
     if total:
-        slices = slices.withColumn(total, F.sum("_n").over(W.partitionBy(*by)))
-    keys = by + ["_slice"]
-    inside = W.partitionBy(*keys).orderBy("_h", *id_cols)
-    joined = _null_safe_join(hashed, slices.drop("_n"), keys)
-    return (joined.withColumn(rank, F.col("_before") + F.row_number().over(inside))
-            .drop("_h", "_slice", "_before"))
+        slices = slices.withColumn(total, F.sum("_n").over(W.partitionBy("_g")))
+    inside = W.partitionBy("_g", "_slice").orderBy("_h", *id_cols)
+    joined = hashed.join(slices.drop("_n"), ["_g", "_slice"])
+    out = joined.withColumn(rank, F.col("_before") + F.row_number().over(inside))
+    return out.select(*df.columns, rank, *([total] if total else []))
 
 
 def value_rank(df: DataFrame, value: str, id_cols: Sequence[str], seed: int | str, by: Sequence[str] = (),
-               rank: str = "rank", total: str | None = None, buckets: int = 4096) -> DataFrame:
+               rank: str = "rank", total: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """1..n by ascending value, ties in seeded random order. Values are cut into
     monotone buckets; inside a bucket only the distinct (value, hash slice) pairs are
     ordered, so neither a hot group nor a hot value meets one task."""
-    by = list(by)
-    hashed = df.withColumn("_h", hash_order(id_cols, seed)).withColumn("_slice", F.substring("_h", 1, PREFIX))
-    counts = hashed.groupBy(*by, value, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    counts = with_bucket(counts, value, by, buckets)
-    coarse = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_bn"))
-    coarse = coarse.withColumn("_base", F.sum("_bn").over(W.partitionBy(*by).orderBy("_bucket")) - F.col("_bn"))
+    hashed = df.withColumns({"_g": packed(by), "_h": hash_order(id_cols, seed), "_v": F.struct(F.col(value).alias("v"))})
+    hashed = hashed.withColumn("_slice", F.substring("_h", 1, PREFIX))
+    counts = hashed.groupBy("_g", "_v", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    counts = with_bucket(counts, F.col("_v.v"), buckets)
+    coarse = counts.groupBy("_g", "_bucket").agg(F.sum("_n").alias("_bn"))
+    coarse = coarse.withColumn("_base", F.sum("_bn").over(W.partitionBy("_g").orderBy("_bucket")) - F.col("_bn"))
     if total:
-        coarse = coarse.withColumn(total, F.sum("_bn").over(W.partitionBy(*by)))
-    fine = W.partitionBy(*by, "_bucket").orderBy(value, "_slice")
-    counts = counts.withColumn("_in", F.sum("_n").over(fine) - F.col("_n"))
-    offsets = _null_safe_join(counts.drop("_n"), coarse.drop("_bn"), by + ["_bucket"])
-    offsets = offsets.withColumn("_before", F.col("_base") + F.col("_in")).drop("_base", "_in", "_bucket")
-    keys = by + [value, "_slice"]
-    inside = W.partitionBy(*keys).orderBy("_h", *id_cols)
-    joined = _null_safe_join(hashed, offsets, keys)
-    return (joined.withColumn(rank, F.col("_before") + F.row_number().over(inside))
-            .drop("_h", "_slice", "_before"))
+        coarse = coarse.withColumn(total, F.sum("_bn").over(W.partitionBy("_g")))
+    fine = W.partitionBy("_g", "_bucket").orderBy("_v", "_slice")
+    offsets = counts.join(coarse.drop("_bn"), ["_g", "_bucket"])
+    offsets = offsets.withColumn("_before", F.col("_base") + F.sum("_n").over(fine) - F.col("_n")).drop("_base", "_n", "_bucket")
+    inside = W.partitionBy("_g", "_v", "_slice").orderBy("_h", *id_cols)
+    joined = hashed.join(offsets, ["_g", "_v", "_slice"])
+    out = joined.withColumn(rank, F.col("_before") + F.row_number().over(inside))
+    return out.select(*df.columns, rank, *([total] if total else []))
 
 
 def magnitude(value: Column) -> Column:
@@ -67,19 +74,19 @@ def magnitude(value: Column) -> Column:
     return F.signum(value) * F.log1p(F.abs(value))
 
 
-def with_bucket(df: DataFrame, value: str, by: Sequence[str], buckets: int) -> DataFrame:
-    """Adds ``_bucket``: a monotone function of the value inside its group, computed
-    from the group's exact minimum and maximum (so a recomputation gives the same)."""
-    by = list(by)
-    numeric = magnitude(F.col(value).cast("double"))
-    ends = df.groupBy(*by).agg(F.min(numeric).alias("_lo"), F.max(numeric).alias("_hi"))
+def with_bucket(counts: DataFrame, value: Column, buckets: int = BUCKETS, extra: Sequence[Column] = ()) -> DataFrame:
+    """Adds ``_bucket``: a monotone function of the value inside its group ``_g``, computed
+    from the group's exact minimum and maximum (so a recomputation gives the same).
+    ``extra`` are more aggregates per group to attach on the way."""
+    numeric = magnitude(value.cast("double"))
+    ends = counts.groupBy("_g").agg(F.min(numeric).alias("_lo"), F.max(numeric).alias("_hi"), *extra)
     share = F.try_divide(numeric - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     bucket = F.coalesce(F.floor(share * (buckets - 1)).cast("int"), F.lit(0))
-    return _null_safe_join(df, ends, by).withColumn("_bucket", bucket).drop("_lo", "_hi")
+    return counts.join(ends, "_g").withColumn("_bucket", bucket).drop("_lo", "_hi")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on same-named keys where NULL equals NULL; no keys means a one-row side."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on same-named keys where NULL equals NULL; no keys means a one-row right side."""
     if not keys:
         row = right.select(F.struct(*right.columns).alias("_row")).scalar()
         joined = left.withColumn("_row", row)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from harvestline.functions.metrics import pearson, score_columns
 from harvestline.functions.quantiles import attach, exact_median
-from harvestline.functions.ranking import _null_safe_join
+from harvestline.functions.ranking import null_safe_join
 from harvestline.functions.scalars import base_of, lead_of, recode
 from harvestline.operators.rows import feature_type
 from harvestline.operators.sampling import top_k_per_group
@@ -27,7 +27,7 @@ def regression_metrics(df: DataFrame, obs: str = "y_true", pred: str = "y_pred",
     if not median_bias:
         return out
     bias = exact_median(pairs.select(*by, (F.col(pred) - F.col(obs)).alias("_e")), "_e", by, "med_bias").drop("n")
-    return _null_safe_join(out, bias, list(by))
+    return null_safe_join(out, bias, list(by))
 
 
 def metrics_by_setup(wide: DataFrame, keys: Sequence[str], setups: Sequence[str], obs: str = "observed", min_n: int = 2) -> DataFrame:

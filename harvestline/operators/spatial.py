@@ -223,8 +223,7 @@ def zonal_median_std(pixels_in_region: DataFrame, by: Sequence[str] = ("region_i
                      value: str = "value", nodata: float | None = 0.0) -> DataFrame:
     """Exact median and population sigma; nodata pixels are left out."""
     df = pixels_in_region if nodata is None else pixels_in_region.where(F.col(value) != nodata)
-    spread = df.groupBy(*by).agg(F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
-    return exact_median(df, value, by).drop("n").join(spread, list(by))
+    return exact_median(df, value, by, std="std")
 
 
 def zonal_median_std_approx(pixels_in_region: DataFrame, by: Sequence[str] = ("region_id", "scene_id", "band"),

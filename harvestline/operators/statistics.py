@@ -10,20 +10,20 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from harvestline.functions.metrics import pearson
 from harvestline.functions.quantiles import attach, exact_quantiles
-from harvestline.functions.ranking import _null_safe_join, hash_rank, with_bucket
+from harvestline.functions.ranking import hash_rank, null_safe_join, packed, with_bucket
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str], rank: str) -> DataFrame:
     """Rank with ties averaged. Ranks are built on (value, count) rows per bucket, then
     joined to the rows on group and value."""
-    by = list(by)
-    counts = with_bucket(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), value, by, 4096)
-    coarse = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_bn"))
-    coarse = coarse.withColumn("_base", F.sum("_bn").over(W.partitionBy(*by).orderBy("_bucket")) - F.col("_bn")).drop("_bn")
-    upto = F.sum("_n").over(W.partitionBy(*by, "_bucket").orderBy(value))
-    ranked = _null_safe_join(counts.withColumn("_to", upto), coarse, by + ["_bucket"])
-    ranked = ranked.select(*by, value, (F.col("_base") + F.col("_to") - (F.col("_n") - 1) / 2.0).alias(rank))
-    return df.join(ranked, by + [value])
+    counts = df.groupBy(packed(by).alias("_g"), value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = with_bucket(counts, F.col(value))
+    coarse = counts.groupBy("_g", "_bucket").agg(F.sum("_n").alias("_bn"))
+    coarse = coarse.withColumn("_base", F.sum("_bn").over(W.partitionBy("_g").orderBy("_bucket")) - F.col("_bn")).drop("_bn")
+    upto = F.sum("_n").over(W.partitionBy("_g", "_bucket").orderBy(value))
+    ranked = counts.join(coarse, ["_g", "_bucket"]).select(
+        "_g", value, (F.col("_base") + upto - (F.col("_n") - 1) / 2.0).alias(rank))
+    return df.withColumn("_g", packed(by)).join(ranked, ["_g", value]).drop("_g")
 
 
 def spearman_ci(df: DataFrame, target: str, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -150,7 +150,7 @@ def kde_curve(df: DataFrame, value: str, by: Sequence[str], points: int = 50, cu
     stats = stats.withColumn("_h", bw).where("_h > 0")
     start, stop = F.col("_lo") - cut * F.col("_h"), F.col("_hi") + cut * F.col("_h")
     stats = stats.withColumns({"_x0": start, "_dx": (stop - start) / (points - 1)})
-    spread = _null_safe_join(counts, stats, by).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    spread = null_safe_join(counts, stats, by).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("_x0") + F.col("point") * F.col("_dx")
     u = (x - F.col("_v")) / F.col("_h")
     weight = F.col("_c") * F.exp(u * u * -0.5)

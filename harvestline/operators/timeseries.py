@@ -8,10 +8,10 @@ bounded by the length of the calendar and not by the number of observations. The
 
 from __future__ import annotations
 
+import math
 from typing import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from harvestline.functions.quantiles import attach
 from harvestline.functions.scalars import db_to_linear, linear_to_db
@@ -159,18 +159,31 @@ def rolling_op_days(fine: DataFrame, coarse: DataFrame, op: Callable[[Column], C
 
 def ewm_smooth(df: DataFrame, by: Sequence[str] = BY, order: str = "obs_date", value: str = "value",
                alpha: float = 2.0 / 3.0, name: str = "smoothed") -> DataFrame:
-    """Exponentially weighted mean (weights normalised) of an interpolated series. The
-    recursion has no built-in form; one task gets one daily series, which the calendar bounds."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in [*by, order, value]] + [T.StructField(name, T.DoubleType())])
-    cols = [*by, order, value]
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        pdf[name] = pdf[value].ewm(alpha=alpha).mean()
-        return pdf
-
-    return df.select(*cols).groupBy(*by).applyInPandas(smooth, schema)
+    """Exponentially weighted mean (weights normalised) of an interpolated series.
+
+    The recursion unrolled in blocks so long that a weight falls below double precision
+    within one: a row needs the running sum of its own block and the sum of the block
+    before, both plain window sums."""
+    q = 1.0 - alpha
+    size = 1 if q <= 0 else max(1, math.ceil(18 * math.log(10) / -math.log(q)))
+    q = max(q, 0.0)
+    pos = F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1
+    df = df.withColumn("_i", pos)
+    df = df.withColumns({"_block": F.floor(F.col("_i") / size), "_t": F.col("_i") % size})
+    here = W.partitionBy(*by, "_block").orderBy("_t").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*by).orderBy("_block").rangeBetween(-1, -1)
+
+    def weighted(v: Column) -> Column:
+        if q == 0.0:
+            return v
+        grown = F.pow(F.lit(q), -F.col("_t").cast("double"))
+        own = F.sum(v * grown).over(here) * F.pow(F.lit(q), F.col("_t").cast("double"))
+        last = F.sum(v * grown).over(before) * F.lit(q ** (size - 1))
+        return F.coalesce(own, F.lit(0.0)) + F.coalesce(last, F.lit(0.0)) * F.pow(F.lit(q), F.col("_t") + 1.0)
+
+    weight = F.when(F.col(value).isNotNull(), 1.0)
+    df = df.withColumns({"_num": weighted(F.col(value)), "_den": weighted(weight)})
+    return df.withColumn(name, F.try_divide("_num", "_den")).drop("_i", "_block", "_t", "_num", "_den")
 
 
 def detrend_series(df: DataFrame, by: Sequence[str] = BY, order: str = "obs_date", value: str = "value",

@@ -6,7 +6,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from harvestline.functions.ranking import _null_safe_join, hash_rank, value_rank
+from harvestline.functions.ranking import null_safe_join, hash_rank, value_rank
 
 
 def split_random(df: DataFrame, id_cols: Sequence[str], test_share: float = 0.2, seed: int = 42, role: str = "role") -> DataFrame:
@@ -57,7 +57,7 @@ def fold_guards(df: DataFrame, minimum: Mapping[str, int], by: Sequence[str] = (
     sizes = df.groupBy(*by).agg(*[F.count_if(F.col(role) == r).alias(f"_{r}") for r in minimum])
     for r, n in minimum.items():
         sizes = sizes.where(F.col(f"_{r}") >= n)
-    return _null_safe_join(df, sizes.select(*by), list(by))
+    return null_safe_join(df, sizes.select(*by), list(by))
 
 
 # Fewest rows per role for a fold to be run, per pipeline.

@@ -249,7 +249,7 @@ def _(v: Views):
     return L.lead_features_tail(season(v, filled), PARAMS, 8)
 
 
-_THIN = f"SELECT region_id, param, label, CASE WHEN value > 0.4 AND value <> 4 THEN value END AS value FROM ({_BINS2W})"
+_THIN = f"SELECT region_id, param, label, CASE WHEN value > 0.4003 THEN value END AS value FROM ({_BINS2W})"
 _LAST5 = f"(SELECT * FROM (SELECT *, {_RANK.format(d='DESC')} AS lead FROM {_season(_THIN)}) WHERE lead <= 5)"
 
 
@@ -257,7 +257,7 @@ _LAST5 = f"(SELECT * FROM (SELECT *, {_RANK.format(d='DESC')} AS lead FROM {_sea
        f"""SELECT w.*, last_label FROM ({_leads(_interpolated(_LAST5, 'region_id, c_year, param', 'label'), 4)}) w JOIN
            (SELECT region_id, c_year, max(label) AS last_label FROM {_LAST5} GROUP BY 1, 2) USING (region_id, c_year)""", "daily panel1")
 def _(v: Views):
-    thin = S.resample_2w(v.daily).withColumn("value", F.when((F.col("value") > 0.4) & (F.col("value") != 4), F.col("value")))
+    thin = S.resample_2w(v.daily).withColumn("value", F.when(F.col("value") > 0.4003, F.col("value")))
     return L.lead_features_interp(season(v, thin), PARAMS, 4)
 
 

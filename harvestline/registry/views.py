@@ -27,7 +27,7 @@ from harvestline.functions.metrics import score_columns
 from harvestline.functions.scalars import admin_key
 from harvestline.operators.timeseries import resample_daily
 from harvestline.session import ship_package
-from harvestline.sources.tables import with_bbox
+from harvestline.sources.tables import to_region_series, with_bbox
 
 FEATURES = [f"{p}_LT{k}" for k in (4, 3, 2, 1) for p in ("evi", "sm", "t2m", "tp")]
 SOURCES = {"evi": "l_quantity / 50", "sm": "l_discount * 10", "t2m": "price", "tp": "tax"}
@@ -67,13 +67,18 @@ class Views:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return resample_daily(self.series, ts="obs_date")
+        """All parameters are averaged in one shuffle, then unpivoted."""
+        return self._daily_means(F.col("region_id"))
+
+    def _daily_means(self, region) -> DataFrame:
+        means = [F.avg(F.expr(SOURCES[p])).alias(p) for p in ("evi", "t2m", "tp")]
+        wide = self.line.groupBy(region.alias("region_id"), "obs_date").agg(*means)
+        return to_region_series(wide, ["region_id", "obs_date"], ["evi", "t2m", "tp"])
 
     @cached_property
     def country_daily(self) -> DataFrame:
         """One daily series per country and parameter: dense over seven years."""
-        s = self.series.withColumn("region_id", admin_key("region_id"))
-        return resample_daily(s, ts="obs_date")
+        return self._daily_means(admin_key("region_id"))
 
     @cached_property
     def obs(self) -> DataFrame:
