@@ -55,7 +55,7 @@ def value_rank(df: DataFrame, value: str, id_cols: Sequence[str], seed: int | st
     hashed = df.withColumns({"_g": packed(by), "_h": hash_order(id_cols, seed), "_v": F.struct(F.col(value).alias("v"))})
     hashed = hashed.withColumn("_slice", F.substring("_h", 1, PREFIX))
     counts = hashed.groupBy("_g", "_v", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    counts = with_bucket(counts, F.col("_v.v"), buckets)
+    counts = with_bucket(counts, F.col("_v.v"), buckets, grouped=bool(by))
     coarse = counts.groupBy("_g", "_bucket").agg(F.sum("_n").alias("_bn"))
     coarse = coarse.withColumn("_base", F.sum("_bn").over(W.partitionBy("_g").orderBy("_bucket")) - F.col("_bn"))
     if total:
@@ -74,7 +74,7 @@ def magnitude(value: Column) -> Column:
     return F.signum(value) * F.log1p(F.abs(value))
 
 
-def with_bucket(counts: DataFrame, value: Column, buckets: int = BUCKETS, extra: Sequence[Column] = ()) -> DataFrame:
+def with_bucket(counts: DataFrame, value: Column, buckets: int = BUCKETS, extra: Sequence[Column] = (), grouped: bool = True) -> DataFrame:
     """Adds ``_bucket``: a monotone function of the value inside its group ``_g``, computed
     from the group's exact minimum and maximum (so a recomputation gives the same).
     ``extra`` are more aggregates per group to attach on the way."""
@@ -82,7 +82,11 @@ def with_bucket(counts: DataFrame, value: Column, buckets: int = BUCKETS, extra:
     ends = counts.groupBy("_g").agg(F.min(numeric).alias("_lo"), F.max(numeric).alias("_hi"), *extra)
     share = F.try_divide(numeric - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     bucket = F.coalesce(F.floor(share * (buckets - 1)).cast("int"), F.lit(0))
-    return counts.join(ends, "_g").withColumn("_bucket", bucket).drop("_lo", "_hi")
+    if grouped:
+        joined = counts.join(ends, "_g")
+    else:  # one group: its aggregates are one row, read as a scalar subquery
+        joined = null_safe_join(counts, ends.drop("_g"), [])
+    return joined.withColumn("_bucket", bucket).drop("_lo", "_hi")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -17,7 +17,7 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str], rank: str) -> Dat
     """Rank with ties averaged. Ranks are built on (value, count) rows per bucket, then
     joined to the rows on group and value."""
     counts = df.groupBy(packed(by).alias("_g"), value).agg(F.count(F.lit(1)).alias("_n"))
-    counts = with_bucket(counts, F.col(value))
+    counts = with_bucket(counts, F.col(value), grouped=bool(by))
     coarse = counts.groupBy("_g", "_bucket").agg(F.sum("_n").alias("_bn"))
     coarse = coarse.withColumn("_base", F.sum("_bn").over(W.partitionBy("_g").orderBy("_bucket")) - F.col("_bn")).drop("_bn")
     upto = F.sum("_n").over(W.partitionBy("_g", "_bucket").orderBy(value))

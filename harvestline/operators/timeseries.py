@@ -13,7 +13,6 @@ from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from harvestline.functions.quantiles import attach
 from harvestline.functions.scalars import db_to_linear, linear_to_db
 
 BY = ("region_id", "param")
@@ -30,15 +29,21 @@ def _first_bin_end(first: Column) -> Column:
 
 
 def resample_days(df: DataFrame, days: int, by: Sequence[str] = BY, ts: str = "obs_date", value: str = "value",
-                  label: str = "label", in_db: bool = False) -> DataFrame:
+                  label: str = "label", in_db: bool = False, one_per_day: bool = True) -> DataFrame:
     """Mean per bin of ``days`` (7 or 14), bins closed and labelled on Sundays; the first
-    ends on the first Sunday at or after the first day of each series."""
-    first = df.groupBy(*by).agg(F.min(ts).alias("_first"))
-    step = F.greatest(F.lit(0), F.ceil(F.datediff(F.col(ts), F.col("_s0")) / days)).cast("int")
-    dated = attach(df, first, by).withColumn("_s0", _first_bin_end(F.col("_first")))
+    ends on the first Sunday at or after the first day of each series. Series with several
+    rows per day (``one_per_day=False``) are first added up per day, map-side."""
     v = db_to_linear(value) if in_db else F.col(value)
-    mean = linear_to_db(F.avg(v)) if in_db else F.avg(v)
-    return (dated.groupBy(*by, F.date_add("_s0", step * days).alias(label)).agg(mean.alias(value)))
+    if one_per_day:
+        parts = df.select(*by, F.col(ts).alias("_d"), v.alias("_s"), F.col(value).isNotNull().cast("long").alias("_n"))
+    else:
+        parts = df.groupBy(*by, F.to_date(ts).alias("_d")).agg(F.sum(v).alias("_s"), F.count(value).alias("_n"))
+    # one shuffle: the window and the bins share the partitioning by series
+    first_end = _first_bin_end(F.min("_d").over(W.partitionBy(*by)))
+    step = F.greatest(F.lit(0), F.ceil(F.datediff("_d", "_s0") / days)).cast("int")
+    mean = F.try_divide(F.sum("_s"), F.sum("_n"))
+    return (parts.withColumn("_s0", first_end).groupBy(*by, F.date_add("_s0", step * days).alias(label))
+            .agg((linear_to_db(mean) if in_db else mean).alias(value)))
 
 
 def resample_weekly(df: DataFrame, **kw) -> DataFrame:

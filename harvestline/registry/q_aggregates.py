@@ -120,21 +120,21 @@ def _(v: Views):
     return P.detrend_keep_mean(v.panel1)
 
 
-GAPS = "SELECT * FROM panel WHERE \"yield\" > 4.8 AND crop = 'A'"
+GAPS = 'SELECT * FROM panel WHERE "yield" > 4.8'
 
 
-@query("detrend_gap_filled", "region_id c_year:i y_detrended:d",
-       f"""WITH g AS ({GAPS}), ends AS (SELECT region_id, min(c_year) AS a, max(c_year) AS b, avg("yield") AS m FROM g GROUP BY 1),
-          spine AS (SELECT region_id, m, unnest(range(a, b + 1)) AS c_year FROM ends),
-          filled AS (SELECT s.region_id, s.m, s.c_year, g."yield" AS orig, coalesce(g."yield",
+@query("detrend_gap_filled", "region_id crop c_year:i y_detrended:d",
+       f"""WITH g AS ({GAPS}), ends AS (SELECT region_id, crop, min(c_year) AS a, max(c_year) AS b, avg("yield") AS m FROM g GROUP BY 1, 2),
+          spine AS (SELECT region_id, crop, m, unnest(range(a, b + 1)) AS c_year FROM ends),
+          filled AS (SELECT s.region_id, s.crop, s.m, s.c_year, g."yield" AS orig, coalesce(g."yield",
             (SELECT p."yield" + (n."yield" - p."yield") * (s.c_year - p.c_year) / (n.c_year - p.c_year) FROM
-              (SELECT * FROM g WHERE g.region_id = s.region_id AND g.c_year < s.c_year ORDER BY c_year DESC LIMIT 1) p,
-              (SELECT * FROM g WHERE g.region_id = s.region_id AND g.c_year > s.c_year ORDER BY c_year LIMIT 1) n)) AS y
-            FROM spine s LEFT JOIN g ON g.region_id = s.region_id AND g.c_year = s.c_year)
-          SELECT region_id, CAST(c_year AS INTEGER) AS c_year, round(y - coalesce(slope * c_year + icpt, my) + m, 2) AS y_detrended FROM (SELECT *, regr_slope(y, c_year) OVER (PARTITION BY region_id) AS slope,
-            regr_intercept(y, c_year) OVER (PARTITION BY region_id) AS icpt, avg(y) OVER (PARTITION BY region_id) AS my FROM filled) WHERE orig IS NOT NULL""", "panel")
+              (SELECT * FROM g WHERE g.region_id = s.region_id AND g.crop = s.crop AND g.c_year < s.c_year ORDER BY c_year DESC LIMIT 1) p,
+              (SELECT * FROM g WHERE g.region_id = s.region_id AND g.crop = s.crop AND g.c_year > s.c_year ORDER BY c_year LIMIT 1) n)) AS y
+            FROM spine s LEFT JOIN g ON g.region_id = s.region_id AND g.crop = s.crop AND g.c_year = s.c_year)
+          SELECT region_id, crop, CAST(c_year AS INTEGER) AS c_year, round(y - coalesce(slope * c_year + icpt, my) + m, 2) AS y_detrended FROM (SELECT *, regr_slope(y, c_year) OVER (PARTITION BY region_id, crop) AS slope,
+            regr_intercept(y, c_year) OVER (PARTITION BY region_id, crop) AS icpt, avg(y) OVER (PARTITION BY region_id, crop) AS my FROM filled) WHERE orig IS NOT NULL""", "panel")
 def _(v: Views):
-    return P.detrend_gap_filled(v.panel.where("yield > 4.8 and crop = 'A'").drop("crop"))
+    return P.detrend_gap_filled(v.panel.where("yield > 4.8"), by=["region_id", "crop"])
 
 
 @query("center_by_group", "region_id crop c_year:i centered:d", """SELECT region_id, crop, c_year, "yield" - m AS centered FROM panel JOIN (SELECT crop, avg("yield") AS m FROM panel GROUP BY 1) USING (crop)""", "panel")
@@ -268,9 +268,9 @@ def _(v: Views):
 
 @query("yearly_mean_score", "setup r2:d n_years:l",
        """SELECT setup, 1 - sum((p - o) * (p - o)) / (var_pop(o) * count(*)) AS r2, count(*) AS n_years FROM (SELECT setup, year, avg(y_true) AS o, avg(y_pred) AS p
-          FROM preds WHERE crop = 'N' GROUP BY 1, 2) GROUP BY 1""", "preds")
+          FROM preds GROUP BY 1, 2) GROUP BY 1""", "preds")
 def _(v: Views):
-    return S.yearly_mean_score(v.preds.where("crop = 'N'"))
+    return S.yearly_mean_score(v.preds)
 
 
 @query("yearly_means", "setup year:i obs_mean:d obs_std:d pred_mean:d pred_std:d n:l",

@@ -35,14 +35,14 @@ NEAR_SQL = """SELECT region_id, x, y, value, dist FROM (SELECT *, row_number() O
     SELECT r.field_id AS region_id, p.x, p.y, p.value, sqrt(pow(p.x - r.px, 2) + pow(p.y - r.py, 2)) AS dist FROM
     (SELECT field_id, (xs[1] + xs[2] + xs[3]) / 3 AS px, (ys[1] + ys[2] + ys[3]) / 3 AS py FROM parcels
      WHERE field_id NOT IN (SELECT s.s_suppkey FROM supplier s WHERE s.s_acctbal < 0)) r,
-    (SELECT x, y, min(value) AS value FROM pixels WHERE scl = 1 AND x > 60 GROUP BY 1, 2) p)) WHERE rn = 1"""
+    (SELECT x, y, min(value) AS value FROM pixels GROUP BY 1, 2) p)) WHERE rn = 1"""
 
 
 @query("nearest_pixel_fallback", "region_id:l x:d y:d value:d dist:d", NEAR_SQL, "pixels parcels")
 def _(v: Views):
     covered = v.table("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("region_id"))
     fields = v.parcels.withColumnRenamed("field_id", "region_id")
-    return G.nearest_pixel_fallback(fields, v.pixels.where("scl = 1 and x > 60"), covered)
+    return G.nearest_pixel_fallback(fields, v.pixels, covered)
 
 
 @query("rounded_centroid_lookup", "region_id:l value:d",

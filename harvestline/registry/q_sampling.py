@@ -8,16 +8,16 @@ from harvestline.registry.base import query
 from harvestline.registry.views import Views
 
 
-@query("sort_by", "year:i region setup y_pred:d", "SELECT year, region, setup, y_pred FROM preds WHERE crop = 'A' ORDER BY year, region, setup", "preds")
+@query("sort_by", "year:i region crop setup y_pred:d", "SELECT year, region, crop, setup, y_pred FROM preds ORDER BY year, region, crop, setup", "preds")
 def _(v: Views):
-    return P.sort_by(v.preds.where("crop = 'A'"), "year", "region", "setup")
+    return P.sort_by(v.preds, "year", "region", "crop", "setup")
 
 
-@query("top_k", "region year:i crop err:d", """SELECT region, year, crop, y_pred - y_true AS err FROM preds WHERE setup = 'eo_direct'
-        ORDER BY abs(y_pred - y_true) DESC, region, year, crop LIMIT 10""", "preds")
+@query("top_k", "region year:i crop setup err:d", """SELECT region, year, crop, setup, y_pred - y_true AS err FROM preds
+        ORDER BY abs(y_pred - y_true) DESC, region, year, crop, setup LIMIT 10""", "preds")
 def _(v: Views):
-    df = v.preds.where("setup = 'eo_direct'").withColumn("err", F.col("y_pred") - F.col("y_true"))
-    return P.top_k(df, 10, F.desc(F.abs("err")), ["region", "year", "crop"])
+    df = v.preds.withColumn("err", F.col("y_pred") - F.col("y_true"))
+    return P.top_k(df, 10, F.desc(F.abs("err")), ["region", "year", "crop", "setup"])
 
 
 @query("cap_per_group", "nation:i field_id:l", """SELECT nation, field_id FROM (SELECT *, row_number() OVER (PARTITION BY nation

@@ -45,9 +45,9 @@ def _(v: Views):
 
 @query("resample_6d", f"{KEYS} c_year:i step:i value:d",
        """WITH b AS (SELECT region_id, param, CAST(year(obs_date) AS INTEGER) AS c_year, CAST(floor((dayofyear(obs_date) - 1) / 6.0) AS INTEGER) AS step, 10 * log10(avg(pow(10.0, (value / 10) / 10))) AS value
-          FROM country_daily WHERE param = 't2m' GROUP BY 1, 2, 3, 4) SELECT * FROM b WHERE (region_id, param, c_year) IN (SELECT (region_id, param, c_year) FROM b GROUP BY region_id, param, c_year HAVING count(value) = 61)""", "country_daily")
+          FROM country_daily GROUP BY 1, 2, 3, 4) SELECT * FROM b WHERE (region_id, param, c_year) IN (SELECT (region_id, param, c_year) FROM b GROUP BY region_id, param, c_year HAVING count(value) = 61)""", "country_daily")
 def _(v: Views):
-    series = v.country_daily.where("param = 't2m'").withColumn("value", F.col("value") / 10)
+    series = v.country_daily.withColumn("value", F.col("value") / 10)
     return S.resample_6d(series, ["region_id", "param"])
 
 
@@ -192,7 +192,7 @@ _CAL = f"""(SELECT region_id, c_year, make_date(c_year, month, day) - 2 AS harve
 
 def calendar(v: Views):
     days = v.spark.createDataFrame(HARVEST, "k int, month int, day int")
-    regions = v.daily.select("region_id").distinct().withColumn("k", F.col("region_id").substr(1, 2).cast("int") % 5)
+    regions = v.line.select("region_id").distinct().withColumn("k", F.col("region_id").substr(1, 2).cast("int") % 5)
     return L.harvest_calendar(regions.join(days, "k").drop("k"), v.panel1, days_before=2)
 
 

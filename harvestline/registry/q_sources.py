@@ -156,9 +156,9 @@ def _(v: Views):
 WIDE = " ".join(f"{s}:d" for s in [*SETUPS, "gru_direct"])
 
 
-@query("export_predictions_wide", f"year:i region observed:d {WIDE}",
-       "SELECT year, region, max(y_true) AS observed, " + ", ".join(
+@query("export_predictions_wide", f"year:i region crop observed:d {WIDE}",
+       "SELECT year, region, crop, max(y_true) AS observed, " + ", ".join(
            f"max(CASE WHEN setup = '{s}' THEN y_pred END) AS {s}" for s in [*SETUPS, "gru_direct"]) +
-       " FROM preds WHERE crop = 'R' GROUP BY 1, 2", "preds")
+       " FROM preds GROUP BY 1, 2, 3", "preds")
 def _(v: Views):
-    return S.export_predictions_wide(v.preds.where("crop = 'R'"), [*SETUPS, "gru_direct"])
+    return S.export_predictions_wide(v.preds, [*SETUPS, "gru_direct"], keys=["year", "region", "crop"])
