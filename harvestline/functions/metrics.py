@@ -31,9 +31,11 @@ def score_columns(obs: Column | str, pred: Column | str) -> dict[str, Column]:
 
 
 def pearson(x: Column | str, y: Column | str) -> Column:
-    """Correlation that is NULL, not NaN, when one side is constant."""
-    r = F.corr(_c(x), _c(y))
-    return F.when(~F.isnan(r), r)
+    """Correlation of the complete pairs, NULL when one side is constant (``corr`` divides
+    by zero there, an error in ANSI mode)."""
+    x, y = _c(x), _c(y)
+    sx, sy = F.stddev_pop(F.when(y.isNotNull(), x)), F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), sx * sy)
 
 
 def finite(col: Column) -> Column:

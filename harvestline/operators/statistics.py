@@ -109,12 +109,12 @@ def morans_i(values: DataFrame, edges: DataFrame, id_col: str = "region_id", val
 
 def _moran(z: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     neighbour = z.select(*by, F.col("_id").alias("dst"), F.col("_z").alias("_zn"))
-    lag = edges.join(neighbour, "dst").groupBy(*by, F.col("src").alias("_id")).agg(
-        F.avg("_zn").alias("_lag"), F.sum("w").alias("_w"))
+    lag = edges.join(neighbour, "dst").groupBy(*by, F.col("src").alias("_id")).agg(F.avg("_zn").alias("_lag"))
     full = z.join(lag, [*by, "_id"], "left")
+    # weights are standardised over the neighbours with a value, so s0 counts their regions
     top = F.sum(F.col("_z") * F.col("_lag"))
     return full.groupBy(*by).agg(
-        (F.count(F.lit(1)) / F.sum("_w") * F.try_divide(top, F.sum(F.col("_z") * F.col("_z")))).alias("i"),
+        (F.count(F.lit(1)) / F.count("_lag") * F.try_divide(top, F.sum(F.col("_z") * F.col("_z")))).alias("i"),
         F.count(F.lit(1)).alias("n"))
 
 

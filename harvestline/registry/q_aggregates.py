@@ -192,7 +192,7 @@ def nation_values(v: Views):
        f"""WITH e AS ({EDGES_SQL}), val AS (SELECT 'NATION_' || CAST(CAST(substr(region_id, 1, 2) AS INTEGER) AS VARCHAR) AS region_id, c_year, avg(price) AS value FROM line GROUP BY 1, 2),
           z AS (SELECT region_id, c_year, value - avg(value) OVER (PARTITION BY c_year) AS z FROM val),
           lag_ AS (SELECT e.src AS region_id, z.c_year, avg(z.z) AS lag FROM e JOIN z ON e.dst = z.region_id GROUP BY 1, 2)
-          SELECT c_year, (SELECT count(DISTINCT src) / sum(w) FROM e) * sum(z * lag) / sum(z * z) AS i, count(*) AS n FROM z JOIN lag_ USING (region_id, c_year) GROUP BY 1""", "line regions")
+          SELECT c_year, count(*) / count(lag) * sum(z * lag) / sum(z * z) AS i, count(*) AS n FROM z LEFT JOIN lag_ USING (region_id, c_year) GROUP BY 1""", "line regions")
 def _(v: Views):
     return T.morans_i(nation_values(v), G.queen_neighbors(v.regions), by=["c_year"])
 

@@ -23,7 +23,7 @@ from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harvestline.functions.metrics import score_columns
+from harvestline.functions.metrics import pearson, score_columns
 from harvestline.functions.scalars import admin_key
 from harvestline.operators.timeseries import resample_daily
 from harvestline.session import ship_package
@@ -124,7 +124,7 @@ class Views:
     def imp(self) -> DataFrame:
         long = self.features.unpivot(["region_id", "c_year", "yield"], FEATURES, "feature", "value")
         group = F.substring("region_id", 1, 2) < "12"
-        r = lambda flag: F.abs(F.corr(F.when(flag, F.col("value")), F.col("yield")))
+        r = lambda flag: F.abs(pearson(F.when(flag, F.col("value")), "yield"))
         return long.groupBy(F.col("c_year").alias("year"), "feature").agg(
             r(group).alias("base_mean"), r(~group).alias("finetuned_mean"))
 
