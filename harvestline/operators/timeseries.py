@@ -94,12 +94,14 @@ def interpolate_linear(df: DataFrame, by: Sequence[str] = BY, order: str = "obs_
     """Linear by position between the neighbours that exist. A gap at the end repeats the
     last value, a gap at the start stays missing."""
     w = W.partitionBy(*by).orderBy(order)
-    past, future = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    past = w.rowsBetween(W.unboundedPreceding, 0)
+    # looking ahead by a descending window: a frame up to the end would be quadratic
+    future = W.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
     pos = F.when(F.col(value).isNotNull(), F.col("_i"))
     df = df.withColumn("_i", F.row_number().over(w))
     df = df.withColumns({
         "_pv": F.last(value, ignorenulls=True).over(past), "_pi": F.last(pos, ignorenulls=True).over(past),
-        "_nv": F.first(value, ignorenulls=True).over(future), "_ni": F.first(pos, ignorenulls=True).over(future)})
+        "_nv": F.last(value, ignorenulls=True).over(future), "_ni": F.last(pos, ignorenulls=True).over(future)})
     slope = F.try_divide(F.col("_nv") - F.col("_pv"), F.col("_ni") - F.col("_pi"))
     filled = F.col("_pv") + F.coalesce(slope, F.lit(0.0)) * (F.col("_i") - F.col("_pi"))
     return df.withColumn(value, F.coalesce(F.col(value), filled)).drop("_i", "_pv", "_pi", "_nv", "_ni")
@@ -117,14 +119,15 @@ def rolling_mean_rows(df: DataFrame, by: Sequence[str] = BY, order: str = "obs_d
 
 
 def _near_days(fine: DataFrame, coarse: DataFrame, by: Sequence[str], ts: str, value: str, d: int) -> DataFrame:
-    """Pairs of a coarse timestamp and the fine samples within +-d days. Each sample is
-    sent to the coarse buckets it can reach: an equi-join on (series, bucket)."""
+    """Pairs of a coarse timestamp and the fine samples within +-d days. Days are cut into
+    buckets; the (fewer) coarse timestamps go to every bucket in reach, a sample stays in
+    its own: an equi-join on (series, bucket)."""
     day = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 86400)
     size = d + 1
-    c = coarse.select(*by, F.col(ts).alias("_t")).withColumn("_b", F.floor(day("_t") / size))
-    f = fine.select(*by, F.col(ts).alias("_ft"), F.col(value).alias("_fv"))
-    near = F.sequence(F.floor((day("_ft") - d - 1) / size), F.floor((day("_ft") + d + 1) / size))
-    f = f.withColumn("_b", F.explode(near))
+    c = coarse.select(*by, F.col(ts).alias("_t"))
+    reach = F.sequence(F.floor((day("_t") - d - 1) / size), F.floor((day("_t") + d + 1) / size))
+    c = c.withColumn("_b", F.explode(reach))
+    f = fine.select(*by, F.col(ts).alias("_ft"), F.col(value).alias("_fv")).withColumn("_b", F.floor(day("_ft") / size))
     secs = lambda col: F.unix_micros(F.col(col).cast("timestamp")) / 86400e6
     pairs = c.join(f, [*by, "_b"]).withColumn("_dist", F.abs(secs("_ft") - secs("_t")))
     return pairs.where(F.col("_dist") <= d)

@@ -126,11 +126,11 @@ def _(v: Views):
 
 
 @query("catalog_pair", "scene_id:l geo_id:l",
-       """SELECT a.scene_id, b.scene_id AS geo_id FROM catalog a JOIN catalog b USING (begin_ts)
-          WHERE a.status = 'P' AND b.status = 'F' AND a.collection = '1-URGENT' AND b.collection = '2-HIGH'""", "catalog")
+       """SELECT a.scene_id, min(b.scene_id) AS geo_id FROM catalog a JOIN catalog b USING (begin_ts)
+          WHERE a.status = 'P' AND b.status = 'F' GROUP BY 1""", "catalog")
 def _(v: Views):
-    data = v.catalog.where("status = 'P' and collection = '1-URGENT'")
-    return C.catalog_pair(data, v.catalog.where("status = 'F' and collection = '2-HIGH'")).select("scene_id", "geo_id")
+    """Two kinds of files, told apart by their status."""
+    return C.catalog_pair(v.catalog.where("status = 'P'"), v.catalog.where("status = 'F'")).select("scene_id", "geo_id")
 
 
 @query("catalog_listing", "collection status n_scenes:l first_ts:t last_ts:t",

@@ -41,8 +41,9 @@ def catalog_extreme(catalog: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def catalog_pair(data_files: DataFrame, geo_files: DataFrame, key: str = "begin_ts") -> DataFrame:
-    """Data files with the geolocation file of the same begin time."""
-    geo = geo_files.select(key, F.col("scene_id").alias("geo_id"))
+    """Data files with the geolocation file of the same begin time (the smallest id, should
+    there be several), at most one row per data file."""
+    geo = geo_files.groupBy(key).agg(F.min("scene_id").alias("geo_id"))
     return data_files.join(geo, key)
 
 

@@ -8,7 +8,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from harvestline.functions.scalars import admin_key, null_sentinels, parse_decimal_comma
+from harvestline.functions.scalars import parse_decimal_comma
 
 
 def scan_delimited(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, *, sep: str = ";",
@@ -131,13 +131,7 @@ def append_manifest(spark: SparkSession, path: str, settings: Mapping) -> int:
 
 def export_predictions_wide(preds: DataFrame, setups: Sequence[str], keys: Sequence[str] = ("year", "region"),
                             observed: str = "y_true") -> DataFrame:
-    """One column per setup in a fixed list (missing ones NULL), sorted by the keys."""
-    wide = preds.groupBy(*keys).pivot("setup", list(setups)).agg(F.max("y_pred"))
-    seen = preds.groupBy(*keys).agg(F.max(observed).alias("observed"))
-    return seen.join(wide, list(keys)).orderBy(*keys)
-
-
-def clean_source_codes(df: DataFrame, region: str, value: str) -> DataFrame:
-    """Region code and value of a national statistics table: country code added,
-    sentinel tokens removed."""
-    return df.withColumns({"country": admin_key(region), value: null_sentinels(value, (-9999.0, 0.0))})
+    """One column per setup in a fixed list (missing ones NULL), sorted by the keys. The
+    known list makes it one aggregation."""
+    picks = [F.max(F.when(F.col("setup") == s, F.col("y_pred"))).alias(s) for s in setups]
+    return preds.groupBy(*keys).agg(F.max(observed).alias("observed"), *picks).orderBy(*keys)

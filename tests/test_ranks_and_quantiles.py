@@ -74,6 +74,13 @@ def test_cap_per_group_keeps_small_groups_whole(skewed):
         assert sizes[g] == min(n, 500)
 
 
+def test_large_caps_keep_the_same_rows(skewed):
+    pdf, df = skewed
+    big = {r.id for r in P.cap_per_group(df, ["g"], "id", 1500).collect()}
+    again = {r.id for r in P.cap_per_group(df.repartition(3), ["g"], "id", 1500).collect()}
+    assert big == again and len(big) == sum(min(n, 1500) for n in pdf.g.value_counts())
+
+
 def test_cap_is_applied_before_the_shuffle(skewed):
     plan = P.cap_per_group(skewed[1], ["g"], "id", 500)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
