@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from harvestline.functions.quantiles import exact_median, exact_mode
-from harvestline.functions.scalars import inside_ring
+from harvestline.functions.scalars import inside_edges, inside_ring, ring_edges
 from harvestline.operators.sampling import dedupe_first
 
 NEIGHBOUR_STEPS = (-1, 0, 1)
@@ -33,10 +33,11 @@ def _explode_box(df: DataFrame, cell: float, prefix: str = "") -> DataFrame:
 def pixel_in_polygon(pixels: DataFrame, regions: DataFrame, cell: float, region_id: str = "region_id") -> DataFrame:
     """Pixels with the id of every region whose ring holds their centre. ``cell`` should
     be about the size of a typical region."""
-    tiles = _explode_box(regions.select(region_id, "xs", "ys", "min_x", "max_x", "min_y", "max_y"), cell)
+    box_cols = ["min_x", "max_x", "min_y", "max_y"]
+    tiles = _explode_box(regions.select(region_id, ring_edges("xs", "ys").alias("_edges"), *box_cols), cell)
     located = pixels.withColumns({"_cx": _cell("x", cell), "_cy": _cell("y", cell)})
     box = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
-    hits = located.join(tiles, ["_cx", "_cy"]).where(box & inside_ring("x", "y", "xs", "ys"))
+    hits = located.join(tiles, ["_cx", "_cy"]).where(box & inside_edges("x", "y", "_edges"))
     return hits.select(*pixels.columns, region_id)
 
 
