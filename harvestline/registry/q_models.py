@@ -7,7 +7,7 @@ from harvestline.operators.rows import feature_groups
 from harvestline.operators.scores import class_report, regression_metrics
 from harvestline.plans import classify, explain, flagship, linear as LM, mlp, transfer as X, trees as M, validation as V
 from harvestline.registry.base import query
-from harvestline.registry.q_series import PARAMS, calendar
+from harvestline.registry.q_series import PARAMS, TAIL_SQL, calendar
 from harvestline.registry.views import FEATURES, Views
 
 KEYS = ["region_id", "c_year"]
@@ -137,7 +137,17 @@ def _(v: Views):
     return M.holdout(df.withColumn("is_test", F.col("role") == "test"), M.linear(), FEATURES, F.col("role") == "test", keys=[*KEYS, "role"])
 
 
-@query("cross_val_score", "fold:i ev:d n:l median_ev:d")
+@query("cross_val_score", "fold:i ev:d n:l median_ev:d",
+       f"""WITH f AS (SELECT "yield" AS y, "t2m_LT1" AS x0, (row_number() OVER (ORDER BY {ROW_ID.format(seed=42)}) - 1) % 5 AS k FROM features),
+          m AS (SELECT g.k AS fold, avg(f.x0) AS mx FROM f JOIN (SELECT DISTINCT k FROM f) g ON f.k <> g.k GROUP BY 1),
+          b AS (SELECT fold, regr_slope(y, coalesce(x0, mx)) AS slope, regr_intercept(y, coalesce(x0, mx)) AS icpt FROM f JOIN m ON f.k <> m.fold GROUP BY 1),
+          s AS (SELECT b.fold, 1 - var_pop(slope * coalesce(x0, mx) + icpt - y) / var_pop(y) AS ev, count(*) AS n FROM f JOIN b ON f.k = b.fold JOIN m ON m.fold = b.fold GROUP BY 1)
+          SELECT fold, ev, n, (SELECT median(ev) FROM s) AS median_ev FROM s""", "features")
+def _(v: Views):
+    return M.cross_val_score(v.features, lambda: M.linear(), ["t2m_LT1"], folds=5)
+
+
+@query("cross_val_score_all", "fold:i ev:d n:l median_ev:d")
 def _(v: Views):
     return M.cross_val_score(v.features, lambda: M.linear(), FEATURES, folds=5)
 
@@ -288,6 +298,8 @@ def _(v: Views):
     return flagship.forecast_scores(flagship.biweekly_features(v.daily, calendar(v), v.panel1, PARAMS))
 
 
-@query("flagship_features", "region_id c_year:i y_detrended:d evi_LT1:d")
+@query("flagship_features", "region_id c_year:i y_detrended:d evi_LT1:d",
+       f"""SELECT t.region_id, t.c_year, y_detrended, "evi_LT1" FROM ({TAIL_SQL}) t JOIN (SELECT region_id, c_year, "yield" - (regr_slope("yield", c_year) OVER (PARTITION BY region_id) * c_year
+           + regr_intercept("yield", c_year) OVER (PARTITION BY region_id)) + avg("yield") OVER (PARTITION BY region_id) AS y_detrended FROM panel1) d USING (region_id, c_year)""", "daily panel1")
 def _(v: Views):
     return flagship.biweekly_features(v.daily, calendar(v), v.panel1, PARAMS)

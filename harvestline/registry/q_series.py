@@ -242,8 +242,11 @@ def _(v: Views):
 _FILLED2W = f"SELECT region_id, param, label, value FROM {_interpolated('(' + _BINS2W + ')', 'region_id, param', 'label')}"
 
 
-@query("lead_features_tail", _lead_out(8), "SELECT * FROM (" + _leads(f"(SELECT *, {_RANK.format(d='DESC')} AS lead FROM {_season(_FILLED2W)})", 8) + ") WHERE "
-       + " AND ".join(f'"{p}_LT{n}" IS NOT NULL' for p in PARAMS for n in range(1, 9)), "daily panel1")
+TAIL_SQL = "SELECT * FROM (" + _leads(f"(SELECT *, {_RANK.format(d='DESC')} AS lead FROM {_season(_FILLED2W)})", 8) + ") WHERE " + " AND ".join(
+    f'"{p}_LT{n}" IS NOT NULL' for p in PARAMS for n in range(1, 9))
+
+
+@query("lead_features_tail", _lead_out(8), TAIL_SQL, "daily panel1")
 def _(v: Views):
     filled = S.interpolate_linear(S.resample_2w(v.daily), order="label")
     return L.lead_features_tail(season(v, filled), PARAMS, 8)

@@ -2,40 +2,68 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+BY = ("region_id", "param")
 
-def daily_stream(spark: SparkSession, in_path: str, schema: T.StructType, *, by: Sequence[str] = ("region_id", "param"), ts: str = "ts",
-                 value: str = "value", key: Sequence[str] | None = None, watermark: str = "40 days", select=None) -> DataFrame:
-    """New files -> repeated observations dropped -> sum and count per series and day.
 
-    Sums and counts, not means: two partial results of one day can be added, so late files
-    and restarts merge exactly."""
-    raw = spark.readStream.schema(schema).parquet(in_path)
-    obs = (select(raw) if select else raw).withColumn(ts, F.col(ts).cast("timestamp"))
+def daily_stream(spark: SparkSession, in_path: str, schema: T.StructType, *, by: Sequence[str] = BY, ts: str = "ts",
+                 value: str = "value", key: Sequence[str] | None = None, watermark: str = "40 days",
+                 select: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Running daily means kept in the state store, for a live view. Repeats are dropped
+    and days updated while they are within the watermark; rows later than that are not
+    taken, so the complete record is kept by ``stream_ingest_daily``."""
+    obs = _observations(spark, in_path, schema, ts, select)
     once = obs.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(key or [*by, ts, value]))
     day = F.window(ts, "1 day")
-    return once.groupBy(*by, day.alias("_w")).agg(F.sum(value).alias("total"), F.count(value).alias("n")) \
-        .select(*by, F.to_date("_w.start").alias("obs_date"), "total", "n")
+    return once.groupBy(*by, day.alias("_w")).agg(F.avg(value).alias(value)) \
+        .select(*by, F.to_date("_w.start").alias("obs_date"), value)
+
+
+def _observations(spark, in_path, schema, ts, select) -> DataFrame:
+    raw = spark.readStream.schema(schema).parquet(in_path)
+    # watermarks need a timestamp with time zone
+    return (select(raw) if select else raw).withColumn(ts, F.col(ts).cast("timestamp"))
+
 
+def stream_ingest_daily(spark: SparkSession, in_path: str, schema: T.StructType, out_path: str, checkpoint: str, *,
+                        by: Sequence[str] = BY, ts: str = "ts", value: str = "value", key: Sequence[str] | None = None,
+                        select: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Takes all files not seen yet and stops; nothing is too late.
 
-def stream_ingest_daily(spark: SparkSession, in_path: str, schema: T.StructType, out_path: str, checkpoint: str, **kw) -> StreamingQuery:
-    """Runs over all files not seen yet and stops. Each batch writes the updated days under
-    its batch number, so a repeated batch replaces its own files only."""
-    days = daily_stream(spark, in_path, schema, **kw)
+    A batch keeps the observations whose key no earlier batch has, and adds their keys and
+    their daily sums and counts to two tables. Sums and counts, unlike means, add up over
+    batches. A batch that is repeated after a failure overwrites its own output only."""
+    ids = list(key or [*by, ts, value])
+    obs = _observations(spark, in_path, schema, ts, select)
+    keys_path, sums_path = f"{out_path}/keys", f"{out_path}/sums"
+    keys_schema = T.StructType([obs.schema[c] for c in ids] + [T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())])
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id:010d}")
+        session = batch.sparkSession
+        fresh = batch.withColumn("day", F.to_date(ts)).dropDuplicates(ids)
+        if batch_id > 0:
+            # only the days of this batch are looked up among the known keys
+            days = [r[0] for r in fresh.select("day").distinct().collect()]
+            known = session.read.schema(keys_schema).parquet(keys_path).where(F.col("day").isin(days) & (F.col("batch") < batch_id))
+            fresh = fresh.join(known.select(*ids), ids, "left_anti")
+        fresh = fresh.persist()
+        try:
+            keys = fresh.select(*ids, "day", F.lit(batch_id).cast("long").alias("batch"))
+            keys.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(keys_path)
+            sums = fresh.groupBy(*by, F.col("day").alias("obs_date")).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
+            (sums.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sums_path))
+        finally:
+            fresh.unpersist()
 
-    return (days.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return obs.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_daily(spark: SparkSession, out_path: str, by: Sequence[str] = ("region_id", "param")) -> DataFrame:
-    """Current daily means: the newest batch that touched a day holds its full state."""
-    rows = spark.read.parquet(f"{out_path}/batch=*")
-    newest = rows.groupBy(*by, "obs_date").agg(F.max_by(F.struct("total", "n"), "batch_id").alias("_s"))
-    return newest.select(*by, "obs_date", F.try_divide(F.col("_s.total"), F.col("_s.n")).alias("value"))
+def read_daily(spark: SparkSession, out_path: str, by: Sequence[str] = BY) -> DataFrame:
+    """Daily means over all batches."""
+    parts = spark.read.parquet(f"{out_path}/sums")
+    return parts.groupBy(*by, "obs_date").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("value"))

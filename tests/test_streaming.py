@@ -2,26 +2,56 @@ from pyspark.sql import functions as F
 
 from harvestline.operators.timeseries import resample_daily
 from harvestline.session import scratch_path
-from harvestline.streaming.ingest import read_daily, stream_ingest_daily
+from harvestline.streaming.ingest import daily_stream, read_daily, stream_ingest_daily
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
 
+def pick(raw):
+    return raw.select("event_id", F.col("user_id").cast("string").alias("region_id"), F.col("event_type").alias("param"), "ts", "value")
+
+
 def run(spark, inbox, out, state):
     schema = spark.read.parquet(EVENTS).schema
-    pick = lambda raw: raw.select("event_id", F.col("user_id").cast("string").alias("region_id"), F.col("event_type").alias("param"), "ts", "value")
     stream_ingest_daily(spark, inbox, schema, out, state, key=["event_id"], select=pick).awaitTermination()
 
 
+def as_dict(df):
+    return {(r.region_id, r.param, r.obs_date): round(r.value, 6) for r in df.collect()}
+
+
+def batch_result(events):
+    return as_dict(resample_daily(pick(events).withColumn("ts", F.col("ts").cast("timestamp"))))
+
+
 def test_restarted_stream_equals_batch(spark):
     inbox, out, state = (scratch_path(spark, n) for n in ("inbox", "out", "state"))
     events = spark.read.parquet(EVENTS)
-    half = events.where("event_id < 500")
-    half.write.parquet(f"{inbox}")
+    events.where("event_id >= 400").write.parquet(inbox)
     run(spark, inbox, out, state)
-    events.where("event_id >= 400").write.mode("append").parquet(inbox)  # 100 rows arrive twice
+    events.where("event_id < 500").write.mode("append").parquet(inbox)  # 100 rows arrive twice
     run(spark, inbox, out, state)
-    got = {(r.region_id, r.param, r.obs_date): round(r.value, 6) for r in read_daily(spark, out).collect()}
-    batch = resample_daily(events.select(F.col("user_id").cast("string").alias("region_id"), F.col("event_type").alias("param"), F.col("ts").cast("timestamp").alias("ts"), "value"))
-    want = {(r.region_id, r.param, r.obs_date): round(r.value, 6) for r in batch.collect()}
-    assert got == want
+    assert as_dict(read_daily(spark, out)) == batch_result(events)
+    run(spark, inbox, out, state)  # nothing new
+    assert as_dict(read_daily(spark, out)) == batch_result(events)
+
+
+def test_very_late_files_still_count(spark):
+    inbox, out, state = (scratch_path(spark, n) for n in ("inbox", "out", "state"))
+    events = spark.read.parquet(EVENTS)
+    old = events.withColumns({"ts": F.col("ts") - F.expr("interval 400 days"), "event_id": F.col("event_id") + 1_000_000})
+    events.write.parquet(inbox)
+    run(spark, inbox, out, state)
+    old.write.mode("append").parquet(inbox)
+    run(spark, inbox, out, state)
+    assert as_dict(read_daily(spark, out)) == batch_result(events.unionByName(old))
+
+
+def test_live_view_equals_batch(spark):
+    inbox = scratch_path(spark, "inbox")
+    events = spark.read.parquet(EVENTS)
+    events.unionByName(events).write.parquet(inbox)
+    live = daily_stream(spark, inbox, events.schema, key=["event_id"], select=pick)
+    job = live.writeStream.outputMode("complete").format("memory").queryName("live_days").trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert as_dict(spark.table("live_days")) == batch_result(events)
