@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -19,11 +19,13 @@ def _complete(df: DataFrame, obs: str, pred: str) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, obs: str = "y_true", pred: str = "y_pred", by: Sequence[str] = ("setup",),
-                       median_bias: bool = True) -> DataFrame:
+                       median_bias: bool = True, custom: Mapping[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """Every score per group. One aggregation; the exact median of the bias adds a second
-    small pass and can be left out."""
+    small pass and can be left out. ``custom`` adds own scores: functions of the observed
+    and predicted column that return an aggregate."""
     pairs = _complete(df, obs, pred)
-    out = pairs.groupBy(*by).agg(*[c.alias(n) for n, c in score_columns(obs, pred).items()])
+    scores = score_columns(obs, pred) | {n: f(F.col(obs), F.col(pred)) for n, f in (custom or {}).items()}
+    out = pairs.groupBy(*by).agg(*[c.alias(n) for n, c in scores.items()])
     if not median_bias:
         return out
     bias = exact_median(pairs.select(*by, (F.col(pred) - F.col(obs)).alias("_e")), "_e", by, "med_bias").drop("n")

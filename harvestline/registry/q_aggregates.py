@@ -232,6 +232,12 @@ def _(v: Views):
     return S.regression_metrics(v.preds, by=["setup", "crop"])
 
 
+@query("custom_metric", "setup worst:d n:l", f"SELECT setup, max(abs{_E}) AS worst, count(*) AS n FROM preds GROUP BY 1", "preds")
+def _(v: Views):
+    """A user's own score as a function of two columns."""
+    return S.regression_metrics(v.preds, median_bias=False, custom={"worst": lambda obs, pred: F.max(F.abs(pred - obs))})
+
+
 _WIDE_PREDS = "(SELECT region, crop, year, max(y_true) AS observed, " + ", ".join(f"max(CASE WHEN setup = '{s}' AND y_pred > 4 THEN y_pred END) AS {s}" for s in SETUPS) + " FROM preds GROUP BY 1, 2, 3)"
 
 

@@ -34,6 +34,15 @@ def scan_columnar(spark: SparkSession, path: str | Sequence[str], columns: Seque
     return df.select(*columns) if columns else df
 
 
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Table in a domain schema: named columns in order and type, NaN turned into NULL."""
+    def column(f: T.StructField):
+        c = F.col(f"`{f.name}`").cast(f.dataType)
+        return (F.when(~F.isnan(c), c) if isinstance(f.dataType, T.DoubleType) else c).alias(f.name)
+
+    return df.select(*[column(f) for f in schema.fields])
+
+
 def sink_columnar(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 

@@ -115,3 +115,17 @@ def test_hp_default_when_no_run(spark):
 def test_manifest_numbers_runs(spark):
     path = scratch_path(spark, "manifest")
     assert [B.append_manifest(spark, path, {"lead": i}) for i in range(3)] == [1, 2, 3]
+
+
+def test_own_score_next_to_the_built_in_ones(spark):
+    df = spark.createDataFrame([("s", 1.0, 2.0), ("s", 3.0, 7.0)], "setup string, y_true double, y_pred double")
+    r = S.regression_metrics(df, custom={"worst": lambda o, p: F.max(F.abs(p - o))}).first()
+    assert r.worst == 4.0 and r.mae == 2.5
+
+
+def test_conformed_tables_hold_no_nan(spark):
+    from harvestline.schemas import SERIES
+
+    df = spark.createDataFrame([(1, "p", "2020-01-01", float("nan")), (2, "p", "2020-01-02", 1.5)], "region_id int, param string, obs_date string, value double")
+    out = B.conform(df, SERIES)
+    assert out.schema == SERIES and [r.value for r in out.orderBy("region_id").collect()] == [None, 1.5]
