@@ -16,7 +16,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-PREFIX = 2  # hex digits: 256 slices of every group
+PREFIX = 3  # hex digits: 4096 slices of every group
 BUCKETS = 4096
 
 
