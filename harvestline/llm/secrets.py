@@ -1,0 +1,205 @@
+"""Secret scan: pattern candidates, confirmed by their inner structure.
+
+Base patterns report assignments, access keys and long hex runs. Beyond them, base64 and hex
+runs are decoded and reported only if their content parses as what it claims to be: a signed
+token whose header is JSON with an algorithm, a DER structure whose nested lengths add up to a
+key, an OpenSSH private key with its length-prefixed fields, or a PEM block around one of these.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import hashlib
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from harvestline.llm.common import prepared
+
+# Order of the kinds in listings; the first three are the base kinds.
+KINDS = ("assign", "access", "hex", "signed_token", "pem_key", "der_key", "ssh_key")
+BASE = KINDS[:3]
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
+ASSIGN_WORD = re.compile(r"passw|secret|token|api_?key", re.A | re.I)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{16,}")
+MIXED_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+SIGNED = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+
+SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
+          "n_confirmed long")
+
+
+def unbase64(text: str) -> bytes | None:
+    """Bytes of a base64 run in either alphabet, padded or not; None if it is none."""
+    body = text.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
+    """(tag, content) of consecutive DER items that fill ``data`` exactly, else None."""
+    items, at = [], 0
+    while at < len(data):
+        if at + 2 > len(data):
+            return None
+        tag, length = data[at], data[at + 1]
+        at += 2
+        if length & 0x80:
+            n = length & 0x7F
+            if not 1 <= n <= 4 or at + n > len(data):
+                return None
+            length = int.from_bytes(data[at:at + n], "big")
+            at += n
+        if at + length > len(data):
+            return None
+        items.append((tag, data[at:at + length]))
+        at += length
+    return items
+
+
+def is_der_key(data: bytes) -> bool:
+    """RSA or DSA integers, an EC private key, or a PKCS#8 wrapper with one of them inside."""
+    outer = der_items(data)
+    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+        return False
+    inner = der_items(outer[0][1])
+    if not inner or len(inner) < 3 or inner[0][0] != 0x02 or len(inner[0][1]) != 1:
+        return False
+    tags = [tag for tag, _ in inner]
+    if len(tags) in (6, 9) and set(tags) == {0x02}:
+        return True
+    if tags[1] == 0x04 and inner[0][1] == b"\x01" and 16 <= len(inner[1][1]) <= 80:
+        return True
+    if tags[1] == 0x30 and tags[2] == 0x04:
+        algorithm = der_items(inner[1][1])
+        return bool(algorithm) and algorithm[0][0] == 0x06 and der_items(inner[2][1]) is not None
+    return False
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """OpenSSH private key: the magic text, then cipher, derivation and options as
+    length-prefixed strings, a key count, and the public key."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return False
+    at = len(magic)
+    for _ in range(3):
+        if at + 4 > len(data):
+            return False
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+    if at + 8 > len(data) or not 1 <= int.from_bytes(data[at:at + 4], "big") <= 16:
+        return False
+    return at + 8 + int.from_bytes(data[at + 4:at + 8], "big") <= len(data)
+
+
+def is_signed_token(header: str, payload: str) -> bool:
+    decoded = unbase64(header)
+    if decoded is None or unbase64(payload) is None:
+        return False
+    try:
+        fields = json.loads(decoded)
+    except (ValueError, RecursionError):
+        return False
+    return isinstance(fields, dict) and isinstance(fields.get("alg"), str)
+
+
+def find_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all findings, by start and then by kind as listed. Positions are
+    code points, end exclusive."""
+    found: list[tuple[int, int, str]] = []
+    if ASSIGN_WORD.search(text):
+        found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    if "AKIA" in text:
+        found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+    found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    inside: list[tuple[int, int]] = []
+    if "eyJ" in text:
+        found += [(m.start(), m.end(), "signed_token") for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
+    if "-----BEGIN" in text:
+        for m in PEM.finditer(text):
+            data = unbase64("".join(m[2].split()))
+            if data and (is_der_key(data) or is_ssh_key(data)):
+                found.append((m.start(), m.end(), "pem_key"))
+                inside.append(m.span())
+    for m in BASE64.finditer(text):
+        if m[0].startswith(("M", "b3BlbnNzaC1rZXktdjE")) and not any(a <= m.start() < b for a, b in inside):
+            data = unbase64(m[0])
+            if data and is_der_key(data):
+                found.append((m.start(), m.end(), "der_key"))
+            elif data and is_ssh_key(data):
+                found.append((m.start(), m.end(), "ssh_key"))
+    for m in MIXED_HEX.finditer(text):
+        if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
+            found.append((m.start(), m.end(), "der_key"))
+    order = {kind: k for k, kind in enumerate(KINDS)}
+    return sorted(set(found), key=lambda s: (s[0], order[s[2]], s[1]))
+
+
+def listing(spans: list[tuple[int, int, str]]) -> str:
+    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text) with its findings. Null and empty texts have
+    none; a null doc_id stays null; repeated rows are scanned each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed")}
+            for text in batch.column(1):
+                spans = find_spans(text.as_py() or "")
+                base = [s for s in spans if s[2] in BASE]
+                for kind in BASE:
+                    out[f"n_{kind}"].append(sum(s[2] == kind for s in base))
+                out["base_sha256"].append(hashlib.sha256(listing(base).encode()).hexdigest())
+                out["spans"].append(listing(spans))
+                out["n_confirmed"].append(len(spans) - len(base))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), *[pa.array(v, pa.string() if k in ("base_sha256", "spans") else pa.int64()) for k, v in out.items()]],
+                names=["doc_id", *out])
+
+    return prepared(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def redact(text: str, mark: str = "[secret]") -> str:
+    """The text with every finding replaced; overlapping findings become one mark."""
+    out, at = [], 0
+    for start, end, _ in find_spans(text):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with findings replaced in ``text`` (null stays null); all other columns are kept,
+    ``n_chars`` follows the new text where it exists."""
+    schema = docs.schema
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is None else redact(t, mark) for t in batch.column(names.index("text")).to_pylist()]
+            arrays = list(batch.columns)
+            at = names.index("text")
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                old = batch.column(at).to_pylist()
+                counts = [c if new == t else len(new) for c, t, new in zip(batch.column(k).to_pylist(), old, texts)]
+                arrays[k] = pa.array(counts, batch.column(k).type)
+            arrays[at] = pa.array(texts, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return prepared(docs, *names).mapInArrow(run, schema)
