@@ -31,3 +31,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = draws(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
                         (F.col("size") * F.size("shards")).alias("taken"), "shards")
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestline.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestline.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))

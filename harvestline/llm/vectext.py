@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 
 @lru_cache(maxsize=None)
 def constants(bank: int) -> tuple[np.ndarray, np.uint64]:
-    """Random value of each byte (0 for white space) and an odd multiplier."""
+    """Random value of each byte and an odd multiplier."""
     rng = np.random.Generator(np.random.PCG64(1000 + bank))
     values = rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
     return values, rng.integers(1, 2**63 - 1, dtype=np.uint64) * U(2) + U(1)
