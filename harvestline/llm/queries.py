@@ -45,3 +45,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvestline.llm.language import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestline.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
