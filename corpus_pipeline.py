@@ -9,7 +9,7 @@ from harvestline.llm.common import stored, table
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from harvestline.llm.secrets import redacted
+    from harvestline.llm.secret_scan import redacted
 
     return redacted(docs)
 

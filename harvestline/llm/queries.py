@@ -19,7 +19,7 @@ def query(fn):
 
 @query
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from harvestline.llm.secrets import scan
+    from harvestline.llm.secret_scan import scan
 
     return scan(table(spark, sf_dir, "documents"))
 

@@ -81,36 +81,36 @@ class BlockMaxIndex:
         self.term_entry = np.searchsorted(key[self.first] // self.block_count if len(key) else self.first, np.arange(n_terms + 1))
         self.end = np.append(self.first, len(self.row))
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k best with a positive cosine, ties to the smaller row."""
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines (nine digits) of the k best with a positive cosine. Blocks are scored
+        by falling bound, a growing group at a time, until no bound exceeds the k-th best; of rows
+        that tie at the k-th place those of blocks scored earlier stay, then smaller rows."""
         counts = self.term_entry[term + 1] - self.term_entry[term]
-        if not counts.sum():
+        total = int(counts.sum())
+        if not total:
             return np.zeros(0, np.int64), np.zeros(0)
-        entry = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.term_entry[term], counts)
-        share = np.repeat(weight, counts)
-        bound = np.bincount(self.entry_block[entry], self.entry_max[entry] * share, minlength=self.block_count)
+        entry = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.term_entry[term], counts)
+        share, block = np.repeat(weight, counts), self.entry_block[entry]
+        bound = np.round(np.bincount(block, self.entry_max[entry] * share, minlength=self.block_count) + 1e-12, 9)
         by_bound = np.argsort(-bound, kind="stable")
-        by_block = np.argsort(self.entry_block[entry], kind="stable")
-        place = np.searchsorted(self.entry_block[entry][by_block], np.arange(self.block_count + 1))
+        by_bound = by_bound[:int((bound > 0).sum())]
         best_row, best = np.zeros(0, np.int64), np.zeros(0)
-        step = 4
-        for at in range(0, self.block_count, step):
-            blocks = by_bound[at:at + step]
-            blocks = blocks[bound[blocks] > 0]
-            if not len(blocks) or (len(best) == k and bound[blocks[0]] < best[-1] - 1e-9):
+        at, step = 0, 4
+        while at < len(by_bound):
+            if len(best) == k and bound[by_bound[at]] <= best[-1]:
                 break
-            for b in blocks:
-                mine = by_block[place[b]:place[b + 1]]
-                e = entry[mine]
-                n = self.end[e + 1] - self.end[e]
-                post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.end[e], n)
-                score = np.bincount(self.row[post] - b * BLOCK, self.weight[post] * np.repeat(share[mine], n), minlength=BLOCK)
-                hit = np.flatnonzero(score > 0)
-                best_row, best = np.concatenate([best_row, hit + b * BLOCK]), np.concatenate([best, score[hit]])
-            if without >= 0:
-                best, best_row = best[best_row != without], best_row[best_row != without]
-            order = np.lexsort((best_row, -best))[:k]
-            best_row, best = best_row[order], best[order]
+            chosen = np.zeros(self.block_count, bool)
+            chosen[by_bound[at:at + step]] = True
+            mine = chosen[block]
+            e = entry[mine]
+            n = self.end[e + 1] - self.end[e]
+            post = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.end[e], n)
+            score = np.round(np.bincount(self.row[post], self.weight[post] * np.repeat(share[mine], n)), 9)
+            hit = np.flatnonzero(score > 0)
+            row, cosine = np.concatenate([best_row, hit]), np.concatenate([best, score[hit]])
+            order = np.argsort(-cosine, kind="stable")[:k]
+            best_row, best = row[order], cosine[order]
+            at, step = at + step, step * 2
         return best_row, best
 
 
@@ -153,9 +153,9 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
     return df, int(found.loc[found["term"] < 0, "n"].sum())
 
 
-def vote(index: BlockMaxIndex, y: np.ndarray, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+def vote(index: BlockMaxIndex, y: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Share of the label among the neighbours, weighted by cosine ** POWER."""
-    row, cosine = index.nearest(term, weight, NEIGHBOURS, without)
+    row, cosine = index.nearest(term, weight, NEIGHBOURS)
     if not len(row):
         return -1.0, row, cosine
     w = cosine ** POWER
