@@ -52,3 +52,43 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvestline.llm.toxicity import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestline.llm.vector_search import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_exact_top_k"] = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM scored)
+SELECT * FROM ranked WHERE "rank" <= 10
+"""
+
+
+@query
+def op4_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestline.llm.archives import archived
+    from harvestline.llm.common import stored
+
+    records = stored(archived(table(spark, sf_dir, "pages")).drop("payload"), "warc-records")
+    response = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    return records.join(response, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op4_warc_converter"] = """
+WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+ranked AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_id FROM payloads)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+FROM ranked
+"""
