@@ -92,3 +92,10 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
 FROM ranked
 """
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestline.llm.bpe import encode
+
+    return encode(table(spark, sf_dir, "documents"), with_ids=False)
