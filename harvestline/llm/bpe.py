@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from harvestline.llm import vectext as vt
-from harvestline.llm.chunks import chunked, id_array, pack, ragged, texts, unpack
+from harvestline.llm.chunks import CHUNK_BYTES, chunked, id_array, pack, ragged, texts, unpack
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -96,11 +96,11 @@ def encode_words(rows: DataFrame, path: str | None) -> DataFrame:
     return rows.repartition("bucket").mapInArrow(run, "chunk int, bucket int, ids binary")
 
 
-def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_tokens, the SHA-256 of the ids and of the text
     decoded from them, and (``with_ids``) the ids. A null or empty text has no ids and decodes to
     the empty text; a null doc_id stays null; repeated rows are encoded each."""
-    chunks = chunked(docs)
+    chunks = chunked(docs, chunk_bytes)
     buckets = 8 * int(np.ceil(np.sqrt(chunks.chunks)))
 
     def ask(group: pa.Table) -> pa.Table:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from harvestline.llm.common import prepared, strings
 
-CHUNK_BYTES = 16 << 20  # text in a chunk, about; a longer single text is a chunk of its own size
+CHUNK_BYTES = 8 << 20  # text in a chunk, about; a longer single text is a chunk of its own size
 
 
 @dataclass

@@ -99,3 +99,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvestline.llm.bpe import encode
 
     return encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestline.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)

@@ -71,21 +71,21 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return runs(~SPACE[raw], off)
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, bank: int) -> np.ndarray:
-    """Hash of each of the disjoint spans, in order."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    lengths = end - start
-    values, _ = constants(bank)
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(total) - np.repeat(first, lengths)
-    chars = raw[place + np.repeat(start, lengths)]
-    terms = values[chars] * powers(bank, int(lengths.max()) + 1)[place]
-    filled = lengths > 0
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, bank: int, block: int = 1 << 16) -> np.ndarray:
+    """Hash of each of the disjoint spans, in order; a block of spans at a time."""
     out = np.zeros(len(start), np.uint64)
-    if total:
-        out[filled] = np.add.reduceat(terms, first[filled])
+    values, _ = constants(bank)
+    for at in range(0, len(start), block):
+        first_byte, lengths = start[at:at + block], end[at:at + block] - start[at:at + block]
+        total = int(lengths.sum())
+        if not total:
+            continue
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(total) - np.repeat(first, lengths)
+        chars = raw[place + np.repeat(first_byte, lengths)]
+        terms = values[chars] * powers(bank, int(lengths.max()) + 1)[place]
+        filled = np.flatnonzero(lengths > 0)
+        out[at + filled] = np.add.reduceat(terms, first[filled])
     return mix(out)
 
 
