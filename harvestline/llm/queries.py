@@ -106,3 +106,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvestline.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestline.llm.near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
