@@ -1,27 +1,51 @@
-"""The corpus pipeline: toxic documents go, near copies are thinned, secrets are masked, sources
-are mixed to their weights, and what is left is encoded. Each stage reads what the one before wrote."""
+"""The corpus pipeline: toxic documents go, one document of each near-duplicate group stays,
+secrets are masked, sources are mixed to their weights, and what is left is encoded.
+
+Each stage takes the documents its predecessor wrote and returns all columns of documents, but
+for the last, which returns the digests of the encoding. Missing columns besides doc_id, text
+and source are not needed; further columns pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from harvestline.llm import bpe, mixing, near_dups, secret_scan, toxicity
 from harvestline.llm.common import stored, table
 
 
-def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from harvestline.llm.secret_scan import redacted
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not predicted toxic. A document whose id is null cannot be told from others of
+    null id, so it stays."""
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    toxic = scored.where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
+    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles with a similarity of 0.8 or more.
+    Rows of one doc_id stay or go together."""
+    spare = near_dups.near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(spare, "doc_id", "left_anti").select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every finding of the secret scan replaced."""
+    return secret_scan.redacted(docs)
 
-    return redacted(docs)
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each copy the mix takes."""
+    return mixing.mixture(docs)
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from harvestline.llm.mixing import mixture
 
-    return mixture(docs)
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, with_ids=False)
 
 
-STAGES = [("secrets", secrets), ("mixing", mixing)]
-ORACLE_SQL = None  # a trained score, hash draws and a tokenizer have no SQL
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("secrets", mask_secrets),
+          ("mixing", mix_sources), ("bpe", encode)]
+ORACLE_SQL = None  # a trained score, hash draws and a tokenizer have no SQL; tests replay each stage
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
