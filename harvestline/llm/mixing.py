@@ -21,6 +21,7 @@ from harvestline.llm.common import WORD, stored
 BITS = 10
 BLOCKS = 1 << BITS
 WEIGHTS = (5.0, 2.0, 1.0)
+ADDED = ("size", "source_size", "target", "shards")
 
 
 def sizes(docs: DataFrame) -> Column:
@@ -101,8 +102,7 @@ def draws(docs: DataFrame, levels: int = 4, seed: int = 7, share: float = 1.5, l
     doc_id is a value of its own. Repeated rows with equal doc_id and source share their block,
     so they are taken alike. An empty table gives an empty result. Extra columns pass through;
     the names this function adds replace equal ones."""
-    added = ("size", "source_size", "target", "shards")
-    own = [c for c in docs.columns if c not in added]
+    own = [c for c in docs.columns if c not in ADDED]
     rows = docs.select(*[F.col(f"`{c}`") for c in own])
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"))
     permuted = F.pmod(F.pmod(F.shiftrightunsigned(key, 20), F.lit(BLOCKS)) * 389, F.lit(BLOCKS)).cast("int")
@@ -162,8 +162,8 @@ def draws(docs: DataFrame, levels: int = 4, seed: int = 7, share: float = 1.5, l
 def mixture(docs: DataFrame, levels: int = 4, seed: int = 7, **targets) -> DataFrame:
     """The mix itself: one row per copy with the columns of ``docs``, each shard's copies in one
     run of partitions and in hash order. A shard too large for one task is cut by the same hash."""
-    mixed = draws(docs, levels, seed, **targets)
-    own = [c for c in docs.columns if c in mixed.columns]
-    exploded = mixed.select(*[F.col(f"`{c}`") for c in own], F.posexplode("shards").alias("_copy", "_shard"))
+    inner = {c: f"_own_{c}" if c in ADDED else c for c in docs.columns}
+    mixed = draws(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), levels, seed, **targets)
+    exploded = mixed.select(*[F.col(f"`{n}`").alias(c) for c, n in inner.items()], F.posexplode("shards").alias("_copy", "_shard"))
     order = F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("_copy"), F.col("text"))
-    return exploded.withColumn("_order", order).repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*[F.col(f"`{c}`") for c in own])
+    return exploded.withColumn("_order", order).repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*[F.col(f"`{c}`") for c in inner])
