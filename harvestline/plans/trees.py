@@ -57,7 +57,7 @@ def scaled_fit(estimator: Estimator, features: Sequence[str], impute: bool = Tru
     cols = list(features)
     filled = [f"_f_{c}" for c in cols] if impute else cols
     stages = [Imputer(inputCols=cols, outputCols=filled, strategy="mean")] if impute else []
-    stages += [VectorAssembler(inputCols=filled, outputCol="_raw", handleInvalid="skip"),
+    stages += [VectorAssembler(inputCols=filled, outputCol="_raw", handleInvalid="error"),
                StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True), estimator]
     return Pipeline(stages=stages)
 
@@ -168,7 +168,7 @@ def random_search(df: DataFrame, features: Sequence[str], space: Mapping[str, Se
     every = [dict(zip(space, combo)) for combo in itertools.product(*space.values())]
     random.Random(seed).shuffle(every)
     data = prepare(folds_kfold(df, keys, folds, seed), [*keys, label, *features, "fold"])
-    return _search(data, estimator or forest(20, 5), every[:draws], features, label, "fold", folds, metric)
+    return _search(data, estimator or forest(), every[:draws], features, label, "fold", folds, metric)
 
 
 def grid_search(df: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence], make: Callable[[dict], Estimator], roles: DataFrame, *,
@@ -224,7 +224,7 @@ def predictor_set_compare(df: DataFrame, make: Callable[[], Estimator], prefixes
 def feature_importance(df: DataFrame, features: Sequence[str], estimator: Estimator | None = None, label: str = "yield") -> DataFrame:
     """Model importances with their rank."""
     data = df.withColumn("label", F.col(label).cast("double")).where(F.col("label").isNotNull())
-    model = scaled_fit(estimator or forest(20, 5), features).fit(data)
+    model = scaled_fit(estimator or forest(), features).fit(data)
     imp = model.stages[-1].featureImportances.toArray()
     order = sorted(range(len(features)), key=lambda i: (-imp[i], features[i]))
     rows = [(features[i], float(imp[i]), r) for r, i in enumerate(order, 1)]
@@ -238,7 +238,7 @@ def rfe(df: DataFrame, features: Sequence[str], keep: int = 10, make: Callable[[
     data = prepare(df, [label, *features])
     left, dropped = list(features), []
     while len(left) > keep:
-        imp = {r["feature"]: r["importance"] for r in feature_importance(data, left, (make or (lambda: forest(10, 5)))(), label).collect()}
+        imp = {r["feature"]: r["importance"] for r in feature_importance(data, left, (make or forest)(), label).collect()}
         worst = sorted(left, key=lambda f: (imp[f], f))[: min(step, len(left) - keep)]
         dropped = worst[::-1] + dropped if step == 1 else sorted(worst, key=lambda f: -imp[f]) + dropped
         left = [f for f in left if f not in worst]
@@ -256,21 +256,22 @@ def cross_train(source: DataFrame, target: DataFrame, make: Callable[[], Estimat
     return union_all(run_jobs([run("a", "b"), run("b", "a")]))
 
 
-def tuning_compare(df: DataFrame, features: Sequence[str], leads: Sequence[int], *, space: Mapping[str, Sequence], draws: int = 3,
-                   folds: int = 3, keep: int = 4, label: str = "yield", group: str = "c_year", keys: Sequence[str] = KEYS) -> DataFrame:
+def tuning_compare(df: DataFrame, features: Sequence[str], leads: Sequence[int], *, space: Mapping[str, Sequence], draws: int = 50,
+                   folds: int = 20, keep: int = 4, make: Callable[[], Estimator] = forest, label: str = "yield", group: str = "c_year",
+                   keys: Sequence[str] = KEYS) -> DataFrame:
     """Default model, feature selection, tuning, and both, at each lead."""
     data = prepare(df, list(dict.fromkeys([*keys, group, label, *features])))
     s = score_columns("y_true", "y_pred")
     out = []
     for lead in leads:
         known = feature_columns(select_lead_predictors(data, [], min_lead=lead))
-        chosen = [r[0] for r in rfe(data, known, min(keep, len(known)), label=label, step=2).where("selected").select("feature").collect()]
+        chosen = [r[0] for r in rfe(data, known, min(keep, len(known)), make, label=label, step=2).where("selected").select("feature").collect()]
         for name, cols, tuned in (("default", known, False), ("selected", chosen, False), ("tuned", known, True), ("both", chosen, True)):
             params = {}
             if tuned:
-                best = random_search(data, cols, space, draws=draws, folds=folds, label=label, keys=keys).first()["params"]
+                best = random_search(data, cols, space, make(), draws=draws, folds=folds, label=label, keys=keys).first()["params"]
                 params = ast.literal_eval(best)
-            preds = leave_one_group(data, lambda p=params: forest(10, 5).copy().setParams(**p) if p else forest(10, 5), {name: cols}, label, group, keys)
+            preds = leave_one_group(data, lambda p=params: make().setParams(**p) if p else make(), {name: cols}, label, group, keys)
             out.append(preds.groupBy("setup").agg(s["ev"].alias("ev"), s["n"].alias("n")).withColumn("lead", F.lit(lead)))
     return union_all(out)
 

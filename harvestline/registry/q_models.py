@@ -12,8 +12,9 @@ from harvestline.registry.views import FEATURES, Views
 
 KEYS = ["region_id", "c_year"]
 TARGET = "03"  # the country that is forecast; all others are sources
-NET = {"hidden": (16, 8), "epochs": 12, "rate": 0.02, "l2": 0.0001}
-TUNE = {"tune_rate": 0.005, "tune_epochs": 6}
+# Epochs, patience and fine-tuning epochs are the library's defaults. A step here uses all rows, so rates are larger than with small batches.
+NET = {"rate": 0.02, "l2": 0.0001}
+TUNE = {"tune_rate": 0.005}
 ROW_ID = "md5(region_id || '_' || CAST(c_year AS VARCHAR) || '_{seed}')"
 
 
@@ -154,7 +155,7 @@ def _(v: Views):
 
 @query("cross_val_predict_grouped", "region_id c_year:i setup fold:i y_true:d y_pred:d")
 def _(v: Views):
-    return M.leave_one_group(v.features, lambda: M.boosted(3), feature_groups(FEATURES))
+    return M.leave_one_group(v.features, lambda: M.boosted(50), feature_groups(FEATURES))
 
 
 @query("forecast_by_lead", "region_id c_year:i y_true:d LT1:d LT2:d LT3:d LT4:d")
@@ -176,7 +177,7 @@ def _(v: Views):
 
 @query("rfe", "feature rank:i selected:b")
 def _(v: Views):
-    return M.rfe(v.features, FEATURES, keep=10)
+    return M.rfe(v.features, FEATURES, keep=10, make=lambda: M.forest(20, 5))
 
 
 @query("feature_importance", "feature importance:d rank:i")
@@ -195,13 +196,13 @@ def _(v: Views):
 
 @query("predictor_set_compare", "predictors lead:i r2:d rmse:d n:l")
 def _(v: Views):
-    sets = {"evi": ["evi"], "weather": ["t2m", "tp"], "all": ["evi", "sm", "t2m", "tp"]}
-    return M.predictor_set_compare(v.features, lambda: M.linear(), sets, [1, 3])
+    sets = {"evi": ["evi"], "soil": ["sm"], "weather": ["t2m", "tp"], "no_soil": ["evi", "t2m", "tp"], "all": ["evi", "sm", "t2m", "tp"]}
+    return M.predictor_set_compare(v.features, lambda: M.linear(), sets, [1, 2, 3, 4])
 
 
 @query("tuning_compare", "setup lead:i ev:d n:l")
 def _(v: Views):
-    return M.tuning_compare(v.features, FEATURES, [3], space={"maxDepth": [3, 5], "numTrees": [5, 10]}, draws=2, folds=2, keep=6)
+    return M.tuning_compare(v.features, FEATURES, [3], space={"maxDepth": [3, 5], "numTrees": [5, 10]}, draws=2, folds=2, keep=6, make=lambda: M.forest(10, 5))
 
 
 # --- networks ------------------------------------------------------------------------
@@ -250,7 +251,7 @@ def _(v: Views):
 
 @query("hp_sweep", "hp year stage part units:i dropout:d epochs:i trainable:i r2:d mae:d bias:d r:d")
 def _(v: Views):
-    grid = [{"units": u, "dropout": d, "epochs": 8, "trainable": t} for u in (8, 16) for d in (0.0, 0.2) for t in (1, 2)]
+    grid = [{"units": u, "dropout": d, "epochs": 200, "trainable": t} for u in (16, 32, 64) for d in (0.0, 0.2, 0.4) for t in (1, 2)]
     return X.hp_sweep(table(v), TARGET, [2000, 2001], grid, FEATURES, tune_rate=0.005)
 
 
@@ -265,12 +266,12 @@ def _(v: Views):
 
 @query("permutation_importance_cv", "stage feature importance_mean:d importance_std:d n_folds:l")
 def _(v: Views):
-    return explain.permutation_importance_cv(table(v), TARGET, FEATURES, repeats=3, metric="mse", tune_rate=0.005, **NET)
+    return explain.permutation_importance_cv(table(v), TARGET, FEATURES, repeats=5, metric="mse", tune_rate=0.005, **NET)
 
 
 @query("importance_over_years", "year:i feature feature_type base_mean:d base_std:d finetuned_mean:d finetuned_std:d")
 def _(v: Views):
-    return explain.importance_over_years(table(v), TARGET, FEATURES, repeats=3, metric="mse", tune_rate=0.005, **NET)
+    return explain.importance_over_years(table(v), TARGET, FEATURES, repeats=5, metric="mse", tune_rate=0.005, **NET)
 
 
 # --- classification ------------------------------------------------------------------

@@ -34,26 +34,25 @@ def stream_ingest_daily(spark: SparkSession, in_path: str, schema: T.StructType,
                         select: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Takes all files not seen yet and stops; nothing is too late.
 
-    A batch keeps the observations whose key no earlier batch has, and adds their keys and
-    their daily sums and counts to two tables. Sums and counts, unlike means, add up over
-    batches. A batch that is repeated after a failure overwrites its own output only."""
+    A batch keeps the observations whose key no earlier batch has, whatever day they had then
+    (the first delivery counts), and adds their keys and their daily sums and counts to two
+    tables. Sums and counts, unlike means, add up over batches. A batch that is repeated after a
+    failure overwrites its own output only; it writes one folder of keys and one of sums."""
     ids = list(key or [*by, ts, value])
     obs = _observations(spark, in_path, schema, ts, select)
     keys_path, sums_path = f"{out_path}/keys", f"{out_path}/sums"
-    keys_schema = T.StructType([obs.schema[c] for c in ids] + [T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())])
+    keys_schema = T.StructType([obs.schema[c] for c in ids] + [T.StructField("batch", T.LongType())])
 
     def save(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         fresh = batch.withColumn("day", F.to_date(ts)).dropDuplicates(ids)
         if batch_id > 0:
-            # only the days of this batch are looked up among the known keys
-            days = [r[0] for r in fresh.select("day").distinct().collect()]
-            known = session.read.schema(keys_schema).parquet(keys_path).where(F.col("day").isin(days) & (F.col("batch") < batch_id))
+            known = session.read.schema(keys_schema).parquet(keys_path).where(F.col("batch") < batch_id)
             fresh = fresh.join(known.select(*ids), ids, "left_anti")
         fresh = fresh.persist()
         try:
-            keys = fresh.select(*ids, "day", F.lit(batch_id).cast("long").alias("batch"))
-            keys.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(keys_path)
+            keys = fresh.select(*ids, F.lit(batch_id).cast("long").alias("batch"))
+            keys.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(keys_path)
             sums = fresh.groupBy(*by, F.col("day").alias("obs_date")).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
             (sums.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sums_path))

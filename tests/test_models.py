@@ -54,12 +54,33 @@ def test_network_learns_and_repeats(panel):
     assert preds.count() == 96 and r2(preds) > 0.8
 
 
+def test_dropout_does_not_depend_on_batches(spark, panel):
+    _, df = panel
+    job = mlp.Job("j", range(4), F.col("c_year") < 2016, hidden=(12, 6), epochs=6, rate=0.03, dropout=0.3)
+    a = mlp.fit_jobs(df, FEATS, "yield", [job])["j"]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        b = mlp.fit_jobs(df.repartition(3), FEATS, "yield", [job])["j"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert all(np.allclose(w, v, atol=1e-9) for (w, _), (v, _) in zip(a.layers, b.layers))
+
+
+def test_sums_of_many_tasks(spark):
+    from harvestline.plans.partials import sum_arrays
+
+    df = spark.range(1000).repartition(100)
+    got = sum_arrays(df, lambda b: {int(k): np.array([float(k), 1.0]) * int((b["id"].to_numpy() % 3 == k).sum()) for k in range(3)})
+    assert {k: v.tolist() for k, v in got.items()} == {0: [0.0, 334.0], 1: [333.0, 333.0], 2: [666.0, 333.0]}
+
+
 def test_gradient_matches_finite_differences():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(20, 3)), rng.normal(size=20)
     layers = [(rng.normal(size=(3, 4)), rng.normal(size=4)), (rng.normal(size=(4, 1)), rng.normal(size=1))]
     net = mlp.Net(layers, [0, 1, 2], np.zeros(3), np.ones(3), 0.0, 1.0)
-    g = mlp._gradient(net, x, y, 0.0, rng)[:-1]
+    g = mlp._gradient(net, x, y, 0.0, np.arange(20), 1, 0)[:-1]
     flat = mlp._flat(layers)
     for i in (0, 5, 13, 17, len(flat) - 1):
         d = np.zeros_like(flat)

@@ -55,3 +55,13 @@ def test_live_view_equals_batch(spark):
     job = live.writeStream.outputMode("complete").format("memory").queryName("live_days").trigger(availableNow=True).start()
     job.awaitTermination()
     assert as_dict(spark.table("live_days")) == batch_result(events)
+
+
+def test_an_event_that_returns_on_another_day_counts_once(spark):
+    inbox, out, state = (scratch_path(spark, n) for n in ("inbox", "out", "state"))
+    events = spark.read.parquet(EVENTS)
+    events.write.parquet(inbox)
+    run(spark, inbox, out, state)
+    events.where("event_id < 50").withColumn("ts", F.col("ts") + F.expr("interval 3 days")).write.mode("append").parquet(inbox)
+    run(spark, inbox, out, state)
+    assert as_dict(read_daily(spark, out)) == batch_result(events)
