@@ -3,8 +3,11 @@
 A document is its set of word shingles. Documents with equal sets form one class, told by a
 128-bit digest, and only the smallest id of a class goes on. MinHash signatures are cut into
 bands; classes that share a band meet in a bucket. No bucket is expanded into all its pairs:
-every member is compared with the bucket's pivot (its smallest id), and only members that this
-leaves outside the bucket's main component are compared with the members of other components.
+every member is compared with the bucket's pivot, the member that shares the most bands with
+others (the text that copies were made from). Members that this leaves outside the bucket's main
+component are compared with members of other components, but only where the shingles they have
+in common with any of them at all would suffice: what a text shares with nobody bounds its
+similarity to everybody, exactly and without looking at pairs.
 
 A pair is verified step by step: after each batch of signature bits the posterior probability
 that its similarity reaches the threshold is known, and pairs below the chosen miss probability
@@ -148,11 +151,33 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return prepared(docs, "doc_id", "text").mapInArrow(run, "doc_id long, packed binary").join(ids, "doc_id", "left_semi")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def common_shingles(texts: DataFrame, outside: DataFrame, size: int) -> DataFrame:
+    """(node, shared): how many shingles of each node in ``outside`` (node) occur in more than one
+    of ``texts`` (doc_id, packed). A task counts its texts before anything is shuffled."""
+    def sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        raw = [np.frombuffer(unpack(blob), np.uint8) for blob in batch.column(1).to_pylist()]
+        return [shingles(r, np.array([0, len(r)]), size)[0] for r in raw]
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = np.unique(np.concatenate([*sets(batch), np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sets(batch)
+            h = np.concatenate([*found, np.zeros(0, np.uint64)])
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(h.view(np.int64))], names=["node", "h"])
+
+    shared = texts.mapInArrow(occurrences, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    mine = texts.join(outside.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(members, "node long, h long")
+    return mine.join(shared, "h").groupBy("node").agg(F.count("*").alias("shared"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) among the pairs: 100 * intersection >= percent * union of the whole sets."""
-    pairs = stored(pairs, "survivors")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(packed_texts(docs, ids), "survivor-texts")
     mine = lambda c: texts.select(F.col("doc_id").alias(c), F.col("packed").alias(f"text_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,16 +214,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = stored(full.groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "s0", "s1", "s2"), "doc_id").alias("sig")), "classes")
     keyed = classes.select("node", F.explode("sig.bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1").select("key", "pivot")
-    buckets = stored(keyed.join(shared, "key").distinct(), "buckets")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    met = stored(keyed.join(shared, "key").distinct(), "meetings")
+    rank = F.struct(F.col("meetings"), -F.col("node"))
+    central = met.join(met.groupBy("node").agg(F.sum("members").alias("meetings")), "node")
+    pivots = central.groupBy("key").agg(F.max_by("node", rank).alias("pivot"))
+    buckets = stored(met.select("key", "node").join(pivots, "key"), "buckets")
     ids = buckets.select("node").distinct()
+    texts = stored(packed_texts(docs, ids.withColumnRenamed("node", "doc_id")), "node-texts")
     nodes = stored(classes.select("node", "n", "sig.s0", "sig.s1", "sig.s2").join(ids, "node", "left_semi"), "nodes")
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(3)])
 
     # each member against the pivot of its bucket
     stars = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     survivors = stars.join(side("b"), "b").join(side("a"), "a").where(may_link(percent)).select("a", "b")
-    links = verified(survivors, docs, size, percent)
+    links = verified(survivors, texts, size, percent)
 
     # members outside the main component of their bucket against the members of other components
     labels = components(links)
@@ -206,11 +236,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     open_ = stored(placed.where("node <> pivot").join(mixed, "key").join(nodes, "node"), "open-buckets")
+    open_nodes = open_.select(F.col("node").alias("doc_id")).distinct()
+    lone = open_.where("component <> main").select("node").distinct()
+    common = stored(common_shingles(texts.join(open_nodes, "doc_id", "left_semi"), lone, size), "common-shingles")
+    enough = F.col("shared") * 100 >= percent * F.col("n")  # even a text made of the common shingles alone must be near
     tell = lambda c: [F.col("node").alias(c), F.col("component").alias(f"{c}_part"), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(3)]]
-    outside = open_.where("component <> main").select("key", "main", *tell("a"))
+    outside = open_.where("component <> main").join(common, "node").where(enough).select("key", "main", "shared", *tell("a"))
     others = open_.select("key", *tell("b"))
-    more = outside.join(others, "key").where("a_part <> b_part and (b_part = main or a < b)").where(may_link(percent)).select("a", "b").distinct()
-    links = stored(links.union(verified(more, docs, size, percent)), "all-links")
+    most = F.least("shared", "nb")
+    reach = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+    more = outside.join(others, "key").where("a_part <> b_part and (b_part = main or a < b)").where(reach & may_link(percent)).select("a", "b").distinct()
+    links = stored(links.union(verified(stored(more, "survivors"), texts, size, percent)), "all-links")
 
     final = components(links)
     owner = classes.select("d1", "d2", "n", "node").join(final, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
