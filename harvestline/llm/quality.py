@@ -19,8 +19,8 @@ from harvestline.llm.linear import ROWS, bounded_sample, features, fit_logistic,
 
 U = np.uint64
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-BITS, CHARS = 14, (2, 3, 4)
-SAMPLE = 2400           # labelled rows used for fitting and calibration, at most
+BITS, CHARS = 13, (2, 3, 4)
+SAMPLE = 2000           # labelled rows used for fitting and calibration, at most
 THRESHOLD = 0.5         # calibrated probability of good quality from which a text is kept
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
