@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from harvestline.functions.quantiles import exact_median, exact_mode
-from harvestline.functions.scalars import inside_edges, inside_ring, ring_edges
+from harvestline.functions.scalars import inside_edges, ring_edges
 from harvestline.operators.sampling import dedupe_first
 
 NEIGHBOUR_STEPS = (-1, 0, 1)
@@ -162,36 +162,59 @@ def _edges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, F.explode(edge).alias("_e")).select(*keys, "_e.*")
 
 
-def rings_intersect(xs1: str, ys1: str, xs2: str, ys2: str) -> Column:
-    """True if two rings share area or touch: an edge of one crosses an edge of the other,
-    or a vertex of one lies inside the other."""
+def shared_area(xs1: str, ys1: str, xs2: str, ys2: str) -> Column:
+    """Area that two closed rings have in common, whatever their direction.
+
+    A ring's inside is the signed sum of the strips below its edges, so the shared area is the
+    signed sum, over all pairs of edges, of the area below both: the integral of the lower one of
+    two straight lines. Coincident and collinear edges need no special case."""
+    ox, oy = F.get(F.col(xs2), F.lit(0)), F.get(F.col(ys2), F.lit(0))  # a near origin keeps the sums small
+
     def edges(xs: str, ys: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(xs) - 2), lambda i: F.struct(
-            F.get(F.col(xs), i).alias("x0"), F.get(F.col(ys), i).alias("y0"),
-            F.get(F.col(xs), i + 1).alias("x1"), F.get(F.col(ys), i + 1).alias("y1")))
+        def edge(i: Column) -> Column:
+            x0, y0 = F.get(F.col(xs), i) - ox, F.get(F.col(ys), i) - oy
+            x1, y1 = F.get(F.col(xs), i + 1) - ox, F.get(F.col(ys), i + 1) - oy
+            slope = F.try_divide(y1 - y0, x1 - x0)
+            return F.struct(F.least(x0, x1).alias("l"), F.greatest(x0, x1).alias("r"), F.signum(x1 - x0).alias("s"), slope.alias("k"), (y0 - slope * x0).alias("c"))
+
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(xs) - 2), edge), lambda e: e["s"] != 0)
+
+    def below_both(e: Column, f: Column) -> Column:
+        left, right = F.greatest(e["l"], f["l"]), F.least(e["r"], f["r"])
+        at = lambda line, x: line["k"] * x + line["c"]
+        dl, dr = at(e, left) - at(f, left), at(e, right) - at(f, right)
+        lower = (F.when((dl <= 0) & (dr <= 0), (dl + dr) / 2).when((dl >= 0) & (dr >= 0), 0.0)
+                 .when(dl < 0, -dl * dl / (2 * (dr - dl))).otherwise(-dr * dr / (2 * (dl - dr))))
+        area = (right - left) * ((at(f, left) + at(f, right)) / 2 + lower)
+        return F.when(right > left, e["s"] * f["s"] * area).otherwise(0.0)
+
+    def over_first(total: Column, e: Column) -> Column:
+        return total + F.aggregate(edges(xs2, ys2), F.lit(0.0), lambda t, f: t + below_both(e, f))
+
+    return F.abs(F.aggregate(edges(xs1, ys1), F.lit(0.0), over_first))
+
 
-    def side(e: Column, x: Column, y: Column) -> Column:
-        return (e["x1"] - e["x0"]) * (y - e["y0"]) - (e["y1"] - e["y0"]) * (x - e["x0"])
+def ring_area(xs: str, ys: str) -> Column:
+    at = lambda c, i: F.get(F.col(c), i) - F.get(F.col(c), F.lit(0))
+    step = lambda t, i: t + at(xs, i) * at(ys, i + 1) - at(xs, i + 1) * at(ys, i)
+    return F.abs(F.aggregate(F.sequence(F.lit(0), F.size(xs) - 2), F.lit(0.0), step)) / 2
 
-    def cross(a: Column, b: Column) -> Column:
-        return ((side(a, b["x0"], b["y0"]) * side(a, b["x1"], b["y1"]) < 0)
-                & (side(b, a["x0"], a["y0"]) * side(b, a["x1"], a["y1"]) < 0))
 
-    any_cross = F.exists(edges(xs1, ys1), lambda a: F.exists(edges(xs2, ys2), lambda b: cross(a, b)))
-    corner = inside_ring(F.get(F.col(xs1), F.lit(0)), F.get(F.col(ys1), F.lit(0)), xs2, ys2)
-    other = inside_ring(F.get(F.col(xs2), F.lit(0)), F.get(F.col(ys2), F.lit(0)), xs1, ys1)
-    return corner | other | any_cross
+def rings_overlap(xs1: str, ys1: str, xs2: str, ys2: str) -> Column:
+    """True if two rings share area. Rings that only touch, along an edge or at a point, do not;
+    the tolerance is a billionth of the smaller ring."""
+    return shared_area(xs1, ys1, xs2, ys2) > F.least(ring_area(xs1, ys1), ring_area(xs2, ys2)) * 1e-9
 
 
 def region_overlay(parcels: DataFrame, regions: DataFrame, cell: float, parcel_id: str = "field_id",
                    region_id: str = "region_id") -> DataFrame:
-    """Each parcel with the first (smallest id) region it intersects."""
+    """Each parcel with the first (smallest id) region it shares area with; touching is not enough."""
     box = ["min_x", "max_x", "min_y", "max_y"]
     p = _explode_box(parcels.select(parcel_id, F.col("xs").alias("pxs"), F.col("ys").alias("pys"), *box), cell)
     r = _explode_box(regions.select(region_id, "xs", "ys", *[F.col(c).alias("r_" + c) for c in box]), cell, "r_")
     overlap = ((F.col("min_x") <= F.col("r_max_x")) & (F.col("max_x") >= F.col("r_min_x"))
                & (F.col("min_y") <= F.col("r_max_y")) & (F.col("max_y") >= F.col("r_min_y")))
-    hits = p.join(r, ["_cx", "_cy"]).where(overlap & rings_intersect("pxs", "pys", "xs", "ys"))
+    hits = p.join(r, ["_cx", "_cy"]).where(overlap & rings_overlap("pxs", "pys", "xs", "ys"))
     return hits.groupBy(parcel_id).agg(F.min(region_id).alias(region_id))
 
 

@@ -88,3 +88,51 @@ def test_zonal_statistics_leave_nodata_out(spark):
     df = spark.createDataFrame([("r", "s", "b", v) for v in (0.0, 2.0, 4.0, 9.0)], "region_id string, scene_id string, band string, value double")
     r = G.zonal_median_std(df).first()
     assert r.median == 4.0 and r.n == 3 and abs(r.std - np.std([2, 4, 9])) < 1e-12
+
+
+def ring(*points):
+    return [float(x) for x, _ in points], [float(y) for _, y in points]
+
+
+SQUARE = [(1, 1), (2, 1), (2, 2), (1, 2)]
+L_SHAPE = [(0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3)]
+
+
+@pytest.mark.parametrize("turn", range(4))
+@pytest.mark.parametrize("back", [False, True])
+def test_equal_rings_share_area_from_any_start(spark, turn, back):
+    points = SQUARE[turn:] + SQUARE[:turn]
+    points = points[::-1] if back else points
+    cases = {
+        "same": (SQUARE, True), "inside": ([(0, 0), (3, 0), (3, 3), (0, 3)], True), "around": ([(1.4, 1.4), (1.6, 1.4), (1.5, 1.6)], True),
+        "side": ([(2, 1), (3, 1), (3, 2), (2, 2)], False), "corner": ([(2, 2), (3, 2), (3, 3), (2, 3)], False), "apart": ([(5, 5), (6, 5), (6, 6)], False),
+        "half_edge": ([(1, 1), (2, 1), (1.5, 0)], False), "inner_edge": ([(1, 1), (2, 1), (1.5, 1.5)], True), "crossing": ([(0, 1.4), (3, 1.4), (3, 1.6), (0, 1.6)], True),
+        "notch": (L_SHAPE, False), "notch_over": ([(x * 1.1, y * 1.1) for x, y in L_SHAPE], True)}
+    rows = [(k, *ring(*points, points[0]), *ring(*other, other[0])) for k, (other, _) in cases.items()]
+    df = spark.createDataFrame(rows, "id string, xs array<double>, ys array<double>, us array<double>, vs array<double>")
+    got = {r["id"]: (r["hit"], r["area"]) for r in df.select("id", G.rings_overlap("xs", "ys", "us", "vs").alias("hit"), G.shared_area("xs", "ys", "us", "vs").alias("area")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: want for k, (_, want) in cases.items()}
+    assert np.allclose([got[k][1] for k in ("same", "inside", "crossing", "side", "inner_edge")], [1, 1, 0.2, 0, 0.25])
+
+
+def test_shared_area_of_random_rings_equals_sampling(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for k in range(12):
+        rings = []
+        for _ in range(2):
+            angle = np.sort(rng.uniform(0, 2 * np.pi, 9))
+            radius = rng.uniform(0.3, 1, 9)
+            rings.append(np.stack([radius * np.cos(angle) + rng.uniform(-0.4, 0.4), radius * np.sin(angle)], 1) + 7)
+        points = rng.uniform(5, 9, (40_000, 2))
+
+        def holds(r):
+            x0, y0, x1, y1 = *r.T, *np.roll(r, -1, 0).T
+            cross = ((y0 > points[:, 1:]) != (y1 > points[:, 1:])) & (points[:, :1] < (x1 - x0) * (points[:, 1:] - y0) / (y1 - y0) + x0)
+            return cross.sum(1) % 2 == 1
+
+        want.append((holds(rings[0]) & holds(rings[1])).mean() * 16)
+        rows.append((k, *ring(*rings[0], rings[0][0]), *ring(*rings[1], rings[1][0])))
+    df = spark.createDataFrame(rows, "id int, xs array<double>, ys array<double>, us array<double>, vs array<double>")
+    got = [r[0] for r in df.orderBy("id").select(G.shared_area("xs", "ys", "us", "vs")).collect()]
+    assert np.allclose(got, want, atol=0.06)
