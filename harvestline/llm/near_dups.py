@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     buckets = stored(met.select("key", "node").join(pivots, "key"), "buckets")
     ids = buckets.select("node").distinct()
     texts = stored(packed_texts(docs, ids.withColumnRenamed("node", "doc_id")), "node-texts")
-    nodes = stored(classes.select("node", "n", "sig.s0", "sig.s1", "sig.s2").join(ids, "node", "left_semi"), "nodes")
+    nodes = stored(classes.select("node", "n", "sig.s0", "sig.s1", "sig.s2", "sig.bands").join(ids, "node", "left_semi"), "nodes")
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(3)])
 
     # each member against the pivot of its bucket
@@ -240,12 +240,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     lone = open_.where("component <> main").select("node").distinct()
     common = stored(common_shingles(texts.join(open_nodes, "doc_id", "left_semi"), lone, size), "common-shingles")
     enough = F.col("shared") * 100 >= percent * F.col("n")  # even a text made of the common shingles alone must be near
-    tell = lambda c: [F.col("node").alias(c), F.col("component").alias(f"{c}_part"), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(3)]]
+    tell = lambda c: [F.col("node").alias(c), F.col("component").alias(f"{c}_part"), F.col("n").alias(f"n{c}"), F.col("bands").alias(f"{c}_bands"),
+                      *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(3)]]
     outside = open_.where("component <> main").join(common, "node").where(enough).select("key", "main", "shared", *tell("a"))
     others = open_.select("key", *tell("b"))
     most = F.least("shared", "nb")
     reach = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
-    more = outside.join(others, "key").where("a_part <> b_part and (b_part = main or a < b)").where(reach & may_link(percent)).select("a", "b").distinct()
+    once = F.col("key") == F.array_min(F.array_intersect("a_bands", "b_bands"))  # of several shared buckets, one makes the pair
+    more = outside.join(others, "key").where("a_part <> b_part and (b_part = main or a < b)").where(reach & may_link(percent)).where(once).select("a", "b").distinct()
     links = stored(links.union(verified(stored(more, "survivors"), texts, size, percent)), "all-links")
 
     final = components(links)
