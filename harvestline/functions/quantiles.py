@@ -1,8 +1,10 @@
 """Exact quantiles, medians and modes that survive a hot group.
 
 ``percentile``/``median`` keep every distinct value of a group in one task. Here values
-are first counted (hash on group *and* value), cut into monotone buckets, and only the
-buckets that hold a wanted rank are ordered. All shuffles after the first carry counts.
+are first counted (hash on group *and* value) and the counts written once, so the input is read
+once. They are cut into monotone buckets; those that hold a wanted rank are cut again between
+their own ends, so that an outlier that crowds a group into a few buckets does not leave these
+whole; and only the small buckets that then hold a wanted rank are ordered.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from harvestline.functions.ranking import BUCKETS, null_safe_join, packed, with_bucket
+from harvestline.functions.ranking import BUCKETS, null_safe_join, packed, with_bucket, with_part
+from harvestline.session import cut_lineage
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
@@ -21,6 +24,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
     for it is given. Groups without any value are left out."""
     counts = (df.where(F.col(value).isNotNull()).groupBy(packed(by).alias("_g"), F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_n")))
+    counts = cut_lineage(counts)
     mean = [(F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean")] if std else []
     counts = with_bucket(counts, F.col("_v"), buckets, mean, grouped=bool(by))
     spread = [F.sum(F.pow(F.col("_v") - F.col("_mean"), 2) * F.col("_n")).alias("_bss")] if std else []
@@ -32,10 +36,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
     # every probability needs the ranks just below and above (total-1)*p
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("_total") - 1) * F.lit(float(p))).alias("pos"))
                        for name, p in probs.items()])
-    inside = lambda w: (F.floor(w["pos"]) < F.col("_base") + F.col("_bn")) & (F.ceil(w["pos"]) >= F.col("_base"))
-    hist = hist.withColumn("_want", F.filter(wanted, inside)).where(F.size("_want") > 0).drop("_bn")
-    picked = counts.drop("_mean").join(hist, ["_g", "_bucket"])
-    order = W.partitionBy("_g", "_bucket").orderBy("_v")
+    inside = lambda n: lambda w: (F.floor(w["pos"]) < F.col("_base") + F.col(n)) & (F.ceil(w["pos"]) >= F.col("_base"))
+    hist = hist.withColumn("_want", F.filter(wanted, inside("_bn"))).where(F.size("_want") > 0).drop("_bn")
+    picked = with_part(counts.drop("_mean").join(hist, ["_g", "_bucket"]), F.col("_v"), buckets)
+    shared = ["_base", "_total", "_want"] + (["_ss"] if std else [])
+    parts = picked.groupBy("_g", "_bucket", "_part").agg(F.sum("_n").alias("_pn"), *[F.first(c).alias(c) for c in shared])
+    upto = W.partitionBy("_g", "_bucket").orderBy("_part")  # at most ``buckets`` rows
+    parts = parts.withColumn("_base", F.col("_base") + F.sum("_pn").over(upto) - F.col("_pn"))
+    parts = parts.withColumn("_want", F.filter("_want", inside("_pn"))).where(F.size("_want") > 0).drop("_pn")
+    picked = picked.drop(*shared).join(parts, ["_g", "_bucket", "_part"])
+    order = W.partitionBy("_g", "_bucket", "_part").orderBy("_v")
     picked = picked.withColumn("_to", F.col("_base") + F.sum("_n").over(order)) \
                    .withColumn("_from", F.col("_to") - F.col("_n"))
     kept = ["_g", "_v", "_from", "_to", "_total"] + (["_ss"] if std else [])

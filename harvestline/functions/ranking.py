@@ -16,6 +16,8 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from harvestline.session import cut_lineage
+
 PREFIX = 3  # hex digits: 4096 slices of every group
 BUCKETS = 4096
 
@@ -54,15 +56,18 @@ def value_rank(df: DataFrame, value: str, id_cols: Sequence[str], seed: int | st
     ordered, so neither a hot group nor a hot value meets one task."""
     hashed = df.withColumns({"_g": packed(by), "_h": hash_order(id_cols, seed), "_v": F.struct(F.col(value).alias("v"))})
     hashed = hashed.withColumn("_slice", F.substring("_h", 1, PREFIX))
-    counts = hashed.groupBy("_g", "_v", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    counts = with_bucket(counts, F.col("_v.v"), buckets, grouped=bool(by))
+    counts = cut_lineage(hashed.groupBy("_g", "_v", "_slice").agg(F.count(F.lit(1)).alias("_n")))
+    counts = with_part(with_bucket(counts, F.col("_v.v"), buckets, grouped=bool(by)), F.col("_v.v"), buckets)
     coarse = counts.groupBy("_g", "_bucket").agg(F.sum("_n").alias("_bn"))
     coarse = coarse.withColumn("_base", F.sum("_bn").over(W.partitionBy("_g").orderBy("_bucket")) - F.col("_bn"))
     if total:
         coarse = coarse.withColumn(total, F.sum("_bn").over(W.partitionBy("_g")))
-    fine = W.partitionBy("_g", "_bucket").orderBy("_v", "_slice")
-    offsets = counts.join(coarse.drop("_bn"), ["_g", "_bucket"])
-    offsets = offsets.withColumn("_before", F.col("_base") + F.sum("_n").over(fine) - F.col("_n")).drop("_base", "_n", "_bucket")
+    parts = counts.groupBy("_g", "_bucket", "_part").agg(F.sum("_n").alias("_pn"))
+    upto = W.partitionBy("_g", "_bucket").orderBy("_part")  # at most ``buckets`` rows
+    parts = parts.join(coarse.drop("_bn"), ["_g", "_bucket"]).withColumn("_base", F.col("_base") + F.sum("_pn").over(upto) - F.col("_pn")).drop("_pn")
+    fine = W.partitionBy("_g", "_bucket", "_part").orderBy("_v", "_slice")
+    offsets = counts.join(parts, ["_g", "_bucket", "_part"])
+    offsets = offsets.withColumn("_before", F.col("_base") + F.sum("_n").over(fine) - F.col("_n")).drop("_base", "_n", "_bucket", "_part")
     inside = W.partitionBy("_g", "_v", "_slice").orderBy("_h", *id_cols)
     joined = hashed.join(offsets, ["_g", "_v", "_slice"])
     out = joined.withColumn(rank, F.col("_before") + F.row_number().over(inside))
@@ -89,6 +94,16 @@ def with_bucket(counts: DataFrame, value: Column, buckets: int = BUCKETS, extra:
     return joined.withColumn("_bucket", bucket).drop("_lo", "_hi")
 
 
+def with_part(counts: DataFrame, value: Column, buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``_part``: cuts every bucket again, evenly between its own minimum and maximum. One
+    far value leaves a group's other values in a few buckets; this takes those apart."""
+    numeric = magnitude(value.cast("double"))
+    ends = counts.groupBy("_g", "_bucket").agg(F.min(numeric).alias("_lo"), F.max(numeric).alias("_hi"))
+    share = F.try_divide(numeric - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    part = F.coalesce(F.floor(share * (buckets - 1)).cast("int"), F.lit(0))
+    return counts.join(ends, ["_g", "_bucket"]).withColumn("_part", part).drop("_lo", "_hi")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on same-named keys where NULL equals NULL; no keys means a one-row right side."""
     if not keys:

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harvestline.registry.views import CTES, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Doubles are compared at four digits. The nudge keeps exact decimal ties (x.xxxx5) from
-# being rounded by the last bit of a sum, which differs with the order of addition.
-DIGITS, NUDGE = 4, 1e-7
+# The last bits of a sum depend on the order of addition. Query results (never library results)
+# keep this many significant digits, and what is smaller than the noise of cancelled sums is 0.
+# Exact decimal ties, which two engines round differently, are lifted by less than a digit counts.
+SIGNIFICANT, NOISE, LIFT = 9, 1e-12, 1 + 3e-11
+
+
+def significant(col: Column) -> Column:
+    """A double to ``SIGNIFICANT`` digits."""
+    shown = F.format_string(f"%.{SIGNIFICANT - 1}e", col * LIFT).cast("double")
+    return F.when(F.abs(col) < NOISE, 0.0).when(col.isNotNull(), shown)
+
+
+def significant_sql(col: str) -> str:
+    return f"CASE WHEN abs({col}) < {NOISE} THEN CAST(0 AS DOUBLE) ELSE CAST(printf('%.{SIGNIFICANT - 1}e', CAST({col} AS DOUBLE) * {LIFT}) AS DOUBLE) END"
 
 
 def _parse(spec: str) -> list[tuple[str, str]]:
@@ -23,15 +34,14 @@ def _parse(spec: str) -> list[tuple[str, str]]:
 def _spark_col(name: str, kind: str):
     col = F.col(f"`{name}`")
     if kind == "d":
-        return F.round(col.cast("double") + NUDGE, DIGITS).alias(name)
+        return significant(col.cast("double")).alias(name)
     return col.cast({"s": "string", "i": "int", "l": "bigint", "t": "string", "b": "boolean"}[kind]).alias(name)
 
 
 def _sql_col(name: str, kind: str) -> str:
     col = f'"{name}"'
     if kind == "d":
-        rounded = f"round(CAST({col} AS DOUBLE) + {NUDGE}, {DIGITS})"
-        return f"CASE WHEN {rounded} = 0 THEN CAST(0 AS DOUBLE) ELSE {rounded} END AS {col}"
+        return f"{significant_sql(col)} AS {col}"
     kind = {"s": "VARCHAR", "i": "INTEGER", "l": "BIGINT", "t": "VARCHAR", "b": "BOOLEAN"}[kind]
     return f"CAST({col} AS {kind}) AS {col}"
 

@@ -12,9 +12,10 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(app: str = "harvestline", master: str | None = None,
-                  shuffle_partitions: int | None = None, **conf) -> SparkSession:
+                  shuffle_partitions: int | None = None, checkpoint_dir: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators rely on: UTC calendar, adaptive
-    re-planning with skew-join splitting, Arrow transfer for the few Python steps."""
+    re-planning with skew-join splitting, Arrow transfer for the few Python steps.
+    ``checkpoint_dir`` is the folder all executors share; checkpoints go when their frames do."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,7 +23,10 @@ def build_session(app: str = "harvestline", master: str | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if checkpoint_dir:
+        builder = builder.config(CHECKPOINT_KEY, checkpoint_dir)
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

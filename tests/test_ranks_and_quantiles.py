@@ -111,3 +111,15 @@ def test_guards_drop_small_folds(spark):
     rows = [(1, "train")] * 5 + [(1, "test")] * 2 + [(2, "train")] * 1 + [(2, "test")] * 2
     out = V.fold_guards(spark.createDataFrame(rows, "fold int, role string"), {"train": 3, "test": 1})
     assert {r.fold for r in out.collect()} == {1}
+
+
+def test_an_outlier_leaves_no_crowded_part(spark):
+    from harvestline.functions.ranking import with_bucket, with_part
+
+    values = [(290 + 20 * k / 200_000,) for k in range(200_000)] + [(1e9,)]
+    counts = spark.createDataFrame(values, "v double").withColumn("_g", F.struct(F.lit(0).alias("all")))
+    crowded = with_bucket(counts, F.col("v"))
+    assert crowded.groupBy("_bucket").count().count() < 50
+    parts = with_part(crowded, F.col("v")).groupBy("_bucket", "_part").count()
+    assert parts.agg(F.max("count")).first()[0] < 200_000 / 1000
+    assert abs(exact_quantiles(counts.drop("_g"), "v", {"m": 0.5}).first().m - 300) < 1e-3
