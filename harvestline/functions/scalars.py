@@ -179,12 +179,18 @@ def spectral_indices(b02, b04, b08, b11, b12) -> dict[str, Column]:
 # --- geometry helpers ----------------------------------------------------------------
 
 def ring_from_wkt(wkt: Column | str) -> tuple[Column, Column]:
-    """(xs, ys) of the exterior ring of a WKT polygon."""
-    body = F.regexp_extract(_c(wkt), r"\(\(([^)]*)\)", 1)
-    points = F.split(F.trim(body), r"\s*,\s*")
+    """(xs, ys) of all rings of a WKT polygon or multipolygon, one behind the other with a NULL
+    between them. Edges that touch a NULL do not exist, so an even-odd test over all edges counts
+    islands in and holes out; a simple polygon is just its ring."""
+    rings = F.regexp_extract_all(_c(wkt), F.lit(r"\(([^()]*)\)"), F.lit(1))
+    points = F.transform(rings, lambda r: F.split(F.trim(r), r"\s*,\s*"))
 
     def part(i: int) -> Column:
-        return F.transform(points, lambda p: F.split(F.trim(p), r"\s+")[i].cast("double"))
+        def ring(r: Column, k: Column) -> Column:
+            values = F.transform(r, lambda p: F.split(F.trim(p), r"\s+")[i].cast("double"))
+            return F.when(k == 0, values).otherwise(F.concat(F.array(F.lit(None).cast("double")), values))
+
+        return F.flatten(F.transform(points, ring))
 
     return part(0), part(1)
 

@@ -115,10 +115,10 @@ def cumulative_leads(df: DataFrame, cols: Sequence[str], compounding: bool = Fal
 
 
 def latest_and_mean(df: DataFrame, bases: Sequence[str], leads: Sequence[int], keys: Sequence[str],
-                    include_latest: bool = True) -> DataFrame:
-    """Latest month and mean of the months per predictor; with two leads or fewer the
-    features stay as they are."""
-    if len(leads) <= 2:
+                    include_latest: bool = True, unchanged_up_to: int = 2) -> DataFrame:
+    """Latest month and mean of the months per predictor. With ``unchanged_up_to`` leads or fewer
+    (0: never) the features stay as they are."""
+    if len(leads) <= unchanged_up_to:
         return df
     newest = min(leads)
     used = [n for n in leads if include_latest or n != newest]

@@ -18,18 +18,15 @@ def top_k(df: DataFrame, k: int, order: Column, tie: Sequence[str] = ()) -> Data
     return df.orderBy(order, *tie).limit(k)
 
 
-def top_k_per_group(df: DataFrame, by: Sequence[str], k: int, order: Sequence[Column], rank: str = "rank") -> DataFrame:
-    """k first rows per group. Up to a configured k Spark applies the limit before the
-    shuffle too (WindowGroupLimit), so a hot group sends at most k rows per task. For a
-    larger k a first round ranks within (group, input partition), which leaves the last
-    round k rows per partition at most; it only removes rows that cannot be among the first."""
-    conf = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
-    if k > int(conf):
-        part = W.partitionBy(*by, "_part").orderBy(*order)
-        df = df.withColumn("_part", F.spark_partition_id()).withColumn(rank, F.row_number().over(part))
-        df = df.where(F.col(rank) <= k).drop("_part", rank)
+def top_k_per_group(df: DataFrame, by: Sequence[str], k: int, order: Sequence[Column], rank: str = "rank", slices: int = 64) -> DataFrame:
+    """k first rows per group. A first round ranks within hash slices of a group, so a hot group
+    is ordered by many tasks; it only removes rows that cannot be among the first, and leaves
+    the last round k rows per slice at most."""
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(slices)))
+    first = W.partitionBy(*by, "_slice").orderBy(*order)
+    kept = sliced.withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= k).drop("_slice", rank)
     w = W.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    return kept.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
 def cap_per_group(df: DataFrame, by: Sequence[str], id_col: str, n: int = 1000, seed: int = 42, *,

@@ -57,9 +57,9 @@ def bbox_clip(scenes: DataFrame, regions: DataFrame, cell: float, scene_id: str
 
 
 def centroid(xs: Column | str = "xs", ys: Column | str = "ys") -> tuple[Column, Column]:
-    """Mean of the ring's vertices without the repeated last one."""
+    """Mean of the vertices without the repeated last one (and without the NULLs between rings)."""
     def mean(a: str) -> Column:
-        corners = F.slice(F.col(a), 1, F.size(F.col(a)) - 1)
+        corners = F.array_compact(F.slice(F.col(a), 1, F.size(F.col(a)) - 1))
         return F.aggregate(corners, F.lit(0.0), lambda s, v: s + v) / F.size(corners)
 
     return mean(xs), mean(ys)
@@ -159,7 +159,7 @@ def _edges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     idx = F.sequence(F.lit(0), F.size("xs") - 2)
     edge = F.transform(idx, lambda i: F.struct(F.get("xs", i).alias("x0"), F.get("ys", i).alias("y0"),
                                                F.get("xs", i + 1).alias("x1"), F.get("ys", i + 1).alias("y1")))
-    return df.select(*keys, F.explode(edge).alias("_e")).select(*keys, "_e.*")
+    return df.select(*keys, F.explode(edge).alias("_e")).select(*keys, "_e.*").where("x0 is not null and x1 is not null")
 
 
 def shared_area(xs1: str, ys1: str, xs2: str, ys2: str) -> Column:

@@ -136,3 +136,12 @@ def test_shared_area_of_random_rings_equals_sampling(spark):
     df = spark.createDataFrame(rows, "id int, xs array<double>, ys array<double>, us array<double>, vs array<double>")
     got = [r[0] for r in df.orderBy("id").select(G.shared_area("xs", "ys", "us", "vs")).collect()]
     assert np.allclose(got, want, atol=0.06)
+
+
+def test_islands_and_holes(spark):
+    text = "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1)), ((6 0, 8 0, 8 2, 6 2, 6 0)))"
+    xs, ys = ring_from_wkt("w")
+    regions = with_bbox(spark.createDataFrame([("r", text)], "region_id string, w string").select("region_id", xs.alias("xs"), ys.alias("ys")))
+    pixels = spark.createDataFrame([(0.5, 0.5), (2.0, 2.0), (3.5, 2.0), (7.0, 1.0), (5.0, 1.0), (7.0, 3.0)], "x double, y double")
+    got = sorted((r.x, r.y) for r in G.pixel_in_polygon(pixels, regions, 1.5).collect())
+    assert got == [(0.5, 0.5), (3.5, 2.0), (7.0, 1.0)]
