@@ -15,6 +15,8 @@ ORACLES: dict[str, str] = {}
 # keep this many significant digits, and what is smaller than the noise of cancelled sums is 0.
 # Exact decimal ties, which two engines round differently, are lifted by less than a digit counts.
 SIGNIFICANT, NOISE, LIFT = 9, 1e-12, 1 + 3e-11
+# Differences of much larger numbers keep decimals instead.
+DECIMALS = 8
 
 
 def significant(col: Column) -> Column:
@@ -35,6 +37,8 @@ def _spark_col(name: str, kind: str):
     col = F.col(f"`{name}`")
     if kind == "d":
         return significant(col.cast("double")).alias(name)
+    if kind == "a":
+        return F.round(col.cast("double") + 1e-12, DECIMALS).alias(name)
     return col.cast({"s": "string", "i": "int", "l": "bigint", "t": "string", "b": "boolean"}[kind]).alias(name)
 
 
@@ -42,13 +46,16 @@ def _sql_col(name: str, kind: str) -> str:
     col = f'"{name}"'
     if kind == "d":
         return f"{significant_sql(col)} AS {col}"
+    if kind == "a":
+        rounded = f"round(CAST({col} AS DOUBLE) + 1e-12, {DECIMALS})"
+        return f"CASE WHEN {rounded} = 0 THEN CAST(0 AS DOUBLE) ELSE {rounded} END AS {col}"
     kind = {"s": "VARCHAR", "i": "INTEGER", "l": "BIGINT", "t": "VARCHAR", "b": "BOOLEAN"}[kind]
     return f"CAST({col} AS {kind}) AS {col}"
 
 
 def query(name: str, out: str, sql: str | None = None, views: str = ""):
     """``out`` lists the result columns as ``name:kind`` (s text, i int, l long, d double,
-    t date, b boolean); ``views`` names the shared table expressions the SQL reads."""
+    a double that is a difference of larger ones, t date, b boolean); ``views`` names the shared table expressions the SQL reads."""
     cols = _parse(out)
 
     def wrap(fn: Callable[[Views], DataFrame]):

@@ -170,13 +170,15 @@ def _(v: Views):
     return S.climatology(v.country_daily)
 
 
-@query("anomaly", f"{KEYS} obs_date:t anom:d",
-       f"SELECT d.region_id, d.param, d.obs_date, d.value - c.clim AS anom FROM country_daily d LEFT JOIN {_clim('country_daily', 'value')} c ON c.region_id = d.region_id AND c.param = d.param AND c.doy = {_SLOT}", "country_daily")
+@query("anomaly", f"{KEYS} obs_date:t anom:a",
+       f"""WITH slotted AS MATERIALIZED (SELECT region_id, param, obs_date, value, {_SLOT} AS doy FROM country_daily d),
+           clims AS MATERIALIZED (SELECT * FROM {_clim('country_daily', 'value')})
+           SELECT region_id, param, obs_date, value - clim AS anom FROM slotted LEFT JOIN clims USING (region_id, param, doy)""", "country_daily")
 def _(v: Views):
     return S.anomaly(v.country_daily)
 
 
-@query("anomaly_detrended", f"{KEYS} obs_date:t anom:d",
+@query("anomaly_detrended", f"{KEYS} obs_date:t anom:a",
        f"SELECT d.region_id, d.param, d.obs_date, d.det - c.clim AS anom FROM {DETRENDED} d LEFT JOIN {_clim(DETRENDED, 'det')} c ON c.region_id = d.region_id AND c.param = d.param AND c.doy = {_SLOT}", "country_daily")
 def _(v: Views):
     return S.anomaly(v.country_daily, detrend=True)
