@@ -151,9 +151,9 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return prepared(docs, "doc_id", "text").mapInArrow(run, "doc_id long, packed binary").join(ids, "doc_id", "left_semi")
 
 
-def common_shingles(texts: DataFrame, outside: DataFrame, size: int) -> DataFrame:
-    """(node, shared): how many shingles of each node in ``outside`` (node) occur in more than one
-    of ``texts`` (doc_id, packed). A task counts its texts before anything is shuffled."""
+def common_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(node, shared): how many shingles of each of ``texts`` (doc_id, packed) occur in another one
+    too. A task counts its texts before anything is shuffled."""
     def sets(batch: pa.RecordBatch) -> list[np.ndarray]:
         unpack = zstandard.ZstdDecompressor().decompress
         raw = [np.frombuffer(unpack(blob), np.uint8) for blob in batch.column(1).to_pylist()]
@@ -172,7 +172,7 @@ def common_shingles(texts: DataFrame, outside: DataFrame, size: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(h.view(np.int64))], names=["node", "h"])
 
     shared = texts.mapInArrow(occurrences, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    mine = texts.join(outside.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(members, "node long, h long")
+    mine = texts.mapInArrow(members, "node long, h long")
     return mine.join(shared, "h").groupBy("node").agg(F.count("*").alias("shared"))
 
 
@@ -237,14 +237,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     mixed = counts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     open_ = stored(placed.where("node <> pivot").join(mixed, "key").join(nodes, "node"), "open-buckets")
     open_nodes = open_.select(F.col("node").alias("doc_id")).distinct()
-    lone = open_.where("component <> main").select("node").distinct()
-    common = stored(common_shingles(texts.join(open_nodes, "doc_id", "left_semi"), lone, size), "common-shingles")
-    enough = F.col("shared") * 100 >= percent * F.col("n")  # even a text made of the common shingles alone must be near
-    tell = lambda c: [F.col("node").alias(c), F.col("component").alias(f"{c}_part"), F.col("n").alias(f"n{c}"), F.col("bands").alias(f"{c}_bands"),
-                      *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(3)]]
-    outside = open_.where("component <> main").join(common, "node").where(enough).select("key", "main", "shared", *tell("a"))
-    others = open_.select("key", *tell("b"))
-    most = F.least("shared", "nb")
+    common = stored(common_shingles(texts.join(open_nodes, "doc_id", "left_semi"), size), "common-shingles")
+    # a text is out if even a text made of its common shingles alone would be too far from it
+    able = open_.join(common, "node").where(F.col("shared") * 100 >= percent * F.col("n"))
+    tell = lambda c: [F.col("node").alias(c), F.col("component").alias(f"{c}_part"), F.col("n").alias(f"n{c}"), F.col("shared").alias(f"{c}_shared"),
+                      F.col("bands").alias(f"{c}_bands"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(3)]]
+    outside = able.where("component <> main").select("key", "main", *tell("a"))
+    others = able.select("key", *tell("b"))
+    most = F.least("a_shared", "b_shared")
     reach = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
     once = F.col("key") == F.array_min(F.array_intersect("a_bands", "b_bands"))  # of several shared buckets, one makes the pair
     more = outside.join(others, "key").where("a_part <> b_part and (b_part = main or a < b)").where(reach & may_link(percent)).where(once).select("a", "b").distinct()
