@@ -23,7 +23,7 @@ from harvestline.llm.quality import labelled_sample
 
 U = np.uint64
 GRAM = 5
-SAMPLE = 4000            # labelled rows used as examples and for calibration, at most
+SAMPLE = 3000            # labelled rows used as examples and for calibration, at most
 ASSOCIATION = 30.0       # chi-square from which a term is kept
 NEIGHBOURS, POWER = 15, 2.0
 BLOCK = 64               # examples in a block of the index
