@@ -65,9 +65,36 @@ def bounded_sample(labelled: DataFrame, keys: list[str], size: int) -> DataFrame
     return labelled.orderBy(order, *keys).limit(size)
 
 
-def sample_features(texts: DataFrame, bits: int, chars: tuple[int, ...], with_words: bool) -> tuple[np.ndarray, np.ndarray]:
+class SparseRows:
+    """A matrix of few non-zero values (CSR), for products with few columns."""
+
+    def __init__(self, at: np.ndarray, value: np.ndarray, length: np.ndarray, width: int):
+        self.at, self.value, self.length, self.width = at, value, length, width
+        self.row = np.repeat(np.arange(len(length), dtype=np.int32), length)
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.length), self.width
+
+    def __getitem__(self, chosen: np.ndarray) -> SparseRows:
+        """The rows of a mask."""
+        mine = chosen[self.row]
+        return SparseRows(self.at[mine], self.value[mine], self.length[chosen], self.width)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        if w.ndim > 1:
+            return np.stack([self @ c for c in w.T], 1)
+        return np.bincount(self.row, self.value * w[self.at], minlength=len(self.length))
+
+    def back(self, error: np.ndarray) -> np.ndarray:
+        """The transposed matrix times ``error``."""
+        return np.stack([np.bincount(self.at, self.value * e[self.row], minlength=self.width) for e in error.T], 1)
+
+
+def sample_features(texts: DataFrame, bits: int, chars: tuple[int, ...], with_words: bool,
+                    sparse: bool = False) -> tuple[np.ndarray | SparseRows, np.ndarray]:
     """Features and labels of a bounded sample (doc_id, text, y): extracted by Spark tasks as
-    sparse rows, gathered here. Rows come in the order of their ids."""
+    sparse rows, gathered here. Rows come in the order of their ids; ``sparse`` keeps them so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, off in pieces(batches, rows=ROWS):
@@ -81,13 +108,17 @@ def sample_features(texts: DataFrame, bits: int, chars: tuple[int, ...], with_wo
 
     found = prepared(texts, "doc_id", "text", "y").mapInArrow(run, "doc_id long, y string, at binary, value binary").toPandas()
     found = found.sort_values(["doc_id", "y"], kind="stable")
+    if sparse:
+        at = np.frombuffer(b"".join(found["at"]), "<u4").astype(np.int32)
+        length = np.array([len(a) // 4 for a in found["at"]], np.int64)
+        return SparseRows(at, np.frombuffer(b"".join(found["value"]), "<f4"), length, 1 << bits), found["y"].to_numpy()
     x = np.zeros((len(found), 1 << bits), np.float32)
     for k, (at, value) in enumerate(zip(found["at"], found["value"])):
         x[k, np.frombuffer(at, "<u4")] = np.frombuffer(value, "<f4")
     return x, found["y"].to_numpy()
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, rounds: int = 300, rate: float = 60.0) -> tuple[np.ndarray, np.ndarray]:
+def fit_logistic(x: np.ndarray | SparseRows, y: np.ndarray, penalty: float = 1e-5, rounds: int = 300, rate: float = 60.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features x outputs) and intercepts of one logistic regression per column of
     ``y`` (0 or 1, both balanced by weight), by accelerated gradient steps from zero."""
     n, outputs = y.shape
@@ -101,7 +132,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, rounds: in
         aw, ab = w + momentum * (w - last_w), b + momentum * (b - last_b)
         error = (1 / (1 + np.exp(-np.clip(x @ aw + ab, -30, 30))) - y) * weight
         last_w, last_b = w, b
-        w = (aw - rate * (x.T @ error + penalty * aw)).astype(np.float32)
+        slope = x.back(error) if isinstance(x, SparseRows) else x.T @ error
+        w = (aw - rate * (slope + penalty * aw)).astype(np.float32)
         b = (ab - 4.0 * error.sum(0)).astype(np.float32)
     return w, b
 

@@ -19,8 +19,8 @@ from harvestline.llm.linear import ROWS, bounded_sample, features, fit_logistic,
 
 U = np.uint64
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-BITS, CHARS = 13, (2, 3, 4)
-SAMPLE = 2000           # labelled rows used for fitting and calibration, at most
+BITS, CHARS = 14, (2, 3, 4)
+SAMPLE = 2400           # labelled rows used for fitting and calibration, at most
 THRESHOLD = 0.5         # calibrated probability of good quality from which a text is kept
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -71,7 +71,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Weights of the judgement; every fourth sampled row calibrates. Without labels of both
     kinds the model says 1 for every text."""
-    x, y = sample_features(labelled_sample(docs, labels, "quality", sample), BITS, CHARS, True)
+    x, y = sample_features(labelled_sample(docs, labels, "quality", sample), BITS, CHARS, True, sparse=True)
     good = (y.astype(str) == "1").astype(np.float32)
     part = np.arange(len(good)) % 4 == 3
     if len(good) < 8 or good[~part].min() == good[~part].max():

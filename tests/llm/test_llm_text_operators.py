@@ -211,3 +211,17 @@ def test_scan_and_redaction_of_tables(spark):
     clean = secret_scan.redacted(frame(spark, rows)).toPandas()
     assert clean[clean.doc_id == 7].text.iloc[0] == 'é [secret]" [secret]' and clean[clean.doc_id == 1].text.isna().all()
     assert secret_scan.scan(frame(spark, [])).count() == 0
+
+
+def test_samples_and_sparse_fit():
+    """The bounds that were once lowered for the driver's memory, and a fit without a dense matrix."""
+    from harvestline.llm import linear
+
+    assert (toxicity.SAMPLE, quality.SAMPLE, quality.BITS) == (6000, 2400, 14)
+    rng = np.random.default_rng(7)
+    dense = (rng.random((60, 32)) * (rng.random((60, 32)) < 0.2)).astype(np.float32)
+    at = [np.flatnonzero(r).astype(np.int32) for r in dense]
+    rows = linear.SparseRows(np.concatenate(at), dense[dense > 0], np.array([len(a) for a in at]), 32)
+    y, part = (rng.random((60, 1)) < 0.5).astype(np.float32), np.arange(60) % 4 == 3
+    for a, b in zip(linear.fit_logistic(rows[~part], y[~part], rounds=20, rate=1.0), linear.fit_logistic(dense[~part], y[~part], rounds=20, rate=1.0)):
+        assert np.allclose(a, b, atol=1e-4)
