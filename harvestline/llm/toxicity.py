@@ -1,11 +1,10 @@
 """Toxicity by nearest labelled examples.
 
-Texts become TF-IDF vectors over words and inner byte 5-grams whose presence goes with the label
-among the examples (chi-square); document frequencies are counted over the whole corpus. The k
-examples of largest cosine are found exactly with a block-max inverted index: postings are cut
-into blocks of example numbers, each block knows the largest weight of each term, and a block
-is only scored while its bound can still reach the k-th best cosine. Votes weighted by cosine
-are calibrated on held-back examples; the neighbours are the evidence.
+Texts become TF-IDF vectors over all words and inner byte 5-grams of the examples; a term counts
+the more, the more its presence goes with the label (chi-square over the number of examples), and
+none counts nothing. Document frequencies are counted over the whole corpus. The k examples of
+largest cosine are found exactly, by the cosines of all. Votes weighted by cosine are calibrated on
+held-back examples; the neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -24,9 +23,11 @@ from harvestline.llm.quality import labelled_sample
 U = np.uint64
 GRAM = 5
 SAMPLE = 6000            # labelled rows used as examples and for calibration, at most
-ASSOCIATION = 30.0       # chi-square from which a term is kept
+UNTIED = 0.001           # weight of a term that says nothing about the label; one that decides it has 1 more
+HEAD = 0.1               # share of the examples from which a term is in the matrix
 NEIGHBOURS, POWER = 15, 2.0
-BLOCK = 64               # examples in a block of the index
+BLOCK = 64               # examples in a block of a block-max index, texts multiplied with the matrix at once
+SLICE = 1 << 14          # terms whose document frequencies are added up together
 FOLD, HELD_OUT = 5, 0    # crc32 of the id modulo FOLD is HELD_OUT: never learned from
 # token bytes: ASCII letters and digits, and every byte beyond ASCII
 TOKEN = np.zeros(256, bool)
@@ -54,10 +55,14 @@ def term_counts(raw: np.ndarray, off: np.ndarray, vocabulary: np.ndarray | None
     """(text, term, count) sorted by text and term; term is the place in the sorted vocabulary
     if one is given (others are left out), else the hash."""
     h, row = terms(raw, off)
+    if vocabulary is not None and len(vocabulary):
+        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+        known = vocabulary[at] == h
+        key = np.sort(row[known].astype(np.int64) * len(vocabulary) + at[known])
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        return key[new] // len(vocabulary), (key[new] % len(vocabulary)).astype(np.uint64), np.diff(np.append(new, len(key)))
     if vocabulary is not None:
-        at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-        known = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
-        h, row = at[known].astype(np.uint64), row[known]
+        h, row = h[:0], row[:0]
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     if not len(h):
@@ -114,16 +119,62 @@ class BlockMaxIndex:
         return best_row, best
 
 
-def select_terms(row: np.ndarray, term: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Sorted hashes of terms whose presence is tied to the label: chi-square of the 2 x 2 table."""
-    names, place = np.unique(term, return_inverse=True)
+class ExampleIndex:
+    """Unit vectors of the examples, every term of them: terms that many examples hold are rows of a
+    matrix, the others lists of postings. With rare terms a block holds about one posting of each, so
+    that bounds on blocks would cost as much as the postings; all of them are scored."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, n_terms: int):
+        heads = np.flatnonzero(np.bincount(term, minlength=n_terms) >= max(HEAD * n_rows, 1))
+        self.n_rows, self.place = n_rows, np.full(n_terms, -1, np.int32)
+        self.place[heads] = np.arange(len(heads))
+        at = self.place[term]
+        self.head = [x[at >= 0] for x in (at, row.astype(np.int32), weight)]
+        tail = np.flatnonzero(at < 0)
+        tail = tail[np.argsort(term[tail], kind="stable")]
+        self.start = np.searchsorted(term[tail], np.arange(n_terms + 1))
+        self.row, self.weight = row[tail].astype(np.int32), weight[tail]
+
+    def matrix(self) -> np.ndarray:
+        dense = np.zeros((int(self.place.max(initial=-1)) + 1, self.n_rows))
+        dense[self.head[0], self.head[1]] = self.head[2]
+        return dense
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, dense: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of n texts, sorted by text, the rows and cosines (nine digits) of the k best
+        examples with a positive cosine; of equal ones the smaller rows. ``dense`` is matrix()."""
+        at = self.place[term]
+        span = np.searchsorted(row, np.arange(n + 1))
+        for first in range(0, n, BLOCK):
+            last = min(first + BLOCK, n)
+            part = slice(span[first], span[last])
+            head = at[part] >= 0
+            query = np.zeros((last - first, len(dense)))
+            query[row[part][head] - first, at[part][head]] = weight[part][head]
+            base = query @ dense
+            for i in range(first, last):
+                one = slice(span[i], span[i + 1])
+                tail = at[one] < 0
+                t = term[one][tail]
+                begin, count = self.start[t], self.start[t + 1] - self.start[t]
+                post = np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+                cosine = base[i - first] + np.bincount(self.row[post], self.weight[post] * np.repeat(weight[one][tail], count), minlength=self.n_rows)
+                cosine = np.round(cosine, 9)
+                least = np.partition(cosine, -k)[-k] if k < self.n_rows else 0.0
+                best = np.flatnonzero((cosine >= least) & (cosine > 0))
+                best = best[np.argsort(-cosine[best], kind="stable")[:k]]
+                yield best, cosine[best]
+
+
+def association(row: np.ndarray, term: np.ndarray, y: np.ndarray, n_terms: int) -> np.ndarray:
+    """How far the presence of each term goes with the label, from 0 to 1: chi-square of the
+    2 x 2 table over the number of examples."""
     n1, n = float(y.sum()), float(len(y))
-    a = np.bincount(place, y[row], minlength=len(names))
-    b = np.bincount(place, minlength=len(names)) - a
+    a = np.bincount(term, y[row], minlength=n_terms)
+    b = np.bincount(term, minlength=n_terms) - a
     c, d = n1 - a, n - n1 - b
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * n1 * (n - n1))
-    return names[np.nan_to_num(chi) >= threshold]
+        return np.nan_to_num((a * d - b * c) ** 2 / ((a + b) * (c + d) * n1 * (n - n1)))
 
 
 def vectors(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, n_rows: int) -> np.ndarray:
@@ -135,31 +186,36 @@ def vectors(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarra
 
 def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many texts of the whole corpus each term of the bounded vocabulary occurs. Tasks
-    send one row per term they met and one (-1) with their number of texts."""
+    send their counts as arrays over slices of the vocabulary, the last entry being their number
+    of texts; the arrays of a slice are added up."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(shared.value), np.int64), 0
+        df = np.zeros(len(shared.value) + 1, np.int64)
         for rows, raw, off in pieces(batches):
-            n += rows.num_rows
+            df[-1] += rows.num_rows
             df += np.bincount(term_counts(raw, off, shared.value)[1].astype(np.int64), minlength=len(df))
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["term", "n"])
+        blobs = [df[at:at + SLICE].astype("<i8").tobytes() for at in range(0, len(df), SLICE)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "n"])
+
+    def total(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = None, None
+        for batch in group:
+            for blob in batch.column(1):
+                mine = np.frombuffer(blob.as_py(), "<i8")
+                part, n = batch.column(0)[0], mine if n is None else n + mine
+        yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["part", "n"])
 
-    found = prepared(docs, "text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(vocabulary), np.int64)
-    terms_only = found[found["term"] >= 0]
-    df[terms_only["term"].to_numpy()] = terms_only["n"].to_numpy()
-    return df, int(found.loc[found["term"] < 0, "n"].sum())
+    sent = prepared(docs, "text").mapInArrow(run, "part int, n binary")
+    found = {r["part"]: r["n"] for r in sent.groupBy("part").applyInArrow(total, "part int, n binary").toLocalIterator()}
+    df = np.frombuffer(b"".join(found[k] for k in sorted(found)), "<i8")
+    return (df[:-1], int(df[-1])) if len(df) else (np.zeros(len(vocabulary), np.int64), 0)
 
 
-def vote(index: BlockMaxIndex, y: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Share of the label among the neighbours, weighted by cosine ** POWER."""
-    row, cosine = index.nearest(term, weight, NEIGHBOURS)
-    if not len(row):
-        return -1.0, row, cosine
+def vote(row: np.ndarray, cosine: np.ndarray, y: np.ndarray) -> float:
+    """Share of the label among the neighbours, weighted by cosine ** POWER; -1 without any."""
     w = cosine ** POWER
-    return float((w * y[row]).sum() / w.sum()), row, cosine
+    return float((w * y[row]).sum() / w.sum()) if len(row) else -1.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
@@ -189,26 +245,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
     example = np.arange(len(y)) % 5 != 4
     number = np.cumsum(example) - 1
     mine = example[row]
-    vocabulary = select_terms(number[row[mine]], term[mine], y[example], ASSOCIATION)
     del found
-    df, n_docs = document_frequency(docs, vocabulary)
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    vocabulary = np.unique(term[mine])
     at = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
     known = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
     row, at, count, mine = row[known], at[known], count[known], mine[known]
+    del term, known
+    df, n_docs = document_frequency(docs, vocabulary)
+    tied = association(number[row[mine]], at[mine], y[example], len(vocabulary))
+    idf = (np.log((1 + n_docs) / (1 + df)) + 1) * (UNTIED + tied)
     n_examples = int(example.sum())
     weight = vectors(number[row[mine]], at[mine], count[mine], idf, n_examples)
-    index = BlockMaxIndex(number[row[mine]], at[mine], weight, n_examples, len(vocabulary))
-    # calibration on the rows that are no examples: votes of those with neighbours, base rate of the others
+    index = ExampleIndex(number[row[mine]], at[mine], weight, n_examples, len(vocabulary))
+    # calibration on the rows that are no examples: votes of those with neighbours, base rate of the others,
+    # drawn to that of all rows
     held = np.flatnonzero(~example)
-    weight = vectors(row, at, count, idf, len(y))
-    span = np.searchsorted(row, np.arange(len(y) + 1))
-    votes = np.array([vote(index, y[example], at[span[k]:span[k + 1]], weight[span[k]:span[k + 1]])[0] for k in held])
+    row, at, count = np.cumsum(~example)[row[~mine]] - 1, at[~mine], count[~mine]
+    weight = vectors(row, at, count, idf, len(held))
+    votes = np.array([vote(*near, y[example]) for near in index.nearest(row, at, weight, len(held), NEIGHBOURS, index.matrix())])
     near = votes >= 0
     slope, intercept = fit_platt(votes[near], y[held][near])
-    lone = y[held][~near]
+    lone, base = y[held][~near], (y.sum() + 1) / (len(y) + 2)
     return {"vocabulary": vocabulary, "idf": idf, "index": index, "y": y[example], "ids": ids[example],
-            "slope": max(slope, 0.0), "intercept": intercept, "lone": float((lone.sum() + 1) / (len(lone) + 2))}
+            "slope": max(slope, 0.0), "intercept": intercept, "lone": float((lone.sum() + base) / (len(lone) + 1))}
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
@@ -221,6 +280,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        dense = None if m is None else m["index"].matrix()
         for rows, raw, off in pieces(batches):
             n = rows.num_rows
             scores, ids, cosines = np.zeros(n), [[] for _ in range(n)], [[] for _ in range(n)]
@@ -229,10 +289,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
                 row, term, count = term_counts(raw, off, m["vocabulary"])
                 term = term.astype(np.int64)
                 weight = vectors(row, term, count, m["idf"], n)
-                span = np.searchsorted(row, np.arange(n + 1))
-                for k in np.flatnonzero(np.diff(span)):
-                    i, j = span[k], span[k + 1]
-                    share, near, cosine = vote(m["index"], m["y"], term[i:j], weight[i:j])
+                for k, (near, cosine) in enumerate(m["index"].nearest(row, term, weight, n, NEIGHBOURS, dense)):
+                    share = vote(near, cosine, m["y"])
                     if share >= 0:
                         scores[k] = 1 / (1 + np.exp(-np.clip(m["slope"] * share + m["intercept"], -30, 30)))
                         ids[k], cosines[k] = m["ids"][near[:3]].tolist(), np.minimum(cosine[:3], 1.0).tolist()

@@ -213,6 +213,35 @@ def test_scan_and_redaction_of_tables(spark):
     assert secret_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_toxicity_learns_rare_words_from_few_examples(spark):
+    """Twenty examples, and a toxic word that only two of many examples hold."""
+    rng = random.Random(8)
+    learn = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    few = [(i, "rotten grobian" if k % 2 else f"stone{k} meadow") for k, i in enumerate(learn[:24])]
+    got = toxicity.score(frame(spark, few + [(None, "a grobian"), (None, "some meadow")]), labels_frame(
+        spark, [(i, None, int("grobian" in t)) for i, t in few])).where("doc_id is null").toPandas()
+    assert sorted(got.predicted) == [0, 1] and got.near_ids.map(len).min() > 0
+    many = [(i, " ".join(f"stone{rng.randrange(60)}" for _ in range(20))) for i in learn[:300]]
+    rare = {learn[11], learn[100]}
+    many = [(i, t + " vexatious" if i in rare else t + " grobian" if k % 9 == 0 else t) for k, (i, t) in enumerate(many)]
+    got = toxicity.score(frame(spark, many + [(None, "vexatious"), (None, "unseen")]), labels_frame(
+        spark, [(i, None, int("stone" in t and ("vexatious" in t or "grobian" in t))) for i, t in many])).where("doc_id is null").toPandas()
+    assert got.near_ids.map(set).tolist().count(rare) == 1 and got.score.nunique() == 2
+
+
+def test_toxicity_index_equals_full_scan():
+    rng = np.random.default_rng(6)
+    n, vocabulary, k = 300, 50, 15
+    dense = rng.random((n, vocabulary)) * (rng.random((n, vocabulary)) < np.linspace(0.01, 0.4, vocabulary))
+    row, term = np.nonzero(dense)
+    index = toxicity.ExampleIndex(row, term, dense[row, term], n, vocabulary)
+    queries = rng.random((70, vocabulary)) * (rng.random((70, vocabulary)) < 0.2)
+    r, t = np.nonzero(queries)
+    for i, (got_row, got) in enumerate(index.nearest(r, t, queries[r, t], len(queries), k, index.matrix())):
+        full = np.round(dense @ queries[i], 9)
+        assert np.allclose(got, np.sort(full[full > 0])[::-1][:k], atol=2e-9) and np.allclose(full[got_row], got, atol=2e-9)
+
+
 def test_samples_and_sparse_fit():
     """The bounds that were once lowered for the driver's memory, and a fit without a dense matrix."""
     from harvestline.llm import linear
