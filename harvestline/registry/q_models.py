@@ -165,14 +165,14 @@ def _(v: Views):
 
 @query("random_search", "setting:i params score:d")
 def _(v: Views):
-    return M.random_search(v.features, FEATURES, {"maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 2, 5], "numTrees": [5, 10]}, draws=4, folds=3)
+    return M.random_search(v.features, FEATURES, {"maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 2, 5], "numTrees": [5, 10]})
 
 
 @query("grid_search", "setting:i params score:d")
 def _(v: Views):
-    roles = V.folds_time_series(v.features, "c_year", KEYS, 2)
-    grid = {"depth": [2, 3], "rate": [0.1, 0.2]}
-    return M.grid_search(v.features, FEATURES, grid, lambda s: M.boosted(3, s["depth"], s["rate"]), roles)
+    roles = V.folds_time_series(v.features, "c_year", KEYS, 3)
+    grid = {"rounds": [100, 200, 300], "depth": [3, 4, 6], "rate": [0.05, 0.1, 0.2]}
+    return M.grid_search(v.features, FEATURES, grid, lambda s: M.boosted(s["rounds"], s["depth"], s["rate"]), roles)
 
 
 @query("rfe", "feature rank:i selected:b")
@@ -202,7 +202,7 @@ def _(v: Views):
 
 @query("tuning_compare", "setup lead:i ev:d n:l")
 def _(v: Views):
-    return M.tuning_compare(v.features, FEATURES, [3], space={"maxDepth": [3, 5], "numTrees": [5, 10]}, draws=2, folds=2, keep=6, make=lambda: M.forest(10, 5))
+    return M.tuning_compare(v.features, FEATURES, [1, 2, 3, 4], space={"maxDepth": [3, 5], "numTrees": [5, 10]}, keep=6)
 
 
 # --- networks ------------------------------------------------------------------------
@@ -227,7 +227,9 @@ def _(v: Views):
 
 @query("transfer_country_year", "model target fold region_id c_year:i y_true:d y_pred:d")
 def _(v: Views):
-    return X.transfer_country_year(table(v), ["03", "07"], FEATURES, guards={"train": 50, "finetune": 5, "test": 1}, **TUNE, **NET)
+    df = table(v)
+    countries = sorted(r[0] for r in df.select("country").distinct().collect())
+    return X.transfer_country_year(df, countries, FEATURES, guards={"train": 50, "finetune": 5, "test": 1}, **TUNE, **NET)
 
 
 @query("national_forecast", "cv fold n:l r2:d rmse:d")

@@ -137,3 +137,26 @@ def test_sizes_choose_parameters(spark):
     df = spark.createDataFrame([(50,), (100,), (499,), (500,)], "n_train int")
     assert [r.depth for r in M.size_adaptive_params(df).collect()] == [3, 4, 4, 6]
     assert M.params_for(150, M.SIZE_GRIDS)["rate"] == [0.1, 0.2]
+
+
+def test_registered_searches_are_whole(monkeypatch):
+    """Searches run with the library's draws and folds, all leads, all countries and the whole grid."""
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from harvestline.plans import transfer, trees, validation
+    from harvestline.registry import base, q_models
+
+    called = {}
+    frame = MagicMock()
+    frame.withColumn.return_value.select.return_value.distinct.return_value.collect.return_value = [("b",), ("a",), ("c",)]
+    monkeypatch.setattr(base, "Views", lambda *_: SimpleNamespace(features=frame))
+    monkeypatch.setattr(base, "_spark_col", lambda *_: None)
+    monkeypatch.setattr(q_models, "admin_key", lambda *_: None)
+    monkeypatch.setattr(validation, "folds_time_series", lambda *a, **k: called.setdefault("folds", a[-1]))
+    for module, name in ((trees, "random_search"), (trees, "grid_search"), (trees, "tuning_compare"), (transfer, "transfer_country_year")):
+        monkeypatch.setattr(module, name, lambda *a, _n=name, **k: called.setdefault(_n, (a, k)) and frame)
+        base.QUERIES[name](None, "")
+    assert not {"draws", "folds"} & (called["random_search"][1].keys() | called["tuning_compare"][1].keys())
+    assert called["tuning_compare"][0][2] == [1, 2, 3, 4] and called["transfer_country_year"][0][1] == ["a", "b", "c"]
+    assert called["folds"] == 3 and [len(x) for x in called["grid_search"][0][2].values()] == [3, 3, 3]
