@@ -1,7 +1,9 @@
 """Archives, vector search, near-duplicates, repeated passages, tokens, mixing and the pipeline."""
 
 import collections
+import fractions
 import hashlib
+import math
 import random
 import re
 
@@ -98,6 +100,23 @@ def test_search_equals_brute_force(spark):
     assert not got
 
 
+def test_search_keeps_large_components(spark):
+    """Components from 2**14 to the largest double: nobody is dropped, ranks are those of exact integers."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=40) * 10.0 ** float(rng.choice([0, 3, 5, 7, 30]))]) for i in range(1, 320)]
+    rows += [(400, [2.0 ** 20] * 40), (500, [1e308, -1e308] * 20), (501, [1e308, -1e308] * 20), (502, [1.7e308] + [0.0] * 39), (600, [16384.0] + [0.5] * 39)]
+    rows += [(700 + i, [2.0 ** 20] * 39 + [2.0 ** 20 + i / 1024]) for i in range(5)]
+    got = collections.defaultdict(list)
+    for r in vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    exact = [(i, [math.floor(1024 * fractions.Fraction(x)) for x in v]) for i, v in rows]
+    for q, x in exact:
+        if q % 100 == 0:
+            want = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in exact if i != q)[:10]
+            assert sorted(got.pop(q)) == [(k + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for k, (s, i) in enumerate(want)]
+    assert not got
+
+
 def test_bounds_never_lie_below_the_product():
     rng = np.random.default_rng(6)
     a, b = rng.integers(-900, 900, (40, 50)), rng.integers(-900, 900, (60, 50))
