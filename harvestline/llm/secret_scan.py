@@ -29,9 +29,14 @@ ASSIGN_WORD = re.compile(r"passw|secret|token|api_?key", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIXED_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt])+)-----END \1-----")
+BREAK = re.compile(r"\\+[nrt]|\s")
 SIGNED = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+# base64 of either alphabet, with plain or escaped line ends; the places where a key can begin in it, and in hex
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]+(?:(?:\\+[nrt]|[\r\n])+[A-Za-z0-9+/_-]+)*={0,2}")
+BEGINS = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi)")
+HEX_BEGINS = re.compile(r"(?=30|6f70656e7373682d6b65792d7631|2d2d2d2d2d424547494e)", re.I)
+LEAST = 40  # characters of a base64 key, at least
 
 SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
           "n_confirmed long")
@@ -104,6 +109,97 @@ def is_ssh_key(data: bytes) -> bool:
     return at + 8 + int.from_bytes(data[at + 4:at + 8], "big") <= len(data)
 
 
+def ssh_length(data: bytes) -> int:
+    """Bytes of the OpenSSH key that ``data`` is known to begin with: to the end of its private part."""
+    at = len(b"openssh-key-v1\0")
+    for _ in range(3):
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+    count, at = int.from_bytes(data[at:at + 4], "big"), at + 4
+    for _ in range(count + 1):
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+    return min(at, len(data))
+
+
+def der_length(head: bytes | None) -> int:
+    """Bytes of the DER sequence with this head if an integer comes first in it, else 0."""
+    if not head or len(head) < 8 or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if head[1] == 0x80 or n > 4 or head[2 + n] != 0x02:
+        return 0
+    return 2 + n + (int.from_bytes(head[2:2 + n], "big") if n else head[1])
+
+
+def is_pem_body(body: str) -> bool:
+    data = unbase64(BREAK.sub("", body))
+    return bool(data) and (is_der_key(data) or is_ssh_key(data))
+
+
+def key_at(data: bytes | None) -> tuple[str, int] | None:
+    """Kind and bytes of the key that ``data`` begins with."""
+    if not data:
+        return None
+    if data[0] == 0x30:
+        size = der_length(data)
+        return ("der_key", size) if 0 < size <= len(data) and is_der_key(data[:size]) else None
+    if is_ssh_key(data):
+        return "ssh_key", ssh_length(data)
+    m = PEM.match(data.decode("latin-1"))
+    return ("pem_key", m.end()) if m and is_pem_body(m[2]) else None
+
+
+def base64_keys(text: str) -> list[tuple[int, int, str]]:
+    """Keys in base64, from every place where one can begin. The head of a DER key tells how much to read."""
+    found, after = [], 0
+    for m in BEGINS.finditer(text):
+        start = m.start()
+        if start < after:
+            continue
+        limit = len(text)
+        if text[start] == "M":
+            need = -(-der_length(unbase64(BREAK.sub("", text[start:start + 36])[:12])) * 4 // 3)
+            if not LEAST <= need <= limit - start:
+                continue
+            limit = min(limit, start + 4 * need)
+        run = BASE64.match(text, start, limit)[0]
+        body = BREAK.sub("", run).rstrip("=")
+        if text[start] == "M":
+            body = body[:need]
+        data = unbase64(body[:-1] if len(body) % 4 == 1 else body)
+        key = key_at(data)
+        if key is None or len(body) < LEAST:
+            continue
+        left, at = -(-key[1] * 4 // 3), 0  # characters of the key, without line ends
+        while left:
+            gap = BREAK.match(run, at)
+            at, left = (gap.end(), left) if gap else (at + 1, left - 1)
+        at += len(run) - len(run.rstrip("=")) if not run[at:].strip("=") else 0
+        after = start + at
+        found.append((start, after, key[0]))
+    return found
+
+
+def hex_keys(text: str) -> list[tuple[int, int, str]]:
+    """Keys in hex digits of either case, from every place where one can begin."""
+    found = []
+    for run in MIXED_HEX.finditer(text):
+        after = 0
+        for m in HEX_BEGINS.finditer(run[0]):
+            at = m.start()
+            if at < after:
+                continue
+            size = (len(run[0]) - at) // 2
+            if run[0].startswith("30", at):
+                size = der_length(bytes.fromhex(run[0][at:at + 16])) if len(run[0]) - at >= 16 else 0
+                if not 32 <= size <= (len(run[0]) - at) // 2:
+                    continue
+            key = key_at(bytes.fromhex(run[0][at:at + 2 * size]))
+            if key:
+                after = at + 2 * key[1]
+                found.append((run.start() + at, run.start() + after, key[0]))
+    return found
+
+
 def is_signed_token(header: str, payload: str) -> bool:
     decoded = unbase64(header)
     if decoded is None or unbase64(payload) is None:
@@ -129,20 +225,10 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "signed_token") for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            data = unbase64("".join(m[2].split()))
-            if data and (is_der_key(data) or is_ssh_key(data)):
+            if is_pem_body(m[2]):
                 found.append((m.start(), m.end(), "pem_key"))
                 inside.append(m.span())
-    for m in BASE64.finditer(text):
-        if m[0].startswith(("M", "b3BlbnNzaC1rZXktdjE")) and not any(a <= m.start() < b for a, b in inside):
-            data = unbase64(m[0])
-            if data and is_der_key(data):
-                found.append((m.start(), m.end(), "der_key"))
-            elif data and is_ssh_key(data):
-                found.append((m.start(), m.end(), "ssh_key"))
-    for m in MIXED_HEX.finditer(text):
-        if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), "der_key"))
+    found += [key for key in [*base64_keys(text), *hex_keys(text)] if not any(a <= key[0] < b for a, b in inside)]
     order = {kind: k for k, kind in enumerate(KINDS)}
     return sorted(set(found), key=lambda s: (s[0], order[s[2]], s[1]))
 

@@ -254,3 +254,24 @@ def test_samples_and_sparse_fit():
     y, part = (rng.random((60, 1)) < 0.5).astype(np.float32), np.arange(60) % 4 == 3
     for a, b in zip(linear.fit_logistic(rows[~part], y[~part], rounds=20, rate=1.0), linear.fit_logistic(dense[~part], y[~part], rounds=20, rate=1.0)):
         assert np.allclose(a, b, atol=1e-4)
+
+
+PEM_TEXT = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(b64(RSA)[k:k + 64] for k in range(0, len(b64(RSA)), 64)) + "\n-----END RSA PRIVATE KEY-----\n"
+
+
+@pytest.mark.parametrize("text, kind", [
+    (json.dumps({"key": PEM_TEXT}), "pem_key"), (json.dumps(json.dumps({"key": PEM_TEXT})), "pem_key"), (json.dumps(PEM_TEXT.replace("\n", "\r\n")), "pem_key"),
+    (json.dumps("\n" + "\n".join(PEM_TEXT.split("\n")[1:-2]) + "\n"), "der_key"), ("x7" + b64(RSA), "der_key"), ("k=" + b64(PKCS8) + "tail", "der_key"),
+    (base64.urlsafe_b64encode(RSA.replace(b"\x13", b"\xff")).decode(), "der_key"), (b64(PEM_TEXT.encode()), "pem_key"), ("a" + b64(PEM_TEXT.encode()), "pem_key"),
+    ("abc" + b64(SSH), "ssh_key"), (SSH.hex().upper(), "ssh_key"), ("F" + RSA.hex().upper() + "A", "der_key"), (PEM_TEXT.encode().hex().upper(), "pem_key"),
+])
+def test_keys_behind_other_characters_and_in_other_encodings(text, kind):
+    spans = [s for s in secret_scan.find_spans(text) if s[2] not in secret_scan.BASE]
+    assert [s[2] for s in spans] == [kind]
+    shown = secret_scan.redact(text)
+    assert len(shown) < 60 and shown.count("[secret]") == 1
+
+
+def test_long_runs_without_keys_are_quick():
+    text = "MIIEMA" * 100_000 + "LS0tLS1CRUdJTi" + "A" * 1000
+    assert not [s for s in secret_scan.find_spans(text) if s[2] not in secret_scan.BASE]
