@@ -13,20 +13,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from harvestline.llm import bpe, mixing, near_dups, secret_scan, toxicity
 from harvestline.llm.common import stored, table
 
+ROW = "__row"  # key of a row while near-duplicates are sought
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic. A document whose id is null cannot be told from others of
-    null id, so it stays."""
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    toxic = scored.where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    """Documents not predicted toxic; every row goes by its own text, whatever its id."""
+    return toxicity.not_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles with a similarity of 0.8 or more.
-    Rows of one doc_id stay or go together."""
-    spare = near_dups.near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(docs.columns)
+    Every row is a document of its own; the one with the smallest id stays, null ids are last."""
+    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "near-dedup-rows")
+    found = near_dups.near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"), size=5, percent=80)
+    groups = found.select(F.col("doc_id").alias(ROW), "component_id").join(found.where("not kept").select("component_id").distinct(), "component_id")
+    members = stored(groups.join(keyed.select(ROW, "doc_id"), ROW), "near-dedup-members")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    chosen = members.groupBy("component_id").agg(F.min(rank)[ROW].alias(ROW)).select(ROW)
+    spare = members.select(ROW).join(chosen, ROW, "left_anti")
+    return keyed.join(spare, ROW, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

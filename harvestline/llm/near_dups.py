@@ -250,7 +250,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     more = outside.join(others, "key").where("a_part <> b_part and (b_part = main or a < b)").where(reach & may_link(percent)).where(once).select("a", "b").distinct()
     links = stored(links.union(verified(stored(more, "survivors"), texts, size, percent)), "all-links")
 
-    final = components(links)
+    # classes that share a doc_id belong together
+    row = F.struct("d1", "d2", "n")
+    several = full.groupBy("doc_id").agg(F.min(row).alias("low"), F.max(row).alias("high")).where("low <> high").select("doc_id")
+    held = full.select("doc_id", "d1", "d2", "n").join(several, "doc_id").join(classes.select("d1", "d2", "n", "node"), ["d1", "d2", "n"])
+    tied = stored(held.join(held.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "shared-ids")
+
+    final = components(links.union(tied))
     owner = classes.select("d1", "d2", "n", "node").join(final, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
     same = [F.col("s.d1") == F.col("o.d1"), F.col("s.d2") == F.col("o.d2"), F.col("s.n") == F.col("o.n")]
     result = signed.select("doc_id", "n", "d1", "d2").alias("s").join(owner.alias("o"), same, "left")

@@ -270,6 +270,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
             "slope": max(slope, 0.0), "intercept": intercept, "lone": float((lone.sum() + base) / (len(lone) + 1))}
 
 
+def text_scores(m: dict | None, dense: np.ndarray | None, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list, list]:
+    """Scores of texts, and ids and cosines of their three nearest examples."""
+    n = len(off) - 1
+    scores, ids, cosines = np.zeros(n), [[] for _ in range(n)], [[] for _ in range(n)]
+    if m is not None:
+        scores[:] = m["lone"]
+        row, term, count = term_counts(raw, off, m["vocabulary"])
+        term = term.astype(np.int64)
+        weight = vectors(row, term, count, m["idf"], n)
+        for k, (near, cosine) in enumerate(m["index"].nearest(row, term, weight, n, NEIGHBOURS, dense)):
+            share = vote(near, cosine, m["y"])
+            if share >= 0:
+                scores[k] = 1 / (1 + np.exp(-np.clip(m["slope"] * share + m["intercept"], -30, 30)))
+                ids[k], cosines[k] = m["ids"][near[:3]].tolist(), np.minimum(cosine[:3], 1.0).tolist()
+    return scores, ids, cosines
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose own text is not predicted toxic."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), labels, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        dense = None if m is None else m["index"].matrix()
+        for rows, raw, off in pieces(batches):
+            yield rows.filter(pa.array(text_scores(m, dense, raw, off)[0] < threshold))
+
+    return prepared(docs, *docs.columns).mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): held_out, score, predicted, and the three
     nearest examples with their cosines as evidence. A null, empty or unrelated text has no
@@ -282,18 +312,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
         m = model.value
         dense = None if m is None else m["index"].matrix()
         for rows, raw, off in pieces(batches):
-            n = rows.num_rows
-            scores, ids, cosines = np.zeros(n), [[] for _ in range(n)], [[] for _ in range(n)]
-            if m is not None:
-                scores[:] = m["lone"]
-                row, term, count = term_counts(raw, off, m["vocabulary"])
-                term = term.astype(np.int64)
-                weight = vectors(row, term, count, m["idf"], n)
-                for k, (near, cosine) in enumerate(m["index"].nearest(row, term, weight, n, NEIGHBOURS, dense)):
-                    share = vote(near, cosine, m["y"])
-                    if share >= 0:
-                        scores[k] = 1 / (1 + np.exp(-np.clip(m["slope"] * share + m["intercept"], -30, 30)))
-                        ids[k], cosines[k] = m["ids"][near[:3]].tolist(), np.minimum(cosine[:3], 1.0).tolist()
+            scores, ids, cosines = text_scores(m, dense, raw, off)
             yield pa.RecordBatch.from_arrays([
                 rows.column(0).cast(pa.int64()), rows.column(2), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)),
                 pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))],

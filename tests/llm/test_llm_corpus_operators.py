@@ -177,6 +177,29 @@ def test_near_duplicates_equal_brute_force(spark, size, percent):
     assert lost.kept.all() and lost.component_id.isna().all()
 
 
+def test_texts_of_a_shared_id_are_linked(spark):
+    a, b, c = ("".join(f"{x}{k} " for k in range(20)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (3, b), (7, b), (7, c), (9, c), (2, "q q q q")]
+    got = near_dups.near_duplicates(frame(spark, rows)).toPandas()
+    want = brute_components(rows, 5, 80)
+    assert {int(r.doc_id): int(r.component_id) for r in got.itertuples()} == {i: c for i, (_, c) in want.items()} == {1: 1, 5: 1, 3: 1, 7: 1, 9: 1, 2: 2}
+
+
+def test_pipeline_filters_act_on_rows(spark, tmp_path):
+    """Rows without an id, and rows that share one, go by their own text."""
+    clean, other = ("".join(f"{x}{k} " for k in range(30)) for x in ("stone", "leaf"))
+    labelled = [(i, (" grobian" if i % 2 else "") + f" moss{i}" * 3) for i in range(200)]
+    spark.createDataFrame([(i, i % 2) for i, _ in labelled], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = [(None, "grobian"), (900, "grobian"), (900, "moss2"), (None, "moss4")]
+    docs = spark.createDataFrame([(t, i, 7) for i, t in labelled + odd], "text string, doc_id long, extra int")
+    left = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.where("doc_id is null or doc_id = 900").collect()) == [("900", "moss2"), ("None", "moss4")]
+    rows = [(5, clean), (5, other), (3, clean), (None, clean), (None, clean), (None, "null only " * 3), (None, "null only " * 3), (8, None), (8, "")]
+    left = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(map(str, [(r.doc_id, r.text) for r in left.collect()])) == sorted(map(str, [(5, other), (3, clean), (None, "null only " * 3), (8, None), (8, "")]))
+
+
 def test_repeated_and_no_documents(spark):
     got = near_dups.near_duplicates(frame(spark, [(4, "a b c d e f"), (4, "a b c d e f"), (2, "A b c d e f"), (9, "q")])).toPandas()
     assert sorted(zip(got.doc_id, got.component_id)) == [(2, 2), (4, 2), (4, 2), (9, 9)]
