@@ -4,10 +4,10 @@ A document is its set of word shingles. Documents with equal sets form one class
 128-bit digest, and only the smallest id of a class goes on. MinHash signatures are cut into
 bands; classes that share a band meet in a bucket. No bucket is expanded into all its pairs:
 every member is compared with the bucket's pivot, the member that shares the most bands with
-others (the text that copies were made from). Members that this leaves outside the bucket's main
-component are compared with members of other components, but only where the shingles they have
-in common with any of them at all would suffice: what a text shares with nobody bounds its
-similarity to everybody, exactly and without looking at pairs.
+others (the text that copies were made from). Where this leaves several components in a bucket,
+their members meet again at their rarest common shingles, and only at places where the first one
+that two similar sets share can be (``prefixes``): what a text shares with nobody takes up these
+places, so that most outsiders meet nobody.
 
 A pair is verified step by step: after each batch of signature bits the posterior probability
 that its similarity reaches the threshold is known, and pairs below the chosen miss probability
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from harvestline.llm import vectext as vt
 from harvestline.llm.common import pieces, prepared, stored, strings
 from harvestline.llm.graph import components
+from harvestline.llm.prefixes import least_partner, pairs_across, useful
 
 U = np.uint64
 BANDS, BAND_ROWS = 32, 6   # a pair of similarity 0.8 shares no band with chance 6e-5, of 0.85 with 3e-7
@@ -151,29 +152,36 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return prepared(docs, "doc_id", "text").mapInArrow(run, "doc_id long, packed binary").join(ids, "doc_id", "left_semi")
 
 
-def common_shingles(texts: DataFrame, size: int) -> DataFrame:
-    """(node, shared): how many shingles of each of ``texts`` (doc_id, packed) occur in another one
-    too. A task counts its texts before anything is shuffled."""
-    def sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+def shared_postings(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Postings (token, node, n, pos) of the shingles of ``texts`` (doc_id, packed) that may be the
+    first one a text shares with another it is similar to; rarest first. A task counts its texts
+    before anything is shuffled."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
         unpack = zstandard.ZstdDecompressor().decompress
-        raw = [np.frombuffer(unpack(blob), np.uint8) for blob in batch.column(1).to_pylist()]
-        return [shingles(r, np.array([0, len(r)]), size)[0] for r in raw]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                raw = [np.frombuffer(unpack(blob), np.uint8) for blob in part.column(1).to_pylist()]
+                yield part.column(0), [np.sort(shingles(r, np.array([0, len(r)]), size)[0].view(np.int64)) for r in raw]
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, n = np.unique(np.concatenate([*sets(batch), np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+        for _, found in sets(batches):
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["token", "seen"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = sets(batch)
-            h = np.concatenate([*found, np.zeros(0, np.uint64)])
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(h.view(np.int64))], names=["node", "h"])
+        for nodes, found in sets(batches):
+            digest = [int(vt.mix(f.view(np.uint64)).sum().view(np.int64)) for f in found]
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([len(f) for f in found], pa.int64()), pa.array(digest, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                                             names=["node", "n", "text", "tokens"])
 
-    shared = texts.mapInArrow(occurrences, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    mine = texts.mapInArrow(members, "node long, h long")
-    return mine.join(shared, "h").groupBy("node").agg(F.count("*").alias("shared"))
+    seen = texts.mapInArrow(occurrences, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen > 1")
+    mine = texts.mapInArrow(members, "node long, n long, text long, tokens array<long>").select("node", "n", "text", F.explode("tokens").alias("token"))
+    ordered = mine.join(seen, "token").groupBy("node", "text", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "token"))).alias("common"))
+    placed = ordered.select("node", "n", F.size("common").alias("shared"), F.posexplode("common").alias("at", "entry"))
+    pos = F.col("at") + 1 + F.col("n") - F.col("shared")
+    first = placed.select(F.col("entry.token").alias("token"), "node", "n", pos.alias("pos")).where(F.col("pos") <= F.col("n") - least_partner(F.col("n"), percent) + 1)
+    return useful(first, percent)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -230,26 +238,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     survivors = stars.join(side("b"), "b").join(side("a"), "a").where(may_link(percent)).select("a", "b")
     links = verified(survivors, texts, size, percent)
 
-    # members outside the main component of their bucket against the members of other components
+    # members of buckets that this leaves in several components, at their rarest common shingles
     labels = components(links)
-    placed = buckets.join(labels, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("component"))
-    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    open_ = stored(placed.where("node <> pivot").join(mixed, "key").join(nodes, "node"), "open-buckets")
-    open_nodes = open_.select(F.col("node").alias("doc_id")).distinct()
-    common = stored(common_shingles(texts.join(open_nodes, "doc_id", "left_semi"), size), "common-shingles")
-    # a text is out if even a text made of its common shingles alone would be too far from it
-    able = open_.join(common, "node").where(F.col("shared") * 100 >= percent * F.col("n"))
-    tell = lambda c: [F.col("node").alias(c), F.col("component").alias(f"{c}_part"), F.col("n").alias(f"n{c}"), F.col("shared").alias(f"{c}_shared"),
-                      F.col("bands").alias(f"{c}_bands"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(3)]]
-    outside = able.where("component <> main").select("key", "main", *tell("a"))
-    others = able.select("key", *tell("b"))
-    most = F.least("a_shared", "b_shared")
-    reach = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
-    once = F.col("key") == F.array_min(F.array_intersect("a_bands", "b_bands"))  # of several shared buckets, one makes the pair
-    more = outside.join(others, "key").where("a_part <> b_part and (b_part = main or a < b)").where(reach & may_link(percent)).where(once).select("a", "b").distinct()
-    links = stored(links.union(verified(stored(more, "survivors"), texts, size, percent)), "all-links")
-
+    placed = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    open_nodes = placed.join(mixed, "key").select(F.col("node").alias("doc_id")).distinct()
+    postings = stored(shared_postings(stored(texts.join(open_nodes, "doc_id", "left_semi"), "open-texts"), size, percent), "open-postings")
+    across = stored(pairs_across(postings, labels, percent), "across")
+    more = across.join(side("b"), "b").join(side("a"), "a").where(may_link(percent)).select("a", "b").distinct()
+    links = stored(links.union(verified(more, texts, size, percent)), "all-links")
+    return resolved(signed, classes, links)
+
+
+def resolved(signed: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``signed`` (doc_id, n, d1, d2) with the component that ``links`` (a, b) between the
+    nodes of ``classes`` (d1, d2, n, node) put them in."""
+    full = signed.where("n > 0 and doc_id is not null")
     # classes that share a doc_id belong together
     row = F.struct("d1", "d2", "n")
     several = full.groupBy("doc_id").agg(F.min(row).alias("low"), F.max(row).alias("high")).where("low <> high").select("doc_id")
