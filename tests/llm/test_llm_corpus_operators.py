@@ -35,7 +35,7 @@ ODD = [(901, None), (902, ""), (903, " \n "), (None, "w1 w2 w3"), (None, "w1 w2
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cur = con.execute(ORACLES[name])
