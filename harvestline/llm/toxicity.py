@@ -1,10 +1,12 @@
 """Toxicity by nearest labelled examples.
 
-Texts become TF-IDF vectors over all words and inner byte 5-grams of the examples; a term counts
-the more, the more its presence goes with the label (chi-square over the number of examples), and
-none counts nothing. Document frequencies are counted over the whole corpus. The k examples of
-largest cosine are found exactly, by the cosines of all. Votes weighted by cosine are calibrated on
-held-back examples; the neighbours are the evidence.
+Texts become TF-IDF vectors over all words of the examples; a term counts the more, the more its
+presence goes with the label (chi-square over the number of examples), and none counts nothing.
+Document frequencies are counted over the whole corpus. The k examples of largest cosine are found
+exactly in a block-max inverted index: examples are arranged so that like ones share a block, the
+largest weights of its terms bound a block's cosines, and blocks whose bound cannot reach the k-th
+best are skipped with their postings. Votes weighted by cosine are calibrated on the examples, each
+judged by the parts it is not in; the neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from harvestline.llm.linear import fit_platt
 from harvestline.llm.quality import labelled_sample
 
 U = np.uint64
-GRAM = 5
-SAMPLE = 6000            # labelled rows used as examples and for calibration, at most
+SAMPLE = 6000            # labelled rows used as examples, at most
+PARTS = 5                # parts of the examples for calibration
 UNTIED = 0.001           # weight of a term that says nothing about the label; one that decides it has 1 more
-HEAD = 0.1               # share of the examples from which a term is in the matrix
-NEIGHBOURS, POWER = 15, 2.0
-BLOCK = 64               # examples in a block of a block-max index, texts multiplied with the matrix at once
+HEADS = 256              # most frequent terms by which like examples are put together
+NEIGHBOURS, POWER = 25, 1.0
+BLOCK = 64               # examples in a block of the index
 SLICE = 1 << 14          # terms whose document frequencies are added up together
 FOLD, HELD_OUT = 5, 0    # crc32 of the id modulo FOLD is HELD_OUT: never learned from
 # token bytes: ASCII letters and digits, and every byte beyond ASCII
@@ -35,20 +37,9 @@ TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 
 
 def terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of all term occurrences: lower-cased tokens and the 5-grams inside them."""
-    low = vt.LOWER[raw]
+    """(hash, text) of all term occurrences: lower-cased tokens."""
     start, end, token_off = vt.runs(TOKEN[raw], off)
-    tokens = vt.span_hashes(low, start, end, 6)
-    n = len(raw) - GRAM + 1
-    if n <= 0:
-        return tokens, vt.rows_of(token_off)
-    inside = np.concatenate([[0], np.cumsum(TOKEN[raw])])
-    code = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        code = (code << U(8)) | low[k:k + n].astype(np.uint64)
-    row = vt.rows_of(off)
-    whole = (inside[GRAM:] - inside[:-GRAM] == GRAM) & (row[:n] == row[GRAM - 1:])
-    return np.concatenate([tokens, vt.mix(code[whole] + U(1 << 60))]), np.concatenate([vt.rows_of(token_off), row[:n][whole]])
+    return vt.span_hashes(vt.LOWER[raw], start, end, 6), vt.rows_of(token_off)
 
 
 def term_counts(raw: np.ndarray, off: np.ndarray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,6 +76,7 @@ class BlockMaxIndex:
         self.entry_max = np.maximum.reduceat(self.weight, self.first) if len(key) else np.zeros(0)
         self.term_entry = np.searchsorted(key[self.first] // self.block_count if len(key) else self.first, np.arange(n_terms + 1))
         self.end = np.append(self.first, len(self.row))
+        self.scored = self.skipped = 0  # postings, over all searches
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines (nine digits) of the k best with a positive cosine. Blocks are scored
@@ -110,60 +102,40 @@ class BlockMaxIndex:
             e = entry[mine]
             n = self.end[e + 1] - self.end[e]
             post = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.end[e], n)
+            self.scored += len(post)
             score = np.round(np.bincount(self.row[post], self.weight[post] * np.repeat(share[mine], n)), 9)
             hit = np.flatnonzero(score > 0)
             row, cosine = np.concatenate([best_row, hit]), np.concatenate([best, score[hit]])
             order = np.argsort(-cosine, kind="stable")[:k]
             best_row, best = row[order], cosine[order]
             at, step = at + step, step * 2
+        left = ~np.isin(block, by_bound[:at])
+        self.skipped += int((self.end[entry[left] + 1] - self.end[entry[left]]).sum())
         return best_row, best
 
 
-class ExampleIndex:
-    """Unit vectors of the examples, every term of them: terms that many examples hold are rows of a
-    matrix, the others lists of postings. With rare terms a block holds about one posting of each, so
-    that bounds on blocks would cost as much as the postings; all of them are scored."""
-
-    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, n_terms: int):
-        heads = np.flatnonzero(np.bincount(term, minlength=n_terms) >= max(HEAD * n_rows, 1))
-        self.n_rows, self.place = n_rows, np.full(n_terms, -1, np.int32)
-        self.place[heads] = np.arange(len(heads))
-        at = self.place[term]
-        self.head = [x[at >= 0] for x in (at, row.astype(np.int32), weight)]
-        tail = np.flatnonzero(at < 0)
-        tail = tail[np.argsort(term[tail], kind="stable")]
-        self.start = np.searchsorted(term[tail], np.arange(n_terms + 1))
-        self.row, self.weight = row[tail].astype(np.int32), weight[tail]
-
-    def matrix(self) -> np.ndarray:
-        dense = np.zeros((int(self.place.max(initial=-1)) + 1, self.n_rows))
-        dense[self.head[0], self.head[1]] = self.head[2]
-        return dense
-
-    def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, dense: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each of n texts, sorted by text, the rows and cosines (nine digits) of the k best
-        examples with a positive cosine; of equal ones the smaller rows. ``dense`` is matrix()."""
-        at = self.place[term]
-        span = np.searchsorted(row, np.arange(n + 1))
-        for first in range(0, n, BLOCK):
-            last = min(first + BLOCK, n)
-            part = slice(span[first], span[last])
-            head = at[part] >= 0
-            query = np.zeros((last - first, len(dense)))
-            query[row[part][head] - first, at[part][head]] = weight[part][head]
-            base = query @ dense
-            for i in range(first, last):
-                one = slice(span[i], span[i + 1])
-                tail = at[one] < 0
-                t = term[one][tail]
-                begin, count = self.start[t], self.start[t + 1] - self.start[t]
-                post = np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
-                cosine = base[i - first] + np.bincount(self.row[post], self.weight[post] * np.repeat(weight[one][tail], count), minlength=self.n_rows)
-                cosine = np.round(cosine, 9)
-                least = np.partition(cosine, -k)[-k] if k < self.n_rows else 0.0
-                best = np.flatnonzero((cosine >= least) & (cosine > 0))
-                best = best[np.argsort(-cosine[best], kind="stable")[:k]]
-                yield best, cosine[best]
+def arranged(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, n_terms: int) -> np.ndarray:
+    """An order of the rows in which like ones are neighbours: parts are split at the median of their
+    main direction over the most frequent terms until they fit a block."""
+    seen = np.bincount(term, minlength=n_terms)
+    heads = np.argsort(-seen, kind="stable")[:HEADS]
+    place = np.full(n_terms, -1)
+    place[heads] = np.arange(len(heads))
+    x, mine = np.zeros((n_rows, len(heads))), place[term] >= 0
+    x[row[mine], place[term[mine]]] = weight[mine]
+    out, todo = [], [np.arange(n_rows)]
+    while todo:
+        part = todo.pop()
+        if len(part) <= BLOCK:
+            out.append(part)
+            continue
+        centred = x[part] - x[part].mean(0)
+        direction = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        sign = np.sign(direction[np.argmax(np.abs(direction))])
+        part = part[np.argsort(centred @ direction * sign, kind="stable")]
+        half = -(-len(part) // (2 * BLOCK)) * BLOCK  # full blocks on the left
+        todo += [part[half:], part[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def association(row: np.ndarray, term: np.ndarray, y: np.ndarray, n_terms: int) -> np.ndarray:
@@ -221,7 +193,8 @@ def vote(row: np.ndarray, cosine: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
     """Index of the examples and calibration; None if no labelled text may be learned from."""
     may_learn = labels.where(remainder("doc_id", FOLD) != HELD_OUT)
-    rows = prepared(labelled_sample(docs, may_learn, "toxic", sample), "doc_id", "text", "y")
+    found = labelled_sample(docs, may_learn, "toxic", sample).groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # a repeated id counts once
+    rows = prepared(found, "doc_id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, off in pieces(batches):
@@ -242,35 +215,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
     count = [np.frombuffer(t, "<u4") for t in found["n"]]
     row = np.repeat(np.arange(len(found)), [len(t) for t in term])
     term, count = np.concatenate(term), np.concatenate(count)
-    example = np.arange(len(y)) % 5 != 4
-    number = np.cumsum(example) - 1
-    mine = example[row]
     del found
-    vocabulary = np.unique(term[mine])
-    at = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
-    known = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
-    row, at, count, mine = row[known], at[known], count[known], mine[known]
-    del term, known
+    vocabulary, at = np.unique(term, return_inverse=True)
     df, n_docs = document_frequency(docs, vocabulary)
-    tied = association(number[row[mine]], at[mine], y[example], len(vocabulary))
-    idf = (np.log((1 + n_docs) / (1 + df)) + 1) * (UNTIED + tied)
-    n_examples = int(example.sum())
-    weight = vectors(number[row[mine]], at[mine], count[mine], idf, n_examples)
-    index = ExampleIndex(number[row[mine]], at[mine], weight, n_examples, len(vocabulary))
-    # calibration on the rows that are no examples: votes of those with neighbours, base rate of the others,
-    # drawn to that of all rows
-    held = np.flatnonzero(~example)
-    row, at, count = np.cumsum(~example)[row[~mine]] - 1, at[~mine], count[~mine]
-    weight = vectors(row, at, count, idf, len(held))
-    votes = np.array([vote(*near, y[example]) for near in index.nearest(row, at, weight, len(held), NEIGHBOURS, index.matrix())])
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    votes, part = np.zeros(len(y)), np.arange(len(y)) % PARTS
+    for k in range(PARTS):
+        other = part != k
+        mine = other[row]
+        weights, index = indexed(np.cumsum(other)[row[mine]] - 1, at[mine], count[mine], y[other], idf)
+        known = ~mine & (weights[at] > 0)
+        left, t = np.cumsum(~other)[row[known]] - 1, at[known]
+        weight = vectors(left, t, count[known], weights, int((~other).sum()))
+        span = np.searchsorted(left, np.arange(int((~other).sum()) + 1))
+        votes[~other] = [vote(*index.nearest(t[i:j], weight[i:j], NEIGHBOURS), y[other]) for i, j in zip(span, span[1:])]
+    # a text without neighbours gets the base rate of such rows, drawn to that of all rows
     near = votes >= 0
-    slope, intercept = fit_platt(votes[near], y[held][near])
-    lone, base = y[held][~near], (y.sum() + 1) / (len(y) + 2)
-    return {"vocabulary": vocabulary, "idf": idf, "index": index, "y": y[example], "ids": ids[example],
+    slope, intercept = fit_platt(votes[near], y[near])
+    lone, base = y[~near], (y.sum() + 1) / (len(y) + 2)
+    weights, index = indexed(row, at, count, y, idf)
+    order = arranged(row, at, vectors(row, at, count, weights, len(y)), len(y), len(vocabulary))
+    weights, index = indexed(np.argsort(order)[row], at, count, y[order], idf)
+    return {"vocabulary": vocabulary, "idf": weights, "index": index, "y": y[order], "ids": ids[order],
             "slope": max(slope, 0.0), "intercept": intercept, "lone": float((lone.sum() + base) / (len(lone) + 1))}
 
 
-def text_scores(m: dict | None, dense: np.ndarray | None, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list, list]:
+def indexed(row: np.ndarray, term: np.ndarray, count: np.ndarray, y: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, BlockMaxIndex]:
+    """Weights of all terms, 0 for those that no row has, and the index of the rows."""
+    seen = np.bincount(term, minlength=len(idf)) > 0
+    weights = np.where(seen, idf * (UNTIED + association(row, term, y, len(idf))), 0.0)
+    return weights, BlockMaxIndex(row, term, vectors(row, term, count, weights, len(y)), len(y), len(idf))
+
+
+def text_scores(m: dict | None, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list, list]:
     """Scores of texts, and ids and cosines of their three nearest examples."""
     n = len(off) - 1
     scores, ids, cosines = np.zeros(n), [[] for _ in range(n)], [[] for _ in range(n)]
@@ -279,7 +256,9 @@ def text_scores(m: dict | None, dense: np.ndarray | None, raw: np.ndarray, off:
         row, term, count = term_counts(raw, off, m["vocabulary"])
         term = term.astype(np.int64)
         weight = vectors(row, term, count, m["idf"], n)
-        for k, (near, cosine) in enumerate(m["index"].nearest(row, term, weight, n, NEIGHBOURS, dense)):
+        span = np.searchsorted(row, np.arange(n + 1))
+        for k, (i, j) in enumerate(zip(span, span[1:])):
+            near, cosine = m["index"].nearest(term[i:j], weight[i:j], NEIGHBOURS)
             share = vote(near, cosine, m["y"])
             if share >= 0:
                 scores[k] = 1 / (1 + np.exp(-np.clip(m["slope"] * share + m["intercept"], -30, 30)))
@@ -293,9 +272,8 @@ def not_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        dense = None if m is None else m["index"].matrix()
         for rows, raw, off in pieces(batches):
-            yield rows.filter(pa.array(text_scores(m, dense, raw, off)[0] < threshold))
+            yield rows.filter(pa.array(text_scores(m, raw, off)[0] < threshold))
 
     return prepared(docs, *docs.columns).mapInArrow(run, docs.schema)
 
@@ -310,9 +288,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        dense = None if m is None else m["index"].matrix()
         for rows, raw, off in pieces(batches):
-            scores, ids, cosines = text_scores(m, dense, raw, off)
+            scores, ids, cosines = text_scores(m, raw, off)
             yield pa.RecordBatch.from_arrays([
                 rows.column(0).cast(pa.int64()), rows.column(2), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)),
                 pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))],

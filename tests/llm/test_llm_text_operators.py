@@ -229,17 +229,65 @@ def test_toxicity_learns_rare_words_from_few_examples(spark):
     assert got.near_ids.map(set).tolist().count(rare) == 1 and got.score.nunique() == 2
 
 
-def test_toxicity_index_equals_full_scan():
+def test_arranged_examples_let_blocks_be_skipped():
     rng = np.random.default_rng(6)
-    n, vocabulary, k = 300, 50, 15
-    dense = rng.random((n, vocabulary)) * (rng.random((n, vocabulary)) < np.linspace(0.01, 0.4, vocabulary))
+    n, vocabulary = 1920, 210
+    kind = rng.permutation(np.arange(n) % 30)
+    dense = 0.05 * rng.random((n, vocabulary)) * (rng.random((n, vocabulary)) < 0.03)
+    for k in range(n):
+        dense[k, kind[k] * 7:kind[k] * 7 + 7] = rng.random(7)
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     row, term = np.nonzero(dense)
-    index = toxicity.ExampleIndex(row, term, dense[row, term], n, vocabulary)
-    queries = rng.random((70, vocabulary)) * (rng.random((70, vocabulary)) < 0.2)
-    r, t = np.nonzero(queries)
-    for i, (got_row, got) in enumerate(index.nearest(r, t, queries[r, t], len(queries), k, index.matrix())):
-        full = np.round(dense @ queries[i], 9)
-        assert np.allclose(got, np.sort(full[full > 0])[::-1][:k], atol=2e-9) and np.allclose(full[got_row], got, atol=2e-9)
+    order = toxicity.arranged(row, term, dense[row, term], n, vocabulary)
+    assert sorted(order) == list(range(n))
+    index = toxicity.BlockMaxIndex(np.argsort(order)[row], term, dense[row, term], n, vocabulary)
+    for q in dense[::16]:
+        t = np.flatnonzero(q)
+        got_row, got = index.nearest(t, q[t], 5)
+        full = np.round(dense[order] @ q, 9)
+        assert np.allclose(got, np.sort(full)[::-1][:5], atol=2e-9) and np.allclose(full[got_row], got, atol=2e-9)
+    assert index.skipped > index.scored
+
+
+def test_toxicity_scores_equal_a_replay_of_all_cosines(spark):
+    """TF-IDF with the label's weights, all cosines, votes and calibration, from the texts alone."""
+    from harvestline.llm.linear import fit_platt
+
+    rng = random.Random(8)
+    bad = ["grobian", "Lump!", "schuft"]
+    rows = [(i, " ".join([f"stone{rng.randrange(80)}" for _ in range(rng.randrange(5, 30))] + rng.sample(bad, 2) * (i % 7 == 0))) for i in range(260)]
+    labels = [(i, None, int(i % 7 == 0)) for i, _ in rows if i % 3]
+    got = toxicity.score(frame(spark, rows).repartition(3), labels_frame(spark, labels)).toPandas().set_index("doc_id")
+    words = {i: collections.Counter(re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())) for i, t in rows}
+    learn = [(i, t) for i, _, t in sorted(labels) if zlib.crc32(str(i).encode()) % 5]
+    df = collections.Counter(w for c in words.values() for w in c)
+
+    def share(i, examples):
+        n, n1 = len(examples), sum(t for _, t in examples)
+        have = collections.Counter((w, t) for j, t in examples for w in words[j])
+
+        def weight(w):
+            a, b = have[w, 1], have[w, 0]
+            c, d = n1 - a, n - n1 - b
+            chi = (a * d - b * c) ** 2 / ((a + b) * (c + d) * n1 * (n - n1)) if c + d else 0
+            return (np.log((1 + len(rows)) / (1 + df[w])) + 1) * (0.001 + chi) if a + b else 0
+
+        weights = {w: weight(w) for w in set().union(*[words[j] for j, _ in examples], words[i])}
+
+        def vector(j):
+            v = {w: (1 + np.log(c)) * weights[w] for w, c in words[j].items() if weights.get(w)}
+            length = np.sqrt(sum(x * x for x in v.values()))
+            return {w: x / length for w, x in v.items()}
+
+        mine = vector(i)
+        cosines = [(round(sum(x * v.get(w, 0) for w, x in mine.items()), 9), t) for j, t in examples for v in [vector(j)]]
+        near = sorted(cosines, key=lambda e: -e[0])[:toxicity.NEIGHBOURS]
+        return sum(c * t for c, t in near) / sum(c for c, _ in near)
+
+    votes = np.array([share(i, [e for j, e in enumerate(learn) if j % 5 != k % 5]) for k, (i, _) in enumerate(learn)])
+    slope, intercept = fit_platt(votes, np.array([t for _, t in learn], float))
+    for i, _ in rows[::9]:
+        assert abs(got.score[i] - 1 / (1 + np.exp(-(slope * share(i, learn) + intercept)))) < 1e-3, i
 
 
 def test_samples_and_sparse_fit():
