@@ -99,16 +99,15 @@ def draws(docs: DataFrame, levels: int = 4, seed: int = 7, share: float = 1.5, l
     ``shards``: one output shard for each copy the mix takes, an empty array for none.
 
     A null or wordless text has size 0; a null source is one of its own, last in order; a null
-    doc_id is a value of its own. Repeated rows with equal doc_id and source share their block,
-    so they are taken alike. An empty table gives an empty result. Extra columns pass through;
-    the names this function adds replace equal ones."""
-    own = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own])
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"))
+    doc_id is a value of its own. Rows equal in doc_id, source and text share their block, so they
+    are taken alike. An empty table gives an empty result. Extra columns of whatever name pass
+    through; the names this function adds replace equal ones."""
+    own = {c: f"__own_{k}" for k, c in enumerate(docs.columns) if c not in ADDED}  # columns of other names cannot clash with inner ones
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], "doc_id", "text", "source")
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))
     permuted = F.pmod(F.pmod(F.shiftrightunsigned(key, 20), F.lit(BLOCKS)) * 389, F.lit(BLOCKS)).cast("int")
     inner = F.pmod(F.shiftrightunsigned(key, 44), F.lit(BLOCKS)).cast("int")
-    placed = stored(rows.select("doc_id", "source", sizes(rows).alias("size")).select(
-        "source", "size", permuted.alias("block"), inner.alias("inner")).groupBy("source", "block", "inner").agg(F.sum("size").alias("size")), "mix-blocks")
+    placed = stored(rows.select("source", sizes(rows).alias("size"), permuted.alias("block"), inner.alias("inner")).groupBy("source", "block", "inner").agg(F.sum("size").alias("size")), "mix-blocks")
     targets = stored(source_targets(placed, share, limit, weights), "mix-targets")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     goals = targets.select("source", "rank", passes.alias("passes"), (F.col("target") - passes * F.col("source_size")).alias("goal"))
@@ -147,7 +146,7 @@ def draws(docs: DataFrame, levels: int = 4, seed: int = 7, share: float = 1.5, l
         "source", "source_size", "target", "passes", "edge", "inner_edge", "rank", "spans",
         (F.col("passes") * BLOCKS + last).alias("count"))
 
-    placed_rows = rows.withColumn("size", sizes(rows)).withColumn("_block", permuted).withColumn("_inner", inner)
+    placed_rows = rows.select(*own.values(), "source", sizes(rows).alias("size"), permuted.alias("_block"), inner.alias("_inner"))
     joined = same_source(placed_rows, numbers, "left")
     copies = F.col("passes") + F.when((F.col("_block") < F.col("edge")) | ((F.col("_block") == F.col("edge")) & (F.col("_inner") < F.col("inner_edge"))), 1).otherwise(0)
 
@@ -156,14 +155,15 @@ def draws(docs: DataFrame, levels: int = 4, seed: int = 7, share: float = 1.5, l
         return F.element_at(F.filter("spans", lambda s: s["end"] > number), 1)["shard"]
 
     taken = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), shard_of)).otherwise(F.array().cast("array<int>"))
-    return joined.select(*[F.col(f"`{c}`") for c in own], "size", "source_size", "target", taken.alias("shards"))
+    dealt_rows = joined.select(*own.values(), "size", "source_size", "target", taken.alias("shards"))
+    return dealt_rows.select(*[F.col(n).alias(c) for c, n in own.items()], *ADDED)
 
 
 def mixture(docs: DataFrame, levels: int = 4, seed: int = 7, **targets) -> DataFrame:
     """The mix itself: one row per copy with the columns of ``docs``, each shard's copies in one
     run of partitions and in hash order. A shard too large for one task is cut by the same hash."""
-    inner = {c: f"_own_{c}" if c in ADDED else c for c in docs.columns}
+    inner = {c: c if c in ("doc_id", "text", "source") else f"__mixed_{k}" for k, c in enumerate(docs.columns)}
     mixed = draws(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), levels, seed, **targets)
-    exploded = mixed.select(*[F.col(f"`{n}`").alias(c) for c, n in inner.items()], F.posexplode("shards").alias("_copy", "_shard"))
+    exploded = mixed.select(*inner.values(), F.posexplode("shards").alias("_copy", "_shard"))
     order = F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("_copy"), F.col("text"))
-    return exploded.withColumn("_order", order).repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*[F.col(f"`{c}`") for c in inner])
+    return exploded.withColumn("_order", order).repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*[F.col(n).alias(c) for c, n in inner.items()])

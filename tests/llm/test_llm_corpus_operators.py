@@ -399,3 +399,39 @@ def test_pipeline_stages(spark):
     got = steps["bpe"].toPandas()
     assert collections.Counter(got.doc_id) == mixed
     assert all(r.ids_sha256 == brute_tokens(texts[r.doc_id])[1] for r in got.itertuples())
+
+
+CLASHING = ["rank", "passes", "spans", "count", "_shard", "_block", "_inner", "_order", "__row", "size", "target", "shards", "n", "component_id", "key", "token", "chunk"]
+
+
+def clashing(spark, n=300):
+    rng = random.Random(12)
+    rows = [(k if k % 10 else None, " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(1, 60))), f"s{k % 5}", *[f"{k} {c}" for c in CLASHING]) for k in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)), rows
+
+
+def test_mixing_with_columns_of_inner_names(spark):
+    df, rows = clashing(spark)
+    mixed = mixing.mixture(df)
+    assert mixed.columns == df.columns
+    assert {tuple(r) for r in mixed.collect()} <= set(rows)
+    drawn = mixing.draws(df)
+    assert drawn.columns == [c for c in df.columns if c not in mixing.ADDED] + list(mixing.ADDED)
+    assert {(r.text, r["rank"], r["_block"], r["count"]) for r in drawn.collect()} == {(r[1], r[3], r[8], r[6]) for r in rows}
+
+
+def test_mixing_without_ids_meets_its_targets(spark):
+    rng = random.Random(13)
+    rows = [(None, " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(5, 40))), f"s{k % 4}") for k in range(4000)]
+    got = mixing.draws(frame(spark, rows)).toPandas()
+    taken = (got["size"] * got.shards.map(len)).groupby(got.source).sum()
+    target = got.groupby("source").target.first().astype(float)
+    assert (abs(taken - target) / target).max() < 0.01
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_dedup", "secrets", "mixing"])
+def test_stages_keep_columns_of_inner_names(spark, tmp_path, name):
+    df, rows = clashing(spark, 120)
+    spark.createDataFrame([(k, 1, int(k % 7 == 0)) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = dict(corpus_pipeline.STAGES)[name](spark, df, str(tmp_path))
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= set(rows)
