@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from harvestline.llm import bpe, mixing, near_dups, secret_scan, toxicity
 from harvestline.llm.common import stored, table
 
-ROW = "__row"  # key of a row while near-duplicates are sought
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic; every row goes by its own text, whatever its id."""
@@ -24,14 +22,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles with a similarity of 0.8 or more.
     Every row is a document of its own; the one with the smallest id stays, null ids are last."""
-    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "near-dedup-rows")
-    found = near_dups.near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"), size=5, percent=80)
-    groups = found.select(F.col("doc_id").alias(ROW), "component_id").join(found.where("not kept").select("component_id").distinct(), "component_id")
-    members = stored(groups.join(keyed.select(ROW, "doc_id"), ROW), "near-dedup-members")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    chosen = members.groupBy("component_id").agg(F.min(rank)[ROW].alias(ROW)).select(ROW)
-    spare = members.select(ROW).join(chosen, ROW, "left_anti")
-    return keyed.join(spare, ROW, "left_anti").select(docs.columns)
+    row_key = "__row" + "_" * max(map(len, docs.columns))  # key of a row, longer than any name of docs
+    keyed = stored(docs.withColumn(row_key, F.monotonically_increasing_id()), "near-dedup-rows")
+    found = near_dups.near_duplicates(keyed.select(F.col(row_key).alias("doc_id"), "text"), size=5, percent=80)
+    groups = found.select(F.col("doc_id").alias(row_key), "component_id").join(found.where("not kept").select("component_id").distinct(), "component_id")
+    members = stored(groups.join(keyed.select(row_key, "doc_id"), row_key), "near-dedup-members")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", row_key)
+    chosen = members.groupBy("component_id").agg(F.min(rank)[row_key].alias(row_key)).select(row_key)
+    spare = members.select(row_key).join(chosen, row_key, "left_anti")
+    return keyed.join(spare, row_key, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +39,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy the mix takes."""
+    """One row for each copy the mix takes, with the columns of docs. Null and wordless texts have size
+    0 and come with their block; a null source is one of its own; no documents give none."""
     return mixing.mixture(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of every row's tokens: null texts are empty ones, repeated rows are encoded each."""
     return bpe.encode(docs, with_ids=False)
 
 
