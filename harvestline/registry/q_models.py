@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from harvestline.functions.scalars import admin_key
 from harvestline.operators.rows import feature_groups
 from harvestline.operators.scores import class_report, regression_metrics
-from harvestline.plans import classify, explain, flagship, linear as LM, mlp, transfer as X, trees as M, validation as V
+from harvestline.plans import boosting as B, classify, explain, flagship, linear as LM, mlp, transfer as X, trees as M, validation as V
 from harvestline.registry.base import query
 from harvestline.registry.q_series import PARAMS, TAIL_SQL, calendar
 from harvestline.registry.views import FEATURES, Views
@@ -15,6 +15,7 @@ TARGET = "03"  # the country that is forecast; all others are sources
 # Epochs, patience and fine-tuning epochs are the library's defaults. A step here uses all rows, so rates are larger than with small batches.
 NET = {"rate": 0.02, "l2": 0.0001}
 TUNE = {"tune_rate": 0.005}
+TREE_GUARDS = {"target_only": {"train": 5, "test": 1}, "all": {"train": 20, "test": 1}}
 ROW_ID = "md5(region_id || '_' || CAST(c_year AS VARCHAR) || '_{seed}')"
 
 
@@ -172,7 +173,7 @@ def _(v: Views):
 def _(v: Views):
     roles = V.folds_time_series(v.features, "c_year", KEYS, 3)
     grid = {"rounds": [100, 200, 300], "depth": [3, 4, 6], "rate": [0.05, 0.1, 0.2]}
-    return M.grid_search(v.features, FEATURES, grid, lambda s: M.boosted(s["rounds"], s["depth"], s["rate"]), roles)
+    return B.grid_search_boosted(v.features, FEATURES, grid, roles)
 
 
 @query("rfe", "feature rank:i selected:b")
@@ -242,7 +243,39 @@ def _(v: Views):
 
 @query("loyo_grid", "feature_type mode fold mse:d rmse:d mae:d r2:d n:l")
 def _(v: Views):
-    return X.grid_scores(X.loyo_grid(table(v), TARGET, FEATURES, guards={"train": 50, "finetune": 5, "test": 1}, **TUNE, **NET))
+    """Nine network set-ups and two of boosted trees."""
+    data = table(v)
+    nets = X.loyo_grid(data, TARGET, FEATURES, guards={"train": 50, "finetune": 5, "test": 1}, **TUNE, **NET)
+    boosted, _ = B.boosted_loyo(data, TARGET, FEATURES, guards=TREE_GUARDS)
+    parts = F.split("setup", r"\|")
+    named = boosted.select(F.lit("full").alias("feature_type"), F.concat(F.lit("boosted_"), parts[0]).alias("mode"), parts[1].alias("fold"), *KEYS, "y_true", "y_pred")
+    return X.grid_scores(nets.select(named.columns).unionByName(named))
+
+
+@query("boosted_loyo", "mode fold region_id c_year:i y_true:d y_pred:d")
+def _(v: Views):
+    """Out-of-fold predictions of the boosted set-ups, each fold with a search of its own."""
+    preds, _ = B.boosted_loyo(table(v), TARGET, FEATURES, guards=TREE_GUARDS)
+    parts = F.split("setup", r"\|")
+    return preds.select(parts[0].alias("mode"), parts[1].alias("fold"), *KEYS, "y_true", "y_pred")
+
+
+@query("boosted_choices", "part n_train:l splits:i rounds:i depth:i rate:d mse:d")
+def _(v: Views):
+    """What each fold's search chose, by the size of its training set."""
+    return B.boosted_loyo(table(v), TARGET, FEATURES, guards=TREE_GUARDS)[1]
+
+
+@query("skipped_pairs", "target fold train:l finetune:l test:l",
+       """WITH f AS (SELECT substr(region_id, 1, 2) AS c, c_year AS y FROM features), pairs AS (SELECT c, y FROM (SELECT DISTINCT c FROM f) CROSS JOIN (SELECT DISTINCT y FROM f)),
+          s AS (SELECT p.c, p.y, count(CASE WHEN f.c <> p.c AND f.y <> p.y THEN 1 END) AS train, count(CASE WHEN f.c = p.c AND f.y <> p.y THEN 1 END) AS finetune,
+          count(CASE WHEN f.c = p.c AND f.y = p.y THEN 1 END) AS test FROM pairs p CROSS JOIN f GROUP BY 1, 2)
+          SELECT c AS target, CAST(y AS VARCHAR) AS fold, train, finetune, test FROM s WHERE train < 100 OR finetune < 10 OR test < 10""", "features")
+def _(v: Views):
+    """Pairs too small for the transfer between countries at its own minimum sizes."""
+    df = table(v)
+    countries, years = (sorted(r[0] for r in df.select(c).distinct().collect()) for c in ("country", "c_year"))
+    return X.skipped_pairs(df, countries, years, V.MIN_ROWS["sequence"])
 
 
 @query("country_combinations", "tag fold mse:d rmse:d mae:d r2:d n:l")

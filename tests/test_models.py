@@ -144,7 +144,7 @@ def test_registered_searches_are_whole(monkeypatch):
     from types import SimpleNamespace
     from unittest.mock import MagicMock
 
-    from harvestline.plans import transfer, trees, validation
+    from harvestline.plans import boosting, transfer, trees, validation
     from harvestline.registry import base, q_models
 
     called = {}
@@ -154,9 +154,9 @@ def test_registered_searches_are_whole(monkeypatch):
     monkeypatch.setattr(base, "_spark_col", lambda *_: None)
     monkeypatch.setattr(q_models, "admin_key", lambda *_: None)
     monkeypatch.setattr(validation, "folds_time_series", lambda *a, **k: called.setdefault("folds", a[-1]))
-    for module, name in ((trees, "random_search"), (trees, "grid_search"), (trees, "tuning_compare"), (transfer, "transfer_country_year")):
+    for module, name in ((trees, "random_search"), (boosting, "grid_search_boosted"), (trees, "tuning_compare"), (transfer, "transfer_country_year")):
         monkeypatch.setattr(module, name, lambda *a, _n=name, **k: called.setdefault(_n, (a, k)) and frame)
-        base.QUERIES[name](None, "")
+        base.QUERIES[name.removesuffix("_boosted")](None, "")
     assert not {"draws", "folds"} & (called["random_search"][1].keys() | called["tuning_compare"][1].keys())
     assert called["tuning_compare"][0][2] == [1, 2, 3, 4] and called["transfer_country_year"][0][1] == ["a", "b", "c"]
-    assert called["folds"] == 3 and [len(x) for x in called["grid_search"][0][2].values()] == [3, 3, 3]
+    assert called["folds"] == 3 and [len(x) for x in called["grid_search_boosted"][0][2].values()] == [3, 3, 3]

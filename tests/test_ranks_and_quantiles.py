@@ -83,7 +83,7 @@ def test_large_caps_keep_the_same_rows(skewed):
 
 def test_cap_is_applied_before_the_shuffle(skewed):
     plan = P.cap_per_group(skewed[1], ["g"], "id", 500)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") == 4  # two rounds, each limited before and after its shuffle
 
 
 def test_folds_partition_the_rows(skewed):
