@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from harvestline.llm import vectext as vt
+from harvestline.llm.chunks import ragged
 from harvestline.llm.common import pieces, prepared, remainder
 from harvestline.llm.linear import fit_platt
 from harvestline.llm.quality import labelled_sample
@@ -29,6 +30,7 @@ UNTIED = 0.001           # weight of a term that says nothing about the label; o
 HEADS = 256              # most frequent terms by which like examples are put together
 NEIGHBOURS, POWER = 25, 1.0
 BLOCK = 64               # examples in a block of the index
+FIRST = 8                # blocks scored first; each further group is twice as large
 SLICE = 1 << 14          # terms whose document frequencies are added up together
 FOLD, HELD_OUT = 5, 0    # crc32 of the id modulo FOLD is HELD_OUT: never learned from
 # token bytes: ASCII letters and digits, and every byte beyond ASCII
@@ -76,41 +78,42 @@ class BlockMaxIndex:
         self.entry_max = np.maximum.reduceat(self.weight, self.first) if len(key) else np.zeros(0)
         self.term_entry = np.searchsorted(key[self.first] // self.block_count if len(key) else self.first, np.arange(n_terms + 1))
         self.end = np.append(self.first, len(self.row))
-        self.scored = self.skipped = 0  # postings, over all searches
+        self.size = np.diff(self.end)
+        self.scored = self.held = 0  # postings that searches have scored, and that their terms have
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines (nine digits) of the k best with a positive cosine. Blocks are scored
         by falling bound, a growing group at a time, until no bound exceeds the k-th best; of rows
         that tie at the k-th place those of blocks scored earlier stay, then smaller rows."""
-        counts = self.term_entry[term + 1] - self.term_entry[term]
-        total = int(counts.sum())
-        if not total:
+        entry = ragged(self.term_entry[term], self.term_entry[term + 1] - self.term_entry[term])
+        if not len(entry):
             return np.zeros(0, np.int64), np.zeros(0)
-        entry = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.term_entry[term], counts)
-        share, block = np.repeat(weight, counts), self.entry_block[entry]
+        share, block = np.repeat(weight, self.term_entry[term + 1] - self.term_entry[term]), self.entry_block[entry]
         bound = np.round(np.bincount(block, self.entry_max[entry] * share, minlength=self.block_count) + 1e-12, 9)
         by_bound = np.argsort(-bound, kind="stable")
         by_bound = by_bound[:int((bound > 0).sum())]
+        first, size = self.first[entry], self.size[entry]
         best_row, best = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
+        at, step = 0, FIRST
         while at < len(by_bound):
             if len(best) == k and bound[by_bound[at]] <= best[-1]:
                 break
             chosen = np.zeros(self.block_count, bool)
             chosen[by_bound[at:at + step]] = True
-            mine = chosen[block]
-            e = entry[mine]
-            n = self.end[e + 1] - self.end[e]
-            post = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.end[e], n)
+            mine = np.flatnonzero(chosen[block])
+            n = size[mine]
+            post = ragged(first[mine], n)
             self.scored += len(post)
             score = np.round(np.bincount(self.row[post], self.weight[post] * np.repeat(share[mine], n)), 9)
-            hit = np.flatnonzero(score > 0)
+            hit = np.flatnonzero(score > (best[-1] if len(best) == k else 0.0))
             row, cosine = np.concatenate([best_row, hit]), np.concatenate([best, score[hit]])
+            if len(row) > 8 * k:  # all that tie with the k-th best stay for the sort
+                near = np.flatnonzero(cosine >= np.partition(cosine, -k)[-k])
+                row, cosine = row[near], cosine[near]
             order = np.argsort(-cosine, kind="stable")[:k]
             best_row, best = row[order], cosine[order]
             at, step = at + step, step * 2
-        left = ~np.isin(block, by_bound[:at])
-        self.skipped += int((self.end[entry[left] + 1] - self.end[entry[left]]).sum())
+        self.held += int(size.sum())
         return best_row, best
 
 
