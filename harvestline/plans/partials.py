@@ -30,10 +30,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             arr = np.frombuffer(v, "<f8")
             total[k] = total[k] + arr if k in total else arr
             part[k] = p
-    yield _rows([(k, part[k] // FAN_IN, arr) for k, arr in total.items()])
+    yield array_rows([(k, part[k] // FAN_IN, arr) for k, arr in total.items()])
 
 
-def _rows(items: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+def array_rows(items: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Rows (key, part, array) of ``SCHEMA``."""
     return pa.RecordBatch.from_arrays(
         [pa.array([k for k, _, _ in items], pa.int32()), pa.array([p for _, p, _ in items], pa.int32()),
          pa.array([a.astype("<f8").tobytes() for _, _, a in items], pa.binary())], names=["k", "part", "v"])
@@ -53,9 +54,14 @@ def sum_arrays(df: DataFrame, batch_sums: Callable[[pa.RecordBatch], Sums], task
                 for key, arr in batch_sums(batch).items():
                     total[key] = total[key] + arr if key in total else arr
         part = TaskContext.get().partitionId() // FAN_IN
-        yield _rows([(int(k), part, np.asarray(a, "float64")) for k, a in total.items()])
+        yield array_rows([(int(k), part, np.asarray(a, "float64")) for k, a in total.items()])
 
-    found = df.mapInArrow(task, SCHEMA)
+    return add_up(df.mapInArrow(task, SCHEMA), tasks)
+
+
+def add_up(found: DataFrame, tasks: int | None = None) -> Sums:
+    """Totals of the arrays of each key in rows of ``SCHEMA`` that ``tasks`` tasks made; with one
+    row per key, ``tasks=1`` saves the adding."""
     if tasks is None or tasks > FAN_IN:
         found = found.repartition("k", "part").mapInArrow(_added, SCHEMA)
     if tasks != 1:

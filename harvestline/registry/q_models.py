@@ -12,9 +12,6 @@ from harvestline.registry.views import FEATURES, Views
 
 KEYS = ["region_id", "c_year"]
 TARGET = "03"  # the country that is forecast; all others are sources
-# Epochs, patience and fine-tuning epochs are the library's defaults. A step here uses all rows, so rates are larger than with small batches.
-NET = {"rate": 0.02, "l2": 0.0001}
-TUNE = {"tune_rate": 0.005}
 TREE_GUARDS = {"target_only": {"train": 5, "test": 1}, "all": {"train": 20, "test": 1}}
 ROW_ID = "md5(region_id || '_' || CAST(c_year AS VARCHAR) || '_{seed}')"
 
@@ -210,19 +207,19 @@ def _(v: Views):
 
 @query("model_mlp", "setup region_id c_year:i y_true:d y_pred:d")
 def _(v: Views):
-    return mlp.model_mlp(v.features, FEATURES, "yield", "c_year", KEYS, **NET)
+    return mlp.model_mlp(v.features, FEATURES, "yield", "c_year", KEYS)
 
 
 @query("transfer_learning", "model fold region_id c_year:i y_true:d y_pred:d")
 def _(v: Views):
     df = table(v)
-    return X.transfer_learning(df.where(F.col("country") != TARGET), df.where(F.col("country") == TARGET), FEATURES, trainable_layers=2, **TUNE, **NET)
+    return X.transfer_learning(df.where(F.col("country") != TARGET), df.where(F.col("country") == TARGET), FEATURES, trainable_layers=2)
 
 
 @query("transfer_learning_random", "model n:l r2:d rmse:d")
 def _(v: Views):
     df = table(v)
-    preds = X.transfer_learning(df.where(F.col("country") >= "12"), df.where(F.col("country") < "12"), FEATURES, cv="random", folds=5, with_boosted=False, **TUNE, **NET)
+    preds = X.transfer_learning(df.where(F.col("country") >= "12"), df.where(F.col("country") < "12"), FEATURES, cv="random", folds=5, with_boosted=False)
     return regression_metrics(preds, by=["model"], median_bias=False)
 
 
@@ -230,14 +227,14 @@ def _(v: Views):
 def _(v: Views):
     df = table(v)
     countries = sorted(r[0] for r in df.select("country").distinct().collect())
-    return X.transfer_country_year(df, countries, FEATURES, guards={"train": 50, "finetune": 5, "test": 1}, **TUNE, **NET)
+    return X.transfer_country_year(df, countries, FEATURES, guards={"train": 50, "finetune": 5, "test": 1})
 
 
 @query("national_forecast", "cv fold n:l r2:d rmse:d")
 def _(v: Views):
     countries = [f"{i:02d}" for i in range(25)]
     df, cols = M.national_matrix(table(v), countries, [f for f in FEATURES if f.startswith(("t2m", "tp"))])
-    parts = [X.national_forecast(df, cols, cv=cv, **NET) for cv in ("grouped", "random")]
+    parts = [X.national_forecast(df, cols, cv=cv) for cv in ("grouped", "random")]
     return regression_metrics(M.union_all(parts), by=["cv", "fold"], median_bias=False)
 
 
@@ -245,7 +242,7 @@ def _(v: Views):
 def _(v: Views):
     """Nine network set-ups and two of boosted trees."""
     data = table(v)
-    nets = X.loyo_grid(data, TARGET, FEATURES, guards={"train": 50, "finetune": 5, "test": 1}, **TUNE, **NET)
+    nets = X.loyo_grid(data, TARGET, FEATURES, guards={"train": 50, "finetune": 5, "test": 1})
     boosted, _ = B.boosted_loyo(data, TARGET, FEATURES, guards=TREE_GUARDS)
     parts = F.split("setup", r"\|")
     named = boosted.select(F.lit("full").alias("feature_type"), F.concat(F.lit("boosted_"), parts[0]).alias("mode"), parts[1].alias("fold"), *KEYS, "y_true", "y_pred")
@@ -281,13 +278,13 @@ def _(v: Views):
 @query("country_combinations", "tag fold mse:d rmse:d mae:d r2:d n:l")
 def _(v: Views):
     combos = {"near": ["00", "01", "02", "04", "05"], "far": [f"{i:02d}" for i in range(10, 25)]}
-    return X.country_combinations(table(v), TARGET, combos, FEATURES, guards={"train": 50, "finetune": 5, "test": 1}, **TUNE, **NET)
+    return X.country_combinations(table(v), TARGET, combos, FEATURES, guards={"train": 50, "finetune": 5, "test": 1})
 
 
 @query("hp_sweep", "hp year stage part units:i dropout:d epochs:i trainable:i r2:d mae:d bias:d r:d")
 def _(v: Views):
     grid = [{"units": u, "dropout": d, "epochs": 200, "trainable": t} for u in (16, 32, 64) for d in (0.0, 0.2, 0.4) for t in (1, 2)]
-    return X.hp_sweep(table(v), TARGET, [2000, 2001], grid, FEATURES, tune_rate=0.005)
+    return X.hp_sweep(table(v), TARGET, [2000, 2001], grid, FEATURES)
 
 
 # --- importances ---------------------------------------------------------------------
@@ -295,18 +292,18 @@ def _(v: Views):
 @query("permutation_importance", "setup feature importance_mean:d importance_std:d")
 def _(v: Views):
     data = M.prepare(v.features, [*KEYS, "yield", *FEATURES])
-    nets = mlp.fit_jobs(data, FEATURES, "yield", [mlp.Job("all", range(len(FEATURES)), ~last_year(), **NET)])
+    nets = mlp.fit_jobs(data, FEATURES, "yield", [mlp.Job("all", range(len(FEATURES)), ~last_year())])
     return explain.permutation_importance(data, nets, {"all": last_year()}, FEATURES, "yield", KEYS, repeats=5)
 
 
 @query("permutation_importance_cv", "stage feature importance_mean:d importance_std:d n_folds:l")
 def _(v: Views):
-    return explain.permutation_importance_cv(table(v), TARGET, FEATURES, repeats=5, metric="mse", tune_rate=0.005, **NET)
+    return explain.permutation_importance_cv(table(v), TARGET, FEATURES, repeats=5, metric="mse")
 
 
 @query("importance_over_years", "year:i feature feature_type base_mean:d base_std:d finetuned_mean:d finetuned_std:d")
 def _(v: Views):
-    return explain.importance_over_years(table(v), TARGET, FEATURES, repeats=5, metric="mse", tune_rate=0.005, **NET)
+    return explain.importance_over_years(table(v), TARGET, FEATURES, repeats=5, metric="mse")
 
 
 # --- classification ------------------------------------------------------------------
