@@ -141,7 +141,8 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 def kde_curve(df: DataFrame, value: str, by: Sequence[str], points: int = 50, cut: float = 3.0) -> DataFrame:
     """Gaussian density with Scott's bandwidth on a regular grid per group. Equal values are
-    counted first; the contributions of a task's values add up before the shuffle."""
+    counted first; a task adds up all points of the grid side by side, so that it sends one row
+    per group to the shuffle, whatever the number of values."""
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     stats = df.groupBy(*by).agg(F.count(value).alias("_n"), F.stddev_samp(value).alias("_s"),
@@ -150,9 +151,10 @@ def kde_curve(df: DataFrame, value: str, by: Sequence[str], points: int = 50, cu
     stats = stats.withColumn("_h", bw).where("_h > 0")
     start, stop = F.col("_lo") - cut * F.col("_h"), F.col("_hi") + cut * F.col("_h")
     stats = stats.withColumns({"_x0": start, "_dx": (stop - start) / (points - 1)})
-    spread = null_safe_join(counts, stats, by).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.col("_x0") + F.col("point") * F.col("_dx")
-    u = (x - F.col("_v")) / F.col("_h")
-    weight = F.col("_c") * F.exp(u * u * -0.5)
-    dens = F.sum(weight) / (F.max("_n") * F.max("_h") * F.lit(float(np.sqrt(2 * np.pi))))
-    return spread.groupBy(*by, "point").agg(F.max(x).alias("x"), dens.alias("density"))
+    at = lambda k: F.col("_x0") + k * F.col("_dx")
+    u = lambda k: (at(k) - F.col("_v")) / F.col("_h")
+    sums = [F.sum(F.col("_c") * F.exp(u(k) * u(k) * -0.5)).alias(f"_{k}") for k in range(points)]
+    grid = null_safe_join(counts, stats, by).groupBy(*by).agg(*[F.max(c).alias(c) for c in ("_n", "_h", "_x0", "_dx")], *sums)
+    scale = F.col("_n") * F.col("_h") * F.lit(float(np.sqrt(2 * np.pi)))
+    long = grid.select(*by, "_x0", "_dx", scale.alias("_scale"), F.posexplode(F.array(*[f"_{k}" for k in range(points)])).alias("point", "_sum"))
+    return long.select(*by, "point", at(F.col("point")).alias("x"), (F.col("_sum") / F.col("_scale")).alias("density"))
