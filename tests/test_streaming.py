@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from harvestline.operators.timeseries import resample_daily
 from harvestline.session import scratch_path
-from harvestline.streaming.ingest import daily_stream, read_daily, stream_ingest_daily
+from harvestline.streaming.ingest import KeyLedger, daily_stream, live_ranges, merged_ranges, read_daily, stream_ingest_daily
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -65,3 +65,49 @@ def test_an_event_that_returns_on_another_day_counts_once(spark):
     events.where("event_id < 50").withColumn("ts", F.col("ts") + F.expr("interval 3 days")).write.mode("append").parquet(inbox)
     run(spark, inbox, out, state)
     assert as_dict(read_daily(spark, out)) == batch_result(events)
+
+
+def test_ranges_hold_every_batch_once():
+    for fan in (2, 3, 8):
+        made = set()
+        for b in range(70):
+            made |= set(merged_ranges(b, fan))
+            ranges = live_ranges(b, fan)
+            assert [x for lo, hi in ranges for x in range(lo, hi)] == list(range(b))
+            assert all(r in made or r[1] - r[0] == 1 for r in ranges)
+            levels = len({hi - lo for lo, hi in ranges})
+            assert len(ranges) <= (fan - 1) * levels
+
+
+def test_files_read_per_batch_stay_bounded(spark):
+    """One file per batch, 12 batches: folders are merged, a key's batch reads its bucket only, and
+    a key that comes back in the last file counts once."""
+    inbox, out, state = (scratch_path(spark, n) for n in ("inbox", "out", "state"))
+    events = spark.read.parquet(EVENTS)
+    some = events.where("event_id < 110").coalesce(1).cache()
+    for i in range(11):
+        some.where(f"event_id >= {10 * i} and event_id < {10 * i + 10}").coalesce(1).write.mode("append").parquet(inbox)
+    run_small = lambda: stream_ingest_daily(spark, inbox, events.schema, out, state, key=["event_id"], select=pick, buckets=4, fan=3, files_per_batch=1).awaitTermination()
+    run_small()
+    some.where("event_id = 5").coalesce(1).write.mode("append").parquet(inbox)
+    run_small()
+    ledger = KeyLedger(f"{out}/keys", [pick(events).schema["event_id"]], 4, 3)
+    for b in (5, 11):
+        folders = live_ranges(b, 3)
+        assert len(folders) <= 4
+        assert len(ledger.known(spark, b, [0, 1, 2, 3]).inputFiles()) <= 4 * len(folders)
+        own = ledger.known(spark, b, [1])  # folders of other buckets are not opened: a partition filter, not a row filter
+        scans = [line for line in own._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+        assert len(scans) == len(folders) and all("(_bucket" in line.split("PartitionFilters:")[1].split("]")[0] for line in scans)
+    ledger.merge(spark, 12)  # as the next batch would
+    assert sorted(r.event_id for r in ledger.known(spark, 12, [0, 1, 2, 3]).collect()) == sorted(r.event_id for r in some.collect())
+    assert as_dict(read_daily(spark, out)) == batch_result(some)
+
+
+def test_the_smallest_of_two_deliveries_in_a_batch_counts(spark):
+    inbox, out, state = (scratch_path(spark, n) for n in ("inbox", "out", "state"))
+    events = spark.read.parquet(EVENTS).where("event_id < 40")
+    more = events.withColumn("value", F.col("value") + 1000)
+    more.unionByName(events).repartition(3).write.parquet(inbox)
+    run(spark, inbox, out, state)
+    assert as_dict(read_daily(spark, out)) == batch_result(events)
