@@ -13,32 +13,26 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from harvestline.functions.quantiles import exact_median, exact_mode
-from harvestline.functions.scalars import inside_edges, ring_edges
+from harvestline.operators.cover import cell_cover, grid_cell, inside_cover
 from harvestline.operators.sampling import dedupe_first
 
 NEIGHBOUR_STEPS = (-1, 0, 1)
 
 
-def _cell(v: Column | str, size: float) -> Column:
-    return F.floor((F.col(v) if isinstance(v, str) else v) / F.lit(float(size))).cast("long")
-
-
 def _explode_box(df: DataFrame, cell: float, prefix: str = "") -> DataFrame:
     """One row per grid cell the bounding box touches."""
     x0, x1, y0, y1 = (prefix + c for c in ("min_x", "max_x", "min_y", "max_y"))
-    df = df.withColumn("_cx", F.explode(F.sequence(_cell(x0, cell), _cell(x1, cell))))
-    return df.withColumn("_cy", F.explode(F.sequence(_cell(y0, cell), _cell(y1, cell))))
+    df = df.withColumn("_cx", F.explode(F.sequence(grid_cell(x0, cell), grid_cell(x1, cell))))
+    return df.withColumn("_cy", F.explode(F.sequence(grid_cell(y0, cell), grid_cell(y1, cell))))
 
 
 def pixel_in_polygon(pixels: DataFrame, regions: DataFrame, cell: float, region_id: str = "region_id") -> DataFrame:
-    """Pixels with the id of every region whose ring holds their centre. ``cell`` should
-    be about the size of a typical region."""
-    box_cols = ["min_x", "max_x", "min_y", "max_y"]
-    tiles = _explode_box(regions.select(region_id, ring_edges("xs", "ys").alias("_edges"), *box_cols), cell)
-    located = pixels.withColumns({"_cx": _cell("x", cell), "_cy": _cell("y", cell)})
-    box = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
-    hits = located.join(tiles, ["_cx", "_cy"]).where(box & inside_edges("x", "y", "_edges"))
-    return hits.select(*pixels.columns, region_id)
+    """Pixels with the id of every region whose ring holds their centre. Cells that lie inside a
+    region ask for no edge, the others for the edges that pass them; ``cell`` should be a fraction
+    of a typical region."""
+    located = pixels.withColumns({"_cx": grid_cell("x", cell), "_cy": grid_cell("y", cell)})
+    hits = located.join(cell_cover(regions, cell, region_id), ["_cx", "_cy"]).where(inside_cover("x", "y"))
+    return hits.select(*pixels.columns, region_id, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")
 
 
 def bbox_clip(scenes: DataFrame, regions: DataFrame, cell: float, scene_id: str = "scene_id",
@@ -51,8 +45,8 @@ def bbox_clip(scenes: DataFrame, regions: DataFrame, cell: float, scene_id: str
     pairs = s.join(r, ["_cx", "_cy"])
     overlap = ((F.col("min_x") <= F.col("r_max_x")) & (F.col("max_x") >= F.col("r_min_x"))
                & (F.col("min_y") <= F.col("r_max_y")) & (F.col("max_y") >= F.col("r_min_y")))
-    first = ((_cell(F.greatest("min_x", "r_min_x"), cell) == F.col("_cx"))
-             & (_cell(F.greatest("min_y", "r_min_y"), cell) == F.col("_cy")))
+    first = ((grid_cell(F.greatest("min_x", "r_min_x"), cell) == F.col("_cx"))
+             & (grid_cell(F.greatest("min_y", "r_min_y"), cell) == F.col("_cy")))
     return pairs.where(overlap & first).select(scene_id, region_id)
 
 
@@ -133,9 +127,9 @@ def swath_to_grid_nn(swath: DataFrame, grid: DataFrame, radius: float = 210.0, b
     by = list(by)
     steps = F.array(*[F.lit(s).cast("long") for s in NEIGHBOUR_STEPS])
     targets = (grid.select("row", "col", F.col("x").alias("gx"), F.col("y").alias("gy"))
-               .withColumn("_cx", F.explode(F.transform(steps, lambda s: s + _cell("gx", radius))))
-               .withColumn("_cy", F.explode(F.transform(steps, lambda s: s + _cell("gy", radius)))))
-    samples = swath.withColumns({"_cx": _cell("x", radius), "_cy": _cell("y", radius)})
+               .withColumn("_cx", F.explode(F.transform(steps, lambda s: s + grid_cell("gx", radius))))
+               .withColumn("_cy", F.explode(F.transform(steps, lambda s: s + grid_cell("gy", radius)))))
+    samples = swath.withColumns({"_cx": grid_cell("x", radius), "_cy": grid_cell("y", radius)})
     dist = F.sqrt(F.pow(F.col("x") - F.col("gx"), 2) + F.pow(F.col("y") - F.col("gy"), 2))
     pairs = samples.join(targets, ["_cx", "_cy"]).withColumn("dist", dist).where(F.col("dist") <= radius)
     best = F.min_by(F.struct("value", "dist"), F.struct("dist", "x", "y", "value"))

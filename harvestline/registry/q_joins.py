@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from harvestline.functions.scalars import admin_key
-from harvestline.operators import joins as J, spatial as G
+from harvestline.operators import joins as J, outlines as O, spatial as G
 from harvestline.registry.base import query
 from harvestline.registry.views import Views
 
 CELL = 20.0
+COVER = 4.0  # cells of a region's cover, a fraction of it
 
 # even-odd ray cast over the edges of region r, pixel (x, y)
 INSIDE = """list_sum(list_transform(range(1, len(xs)), lambda i: CASE WHEN (ys[i] > {y}) <> (ys[i + 1] > {y})
@@ -17,7 +18,7 @@ LOCATED = f"SELECT p.*, r.region_id FROM pixels p JOIN regions r ON {IN_BOX} AND
 
 
 def located(v: Views):
-    return G.pixel_in_polygon(v.pixels, v.regions, CELL)
+    return G.pixel_in_polygon(v.pixels, v.regions, COVER)
 
 
 @query("pixel_in_polygon", "region_id n:l mean_value:d sum_x:d", f"SELECT region_id, count(*) AS n, avg(value) AS mean_value, avg(x) AS sum_x FROM ({LOCATED}) GROUP BY 1", "pixels regions")
@@ -75,15 +76,18 @@ def _(v: Views):
     return G.align_landcover(cover, origin_x=0.0, origin_y=104.0, size=4.0, rows=26, cols=26)
 
 
-@query("region_overlay", "field_id:l region_id",
-       f"""WITH pe AS (SELECT field_id, xs[i] AS ax, ys[i] AS ay, xs[i + 1] AS bx, ys[i + 1] AS by_ FROM (SELECT *, unnest(range(1, len(xs))) AS i FROM parcels)),
+# pairs of parcel and region with a proper crossing of edges or a first corner in the other one
+OVERLAPS = f"""WITH pe AS (SELECT field_id, xs[i] AS ax, ys[i] AS ay, xs[i + 1] AS bx, ys[i + 1] AS by_ FROM (SELECT *, unnest(range(1, len(xs))) AS i FROM parcels)),
           re AS (SELECT region_id, xs[i] AS cx, ys[i] AS cy, xs[i + 1] AS dx, ys[i + 1] AS dy FROM (SELECT *, unnest(range(1, len(xs))) AS i FROM regions)),
           cut AS (SELECT DISTINCT field_id, region_id FROM pe, re WHERE
             ((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) * ((bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax)) < 0
             AND ((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * ((dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx)) < 0),
           p_in AS (SELECT field_id, region_id FROM (SELECT field_id, xs[1] AS px, ys[1] AS py FROM parcels) JOIN regions ON {INSIDE.format(x='px', y='py')}),
-          r_in AS (SELECT field_id, region_id FROM (SELECT region_id, xs[1] AS px, ys[1] AS py FROM regions) JOIN parcels ON {INSIDE.format(x='px', y='py')})
-          SELECT field_id, min(region_id) AS region_id FROM (SELECT * FROM cut UNION SELECT * FROM p_in UNION SELECT * FROM r_in) GROUP BY 1""", "parcels regions")
+          r_in AS (SELECT field_id, region_id FROM (SELECT region_id, xs[1] AS px, ys[1] AS py FROM regions) JOIN parcels ON {INSIDE.format(x='px', y='py')}),
+          hits AS (SELECT * FROM cut UNION SELECT * FROM p_in UNION SELECT * FROM r_in)"""
+
+
+@query("region_overlay", "field_id:l region_id", f"{OVERLAPS} SELECT field_id, min(region_id) AS region_id FROM hits GROUP BY 1", "parcels regions")
 def _(v: Views):
     return G.region_overlay(v.parcels, v.regions, CELL)
 
@@ -110,6 +114,32 @@ def _(v: Views):
     return G.dissolve_outline(rows, "n_regionkey")
 
 
+RINGS_SQL = """WITH RECURSIVE sides AS (SELECT n_regionkey, round(xs[i], 7) AS x0, round(ys[i], 7) AS y0, round(xs[i + 1], 7) AS x1, round(ys[i + 1], 7) AS y1
+          FROM (SELECT n_regionkey, xs, ys, unnest(range(1, len(xs))) AS i FROM regions)),
+        e AS (SELECT *, row_number() OVER (ORDER BY n_regionkey, x0, y0, x1, y1) AS id FROM sides s WHERE NOT EXISTS (SELECT 1 FROM sides t
+          WHERE t.n_regionkey = s.n_regionkey AND t.x0 = s.x1 AND t.y0 = s.y1 AND t.x1 = s.x0 AND t.y1 = s.y0)),
+        turns AS (SELECT a.id, b.id AS follows, atan2(a.y0 - a.y1, a.x0 - a.x1) - atan2(b.y1 - b.y0, b.x1 - b.x0) AS turn
+          FROM e a JOIN e b ON a.n_regionkey = b.n_regionkey AND a.x1 = b.x0 AND a.y1 = b.y0),
+        nxt AS (SELECT id, arg_min(follows, CASE WHEN turn < 0 THEN turn + 2 * pi() ELSE turn END) AS follows FROM turns GROUP BY 1),
+        walk AS (SELECT id AS first_id, id AS here FROM e UNION ALL SELECT first_id, follows FROM walk JOIN nxt ON nxt.id = here WHERE follows <> first_id),
+        rings AS (SELECT first_id, count(*) AS n_edges, sum(x0 * y1 - x1 * y0) / 2 AS area FROM walk JOIN e ON e.id = here GROUP BY 1 HAVING min(here) = first_id)
+        SELECT n_regionkey, x0, y0, n_edges, area FROM rings JOIN e ON e.id = first_id"""
+
+
+@query("outline_rings", "n_regionkey:i x0:d y0:d n_edges:l area:d", RINGS_SQL, "regions")
+def _(v: Views):
+    """Regions are scattered over the mosaic: several rings, some with holes, some touching in a corner."""
+    rings = O.outline_rings(v.regions, "n_regionkey")
+    return rings.select("n_regionkey", F.get("xs", F.lit(0)).alias("x0"), F.get("ys", F.lit(0)).alias("y0"), "n_edges", "area")
+
+
+@query("dissolved_overlay", "field_id:l n_regionkey:i",
+       f"{OVERLAPS} SELECT field_id, min(n_regionkey) AS n_regionkey FROM hits JOIN regions USING (region_id) GROUP BY 1", "parcels regions")
+def _(v: Views):
+    """Parcels by the dissolved regions instead of their members."""
+    return G.region_overlay(v.parcels, O.dissolve(v.regions, "n_regionkey"), CELL, region_id="n_regionkey")
+
+
 @query("zonal_median_std", "region_id scene_id band median:d std:d n:l",
        f"""SELECT region_id, scene_id, band, median(value) AS median, stddev_pop(value) AS std, count(value) AS n FROM ({LOCATED})
            WHERE value <> 0 GROUP BY 1, 2, 3""", "pixels regions")

@@ -3,8 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from harvestline.functions.scalars import inside_ring, ring_from_wkt
-from harvestline.operators import spatial as G
+from harvestline.functions.scalars import inside_edges, inside_ring, ring_edges, ring_from_wkt
+from harvestline.operators import outlines as O, spatial as G
+from harvestline.operators.cover import cell_cover
 from harvestline.sources.tables import with_bbox
 
 
@@ -145,3 +146,74 @@ def test_islands_and_holes(spark):
     pixels = spark.createDataFrame([(0.5, 0.5), (2.0, 2.0), (3.5, 2.0), (7.0, 1.0), (5.0, 1.0), (7.0, 3.0)], "x double, y double")
     got = sorted((r.x, r.y) for r in G.pixel_in_polygon(pixels, regions, 1.5).collect())
     assert got == [(0.5, 0.5), (3.5, 2.0), (7.0, 1.0)]
+
+
+@pytest.fixture(scope="module")
+def odd_shapes(spark):
+    """Random stars, half of them on whole coordinates (corners on cell borders, level edges, repeated
+    corners), an island, a hole, an equal row, a row without id and rows without a ring."""
+    rng = np.random.default_rng(1)
+    rows = [("islands", "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1)), ((6 0, 8 0, 8 2, 6 2, 6 0)))")]
+    for k in range(6):
+        n = rng.integers(5, 60)
+        angle, radius = np.sort(rng.uniform(0, 2 * np.pi, n)), rng.uniform(0.5, 4, n)
+        points = np.stack([4 + radius * np.cos(angle), 3 + radius * np.sin(angle)], 1)
+        points = points.round(0) if k % 2 else points
+        rows.append((f"star{k}", "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*points, points[0]]) + "))"))
+    rows += [rows[2], (None, rows[3][1])]
+    xs, ys = ring_from_wkt("w")
+    shapes = spark.createDataFrame(rows, "region_id string, w string").select("region_id", xs.alias("xs"), ys.alias("ys"))
+    return with_bbox(shapes.unionByName(spark.createDataFrame([("none", None, None), ("empty", [], [])], shapes.schema)))
+
+
+@pytest.mark.parametrize("cell", [0.1, 0.5, 1.0, 2.3, 50.0])
+def test_cells_of_any_size_give_the_rows_of_the_whole_ring(spark, odd_shapes, cell):
+    rng = np.random.default_rng(2)
+    at = np.vstack([rng.uniform(-1, 9, (2000, 2)), rng.integers(-2, 20, (1000, 2)) / 2])  # half of the second lot on corners and borders
+    pixels = spark.createDataFrame(pd.DataFrame({"x": at[:, 0], "y": at[:, 1], "value": np.arange(len(at), dtype=float)}))
+    whole = pixels.crossJoin(odd_shapes.withColumn("_e", ring_edges("xs", "ys"))).where(inside_edges("x", "y", "_e"))
+    rows = lambda df: sorted((r.value, str(r.region_id)) for r in df.collect())
+    assert rows(G.pixel_in_polygon(pixels, odd_shapes, cell)) == rows(whole)
+
+
+def test_cells_inside_hold_no_edges(spark):
+    n = 4000
+    angle = np.append(np.arange(n) / n * 2 * np.pi, 0.0)
+    disc = spark.createDataFrame([("d", (100 * np.cos(angle)).tolist(), (100 * np.sin(angle)).tolist())], "region_id string, xs array<double>, ys array<double>")
+    cover = cell_cover(disc, 5.0).toPandas()
+    inside = cover._edges.isnull()
+    assert not cover.duplicated(["_cx", "_cy"]).any()
+    assert abs(inside.sum() * 25 - np.pi * 100**2) < 2 * np.pi * 100 * 10  # all but a rim two cells wide
+    assert cover[~inside]._edges.map(len).max() < 80 and (cover._ends.map(len) <= 1).all()
+
+
+def squares(*cells):
+    return [([float(v) for v in (i, i + 1, i + 1, i, i)], [float(v) for v in (j, j, j + 1, j + 1, j)]) for i, j in cells]
+
+
+def test_outlines_close_to_rings(spark):
+    rows = [("hole", *s) for s in squares(*[(i, j) for i in range(3) for j in range(3) if (i, j) != (1, 1)])]
+    rows += [("corner", *squares((0, 0))[0]), ("corner", *[v[::-1] for v in squares((1, 1))[0]])]  # one member runs clockwise
+    rows += [("row", *s) for s in squares(*[(i, 0) for i in range(40)])]
+    rows += [(None, *squares((5, 5))[0]), ("none", None, None), ("empty", [], [])]
+    members = spark.createDataFrame(rows, "parent string, xs array<double>, ys array<double>")
+    rings = O.outline_rings(members, "parent").collect()
+    assert sorted((str(r.parent), r.n_edges, r.area) for r in rings) == [
+        ("None", 4, 1.0), ("corner", 4, 1.0), ("corner", 4, 1.0), ("hole", 4, -1.0), ("hole", 12, 9.0), ("row", 82, 40.0)]
+    for r in rings:
+        corners = list(zip(r.xs, r.ys))
+        assert corners[0] == corners[-1] == min(corners) and len(set(corners)) == r.n_edges
+        assert all(abs(x0 - x1) + abs(y0 - y1) == 1 for (x0, y0), (x1, y1) in zip(corners, corners[1:]))
+    assert O.outline_rings(members.limit(0), "parent").count() == 0
+
+
+def test_dissolved_regions_feed_the_other_operators(spark):
+    members = spark.createDataFrame([("ring", *s) for s in squares(*[(i, j) for i in range(3) for j in range(3) if (i, j) != (1, 1)])],
+                                    "parent string, xs array<double>, ys array<double>")
+    whole = O.dissolve(members, "parent")
+    parcels = with_bbox(spark.createDataFrame([(k, *s) for k, s in enumerate([
+        ([1.2, 1.8, 1.8, 1.2], [1.2, 1.2, 1.8, 1.2]), ([0.2, 0.8, 0.8, 0.2], [0.2, 0.2, 0.8, 0.2]), ([1.5, 2.5, 2.5, 1.5], [1.2, 1.2, 1.8, 1.2])])],
+        "field_id int, xs array<double>, ys array<double>"))
+    assert sorted(r.field_id for r in G.region_overlay(parcels, whole, 1.0, region_id="parent").collect()) == [1, 2]
+    pixels = spark.createDataFrame([(0.5, 0.5), (1.5, 1.5), (2.5, 1.5), (3.5, 1.5)], "x double, y double")
+    assert sorted((r.x, r.y) for r in G.pixel_in_polygon(pixels, whole, 0.7, "parent").collect()) == [(0.5, 0.5), (2.5, 1.5)]
