@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +37,16 @@ SIGNED = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]+(?:(?:\\+[nrt]|[\r\n])+[A-Za-z0-9+/_-]+)*={0,2}")
 BEGINS = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi)")
 HEX_BEGINS = re.compile(r"(?=30|6f70656e7373682d6b65792d7631|2d2d2d2d2d424547494e)", re.I)
+PADDING = re.compile(r"={0,2}")
+TOKEN_RUN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?=\.)")
+# what a PEM block holds up to its END line, and what may become its head
+PEM_OPEN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:[A-Za-z0-9+/=\s]|\\+[nrt])*")
+PEM_HEAD = re.compile(r"-----BEGIN [A-Z0-9 ]*-{0,5}")
+SSH_MAGIC = b"openssh-key-v1\0"
 LEAST = 40  # characters of a base64 key, at least
 
+Reader = Callable[[int, int], bytes]  # bytes from one offset to another, of data decoded on demand
+
 SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
           "n_confirmed long")
 
@@ -53,71 +62,82 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of consecutive DER items that fill ``data`` exactly, else None."""
-    items, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+def der_item(read: Reader, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, start of content, end) of the DER item at ``at``; None if it does not end by ``end``."""
+    head = read(at, min(at + 6, end))
+    if len(head) < 2:
+        return None
+    length, start = head[1], at + 2
+    if length & 0x80:
+        n = length & 0x7F
+        if not 1 <= n <= 4 or len(head) < 2 + n:
             return None
-        tag, length = data[at], data[at + 1]
-        at += 2
-        if length & 0x80:
-            n = length & 0x7F
-            if not 1 <= n <= 4 or at + n > len(data):
-                return None
-            length = int.from_bytes(data[at:at + n], "big")
-            at += n
-        if at + length > len(data):
+        length, start = int.from_bytes(head[2:2 + n], "big"), start + n
+    return (head[0], start, start + length) if start + length <= end else None
+
+
+def der_items(read: Reader, at: int, end: int, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """Consecutive DER items that fill the place from ``at`` to ``end`` exactly, else None. More
+    items than ``most`` are not looked for and count as None."""
+    items = []
+    while at < end:
+        item = der_item(read, at, end)
+        if item is None or len(items) == most:
             return None
-        items.append((tag, data[at:at + length]))
-        at += length
+        items.append(item)
+        at = item[2]
     return items
 
 
-def is_der_key(data: bytes) -> bool:
-    """RSA or DSA integers, an EC private key, or a PKCS#8 wrapper with one of them inside."""
-    outer = der_items(data)
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
-        return False
-    inner = der_items(outer[0][1])
-    if not inner or len(inner) < 3 or inner[0][0] != 0x02 or len(inner[0][1]) != 1:
+def is_der_key(read: Reader, size: int) -> bool:
+    """RSA or DSA integers, an EC private key, or a PKCS#8 wrapper with one of them inside. Heads
+    are read where they are, so that what a head claims to hold costs nothing by itself."""
+    outer = der_item(read, 0, size)
+    if outer is None or outer[0] != 0x30 or outer[2] != size:
         return False
-    tags = [tag for tag, _ in inner]
-    if len(tags) in (6, 9) and set(tags) == {0x02}:
-        return True
-    if tags[1] == 0x04 and inner[0][1] == b"\x01" and 16 <= len(inner[1][1]) <= 80:
-        return True
-    if tags[1] == 0x30 and tags[2] == 0x04:
-        algorithm = der_items(inner[1][1])
-        return bool(algorithm) and algorithm[0][0] == 0x06 and der_items(inner[2][1]) is not None
-    return False
-
-
-def is_ssh_key(data: bytes) -> bool:
-    """OpenSSH private key: the magic text, then cipher, derivation and options as
-    length-prefixed strings, a key count, and the public key."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    first = der_item(read, outer[1], size)
+    if first is None or first[0] != 0x02 or first[2] - first[1] != 1:
         return False
-    at = len(magic)
-    for _ in range(3):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at:at + 4], "big")
-    if at + 8 > len(data) or not 1 <= int.from_bytes(data[at:at + 4], "big") <= 16:
+    second = der_item(read, first[2], size)
+    third = der_item(read, second[2], size) if second else None
+    if third is None:
         return False
-    return at + 8 + int.from_bytes(data[at + 4:at + 8], "big") <= len(data)
-
-
-def ssh_length(data: bytes) -> int:
-    """Bytes of the OpenSSH key that ``data`` is known to begin with: to the end of its private part."""
-    at = len(b"openssh-key-v1\0")
+    if second[0] == 0x02:
+        items = der_items(read, outer[1], size, 9)
+        return items is not None and len(items) in (6, 9) and {tag for tag, _, _ in items} == {0x02}
+    if second[0] == 0x04:
+        fits = read(first[1], first[2]) == b"\x01" and 16 <= second[2] - second[1] <= 80
+    elif second[0] == 0x30 and third[0] == 0x04:
+        algorithm = der_item(read, second[1], second[2])
+        fits = (algorithm is not None and algorithm[0] == 0x06 and der_items(read, second[1], second[2]) is not None
+                and der_items(read, third[1], third[2]) is not None)
+    else:
+        fits = False
+    return fits and der_items(read, outer[1], size) is not None
+
+
+def ssh_length(read: Reader, size: int) -> int:
+    """Bytes of the OpenSSH private key that the data begin with, to the end of its private part,
+    or 0: the magic text, then cipher, derivation and options as length-prefixed strings, a key
+    count, and the public keys."""
+    number = lambda at: int.from_bytes(read(at, at + 4), "big")
+    at = len(SSH_MAGIC)
+    if read(0, at) != SSH_MAGIC:
+        return 0
     for _ in range(3):
-        at += 4 + int.from_bytes(data[at:at + 4], "big")
-    count, at = int.from_bytes(data[at:at + 4], "big"), at + 4
+        if at + 4 > size:
+            return 0
+        at += 4 + number(at)
+    if at + 8 > size or not 1 <= (count := number(at)) <= 16:
+        return 0
+    at += 4
+    if at + 4 + number(at) > size:
+        return 0
     for _ in range(count + 1):
-        at += 4 + int.from_bytes(data[at:at + 4], "big")
-    return min(at, len(data))
+        if at >= size:
+            return size
+        at += 4 + number(at)
+    return min(at, size)
 
 
 def der_length(head: bytes | None) -> int:
@@ -130,51 +150,84 @@ def der_length(head: bytes | None) -> int:
     return 2 + n + (int.from_bytes(head[2:2 + n], "big") if n else head[1])
 
 
+def pem_length(read: Reader, size: int) -> int:
+    """Bytes of the PEM key that the data begin with, or 0. Data are read up to the line that ends
+    the body, which another head ends as well: heads do not read each other's text again."""
+    n = 256
+    while True:
+        n = min(n, size)
+        text = read(0, n).decode("latin-1")
+        m = PEM_OPEN.match(text)
+        if m:
+            unfinished = len(text[m.end():].lstrip("\\")) < len(m[1]) + len("-----END -----")
+        else:
+            unfinished = bool(PEM_HEAD.fullmatch(text))
+        if not unfinished or n == size:
+            m = PEM.match(text)
+            return m.end() if m and is_pem_body(m[2]) else 0
+        n *= 2
+
+
 def is_pem_body(body: str) -> bool:
     data = unbase64(BREAK.sub("", body))
-    return bool(data) and (is_der_key(data) or is_ssh_key(data))
+    if not data:
+        return False
+    read = lambda a, b: data[a:b]
+    return is_der_key(read, len(data)) or ssh_length(read, len(data)) > 0
 
 
-def key_at(data: bytes | None) -> tuple[str, int] | None:
-    """Kind and bytes of the key that ``data`` begins with."""
-    if not data:
-        return None
-    if data[0] == 0x30:
-        size = der_length(data)
-        return ("der_key", size) if 0 < size <= len(data) and is_der_key(data[:size]) else None
-    if is_ssh_key(data):
-        return "ssh_key", ssh_length(data)
-    m = PEM.match(data.decode("latin-1"))
-    return ("pem_key", m.end()) if m and is_pem_body(m[2]) else None
+def key_at(read: Reader, size: int) -> tuple[str, int] | None:
+    """Kind and bytes of the key that the data begin with."""
+    head = read(0, min(8, size))
+    if head[:1] == b"\x30":
+        n = der_length(head)
+        return ("der_key", n) if 0 < n <= size and is_der_key(read, n) else None
+    kind, n = ("pem_key", pem_length(read, size)) if head[:1] == b"-" else ("ssh_key", ssh_length(read, size))
+    return (kind, n) if n else None
 
 
 def base64_keys(text: str) -> list[tuple[int, int, str]]:
-    """Keys in base64, from every place where one can begin. The head of a DER key tells how much to read."""
-    found, after = [], 0
+    """Keys in base64, from every place where one can begin. A run of digits is cleared of line ends
+    once; a key is decoded only where its heads and lengths are."""
+    found, after, end = [], 0, -1
     for m in BEGINS.finditer(text):
         start = m.start()
         if start < after:
             continue
-        limit = len(text)
-        if text[start] == "M":
-            need = -(-der_length(unbase64(BREAK.sub("", text[start:start + 36])[:12])) * 4 // 3)
-            if not LEAST <= need <= limit - start:
-                continue
-            limit = min(limit, start + 4 * need)
-        run = BASE64.match(text, start, limit)[0]
-        body = BREAK.sub("", run).rstrip("=")
-        if text[start] == "M":
-            body = body[:need]
-        data = unbase64(body[:-1] if len(body) % 4 == 1 else body)
-        key = key_at(data)
-        if key is None or len(body) < LEAST:
+        if start >= end:  # another run
+            run = BASE64.match(text, start)
+            first, end = start, run.end()
+            pieces, gaps, clean = [], [], 0  # a gap: digits before it, characters of line ends so far
+            at, lost = start, 0
+            for gap in BREAK.finditer(text, start, end):
+                pieces.append(text[at:gap.start()])
+                clean += gap.start() - at
+                lost += gap.end() - gap.start()
+                gaps.append((clean, lost))
+                at = gap.end()
+            body = ("".join([*pieces, text[at:end]])).rstrip("=").replace("-", "+").replace("_", "/")
+            edges, losses = [g[0] for g in gaps], [0, *(g[1] for g in gaps)]
+            starts = [g[0] + g[1] for g in gaps]  # where the digits after a gap begin, from ``first``
+        # digits before ``start``: its distance less the line ends between
+        here = start - first - losses[bisect.bisect_right(starts, start - first)]
+        left = len(body) - here
+        size = left * 3 // 4 if left % 4 != 1 else (left - 1) * 3 // 4
+
+        def read(a: int, b: int) -> bytes:
+            b = min(b, size)
+            if a >= b:
+                return b""
+            low, high = a // 3 * 4, min(-(-b // 3) * 4, left - (left % 4 == 1))
+            part = body[here + low:here + high]
+            return binascii.a2b_base64(part + "=" * (-len(part) % 4))[a % 3:a % 3 + b - a]
+
+        key = key_at(read, size) if left >= LEAST else None
+        need = -(-key[1] * 4 // 3) if key else 0
+        if need < LEAST:
             continue
-        left, at = -(-key[1] * 4 // 3), 0  # characters of the key, without line ends
-        while left:
-            gap = BREAK.match(run, at)
-            at, left = (gap.end(), left) if gap else (at + 1, left - 1)
-        at += len(run) - len(run.rstrip("=")) if not run[at:].strip("=") else 0
-        after = start + at
+        last = here + need
+        after = first + last + losses[bisect.bisect_left(edges, last)]
+        after += len(PADDING.match(text, after)[0]) if last == len(body) else 0
         found.append((start, after, key[0]))
     return found
 
@@ -183,23 +236,33 @@ def hex_keys(text: str) -> list[tuple[int, int, str]]:
     """Keys in hex digits of either case, from every place where one can begin."""
     found = []
     for run in MIXED_HEX.finditer(text):
-        after = 0
-        for m in HEX_BEGINS.finditer(run[0]):
+        digits, after = run[0], 0
+        for m in HEX_BEGINS.finditer(digits):
             at = m.start()
-            if at < after:
+            size = (len(digits) - at) // 2
+            if at < after or size < 32:
                 continue
-            size = (len(run[0]) - at) // 2
-            if run[0].startswith("30", at):
-                size = der_length(bytes.fromhex(run[0][at:at + 16])) if len(run[0]) - at >= 16 else 0
-                if not 32 <= size <= (len(run[0]) - at) // 2:
-                    continue
-            key = key_at(bytes.fromhex(run[0][at:at + 2 * size]))
-            if key:
+            key = key_at(lambda a, b: bytes.fromhex(digits[at + 2 * a:at + 2 * min(b, size)]), size)
+            if key and (key[0] != "der_key" or key[1] >= 32):
                 after = at + 2 * key[1]
                 found.append((run.start() + at, run.start() + after, key[0]))
     return found
 
 
+def signed_tokens(text: str) -> Iterator[tuple[int, int, str]]:
+    """Signed tokens. What follows a run of token characters is the same for every place in it
+    where a header can begin, so only the first is tried."""
+    after = 0
+    for run in TOKEN_RUN.finditer(text):
+        if run.start() < after:
+            continue
+        m = SIGNED.match(text, run.start() + run[0].find("eyJ")) if "eyJ" in run[0] else None
+        if m:
+            after = m.end()
+            if is_signed_token(m[1], m[2]):
+                yield m.start(), m.end(), "signed_token"
+
+
 def is_signed_token(header: str, payload: str) -> bool:
     decoded = unbase64(header)
     if decoded is None or unbase64(payload) is None:
@@ -222,13 +285,17 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     inside: list[tuple[int, int]] = []
     if "eyJ" in text:
-        found += [(m.start(), m.end(), "signed_token") for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
+        found += signed_tokens(text)
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
             if is_pem_body(m[2]):
                 found.append((m.start(), m.end(), "pem_key"))
                 inside.append(m.span())
-    found += [key for key in [*base64_keys(text), *hex_keys(text)] if not any(a <= key[0] < b for a, b in inside)]
+    starts = [a for a, _ in inside]  # blocks do not overlap
+    for key in [*base64_keys(text), *hex_keys(text)]:
+        block = bisect.bisect_right(starts, key[0]) - 1
+        if block < 0 or key[0] >= inside[block][1]:
+            found.append(key)
     order = {kind: k for k, kind in enumerate(KINDS)}
     return sorted(set(found), key=lambda s: (s[0], order[s[2]], s[1]))
 

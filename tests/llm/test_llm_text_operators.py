@@ -1,6 +1,7 @@
 """Quality, toxicity, language and secret operators on small hand-made tables."""
 
 import base64
+import time
 import collections
 import hashlib
 import json
@@ -324,3 +325,22 @@ def test_keys_behind_other_characters_and_in_other_encodings(text, kind):
 def test_long_runs_without_keys_are_quick():
     text = "MIIEMA" * 100_000 + "LS0tLS1CRUdJTi" + "A" * 1000
     assert not [s for s in secret_scan.find_spans(text) if s[2] not in secret_scan.BASE]
+
+
+@pytest.mark.parametrize("text", [
+    "eyJ" * 300_000, "b3BlbnNzaC1rZXktdjE" * 50_000, "LS0tLS1CRUdJTi" * 70_000, "30" * 500_000, "2d2d2d2d2d424547494e" * 50_000,
+    base64.b64encode(b"-----BEGIN PRIVATE KEY-----A").decode().rstrip("=") * 20_000,
+    base64.b64encode(b"openssh-key-v1\0\0\0\0\x04none\0\0\0\0\0\0\0\0").decode() * 20_000, "MIP///8CAQ" * 100_000], ids=lambda t: t[:12])
+def test_a_megabyte_of_heads_takes_seconds(text):
+    start = time.monotonic()
+    assert not [s for s in secret_scan.find_spans(text) if s[2] not in secret_scan.BASE]
+    assert time.monotonic() - start < 20
+
+
+def test_a_key_behind_many_heads_is_found_at_its_place():
+    key = base64.b64encode(RSA).decode().rstrip("=")
+    broken = "\\n".join(key[i:i + 64] for i in range(0, len(key), 64))
+    for heads in ("MIIEMA" * 50, "LS0tLS1CRUdJTi" * 50, "b3BlbnNzaC1rZXktdjE" * 50):
+        for body in (key, broken):
+            text = f"{heads} {heads}{body}"
+            assert (len(text) - len(body), len(text), "der_key") in secret_scan.find_spans(text)
