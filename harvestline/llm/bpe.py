@@ -77,11 +77,14 @@ def questions(words: list[bytes], buckets: int) -> list[np.ndarray]:
 
 def encode_words(rows: DataFrame, path: str | None) -> DataFrame:
     """Answers (chunk, bucket, ids) to questions (bucket, chunk, words): every distinct word of a
-    bucket is encoded once. An answer holds the number of ids of each word, then all ids."""
+    bucket is encoded once. An answer holds the number of ids of each word, then all ids. Buckets
+    come one after the other, so a task remembers the words of one only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = tokenizer(path), {}
+        encoder, known, current = tokenizer(path), {}, None
         for batch in batches:
             for bucket, chunk, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != current:
+                    known, current = {}, bucket
                 words = unpack(blob).decode().split("\n")
                 new = [w for w in words if w not in known]
                 for at in range(0, len(new), 10_000):
@@ -93,14 +96,14 @@ def encode_words(rows: DataFrame, path: str | None) -> DataFrame:
                     [pa.array([chunk], pa.int32()), pa.array([bucket], pa.int32()), pa.array([pack(counts.tobytes() + np.concatenate(ids).astype("<u4").tobytes())])],
                     names=["chunk", "bucket", "ids"])
 
-    return rows.repartition("bucket").mapInArrow(run, "chunk int, bucket int, ids binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk int, bucket int, ids binary")
 
 
 def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_tokens, the SHA-256 of the ids and of the text
     decoded from them, and (``with_ids``) the ids. A null or empty text has no ids and decodes to
     the empty text; a null doc_id stays null; repeated rows are encoded each."""
-    chunks = chunked(docs, chunk_bytes)
+    chunks = chunked(docs, chunk_bytes, by_text=True)
     buckets = 8 * int(np.ceil(np.sqrt(chunks.chunks)))
 
     def ask(group: pa.Table) -> pa.Table:

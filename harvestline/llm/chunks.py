@@ -37,8 +37,9 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Chunked:
-    """``docs`` (doc_id, text) in chunks; null texts are empty ones."""
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, by_text: bool = False) -> Chunked:
+    """``docs`` (doc_id, text) in chunks; null texts are empty ones. A document's rows share a chunk,
+    or (``by_text``) only those of equal text, so that an id with many rows is spread."""
     docs = prepared(docs, "doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
@@ -54,7 +55,8 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Chunked:
                     [batch.column(2).slice(i, j - i), batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(blobs, pa.binary())],
                     names=["chunk", "doc_id", "packed"])
 
-    chunk = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(chunks)).cast("int")
+    content = F.col("text") if by_text else F.when(F.col("doc_id").isNull(), F.col("text"))
+    chunk = F.pmod(F.xxhash64("doc_id", content), F.lit(chunks)).cast("int")
     rows = docs.withColumn("chunk", chunk).mapInArrow(run, "chunk int, doc_id long, packed binary")
     return Chunked(rows.repartition(chunks, "chunk"), chunks, total)
 

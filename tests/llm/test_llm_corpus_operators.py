@@ -13,6 +13,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
+from harvestline.llm.chunks import chunked
 from harvestline.llm import archives, bpe, mixing, near_dups, substrings, toxicity, vector_search
 from harvestline.llm.graph import components
 from harvestline.llm.queries import ORACLES, QUERIES
@@ -294,6 +295,16 @@ def test_encoding_equals_the_library(spark, chunk_bytes):
     assert bpe.encode(frame(spark, [])).count() == 0
 
 
+def test_an_id_with_many_rows_is_spread_over_chunks(spark):
+    rows = [(7, f"text number {i} of one id") for i in range(300)]
+    docs = frame(spark, rows)
+    chunks = chunked(docs, 200, by_text=True)
+    assert chunks.chunks > 20 and chunks.rows.groupBy("chunk").count().agg({"count": "max"}).first()[0] < 40
+    assert chunked(docs, 200).rows.select("chunk").distinct().count() == 1
+    got = bpe.encode(docs, with_ids=False, chunk_bytes=200).toPandas()
+    assert sorted(got.ids_sha256) == sorted(brute_tokens(t)[1] for _, t in rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_no_token_crosses_ascii_white_space(text):
