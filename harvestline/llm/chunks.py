@@ -83,4 +83,4 @@ def id_array(ids: np.ndarray, null: np.ndarray) -> pa.Array:
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Places start[0] .. start[0] + length[0] - 1, then those of the next span, and so on."""
     total = int(length.sum())
-    return np.arange(total) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
+    return np.arange(total) + np.repeat(start - np.cumsum(length) + length, length)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harvestline.llm import vectext as vt
 from harvestline.llm.chunks import ragged
@@ -30,7 +30,9 @@ UNTIED = 0.001           # weight of a term that says nothing about the label; o
 HEADS = 256              # most frequent terms by which like examples are put together
 NEIGHBOURS, POWER = 25, 1.0
 BLOCK = 64               # examples in a block of the index
-FIRST = 8                # blocks scored first; each further group is twice as large
+DENSE, SHARE = 384, 12   # terms whose postings are kept as a matrix, at most; each is in more than a SHARE-th of the examples
+TEXTS = 128              # texts multiplied with that matrix at once
+FIRST = 8                # blocks scored first; each further group is eight times as large
 SLICE = 1 << 14          # terms whose document frequencies are added up together
 FOLD, HELD_OUT = 5, 0    # crc32 of the id modulo FOLD is HELD_OUT: never learned from
 # token bytes: ASCII letters and digits, and every byte beyond ASCII
@@ -65,55 +67,105 @@ def term_counts(raw: np.ndarray, off: np.ndarray, vocabulary: np.ndarray | None
 
 
 class BlockMaxIndex:
-    """Inverted index of sparse unit vectors (rows, terms, weights), in blocks of rows."""
+    """Inverted index of sparse unit vectors (rows, terms, weights), in blocks of rows. Postings of
+    the most frequent terms stand in a matrix, so that many texts are multiplied with it at once."""
 
     def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, n_terms: int):
-        order = np.lexsort((row, term))
-        self.row, self.weight = row[order], weight[order]
         self.block_count = max(1, -(-n_rows // BLOCK))
+        seen = np.bincount(term, minlength=n_terms)
+        heads = np.argsort(-seen, kind="stable")[:DENSE]
+        heads = heads[seen[heads] * SHARE > n_rows]
+        self.heads = len(heads)
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[heads] = np.arange(len(heads))
+        head = self.place[term] >= 0
+        self.head = self.place[term[head]], row[head].astype(np.int32), weight[head]
+        self.matrix = None  # filled where it is needed, not shipped
+        row, term, weight = row[~head], term[~head], weight[~head]
+        order = np.lexsort((row, term))
+        self.row, self.weight = row[order].astype(np.int64), weight[order]
         # one entry for each term and block that has postings: first posting and largest weight
-        key = term[order] * self.block_count + self.row // BLOCK
+        key = term[order].astype(np.int64) * self.block_count + self.row // BLOCK
         self.first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.entry_block = key[self.first] % self.block_count if len(key) else np.zeros(0, np.int64)
+        self.entry_block = key[self.first] % self.block_count if len(key) else self.first
         self.entry_max = np.maximum.reduceat(self.weight, self.first) if len(key) else np.zeros(0)
         self.term_entry = np.searchsorted(key[self.first] // self.block_count if len(key) else self.first, np.arange(n_terms + 1))
-        self.end = np.append(self.first, len(self.row))
-        self.size = np.diff(self.end)
-        self.scored = self.held = 0  # postings that searches have scored, and that their terms have
+        self.first = np.append(self.first, len(self.row))
+        self.scored = self.held = 0  # postings outside the matrix that searches have scored, and that their terms have
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "matrix": None}
+
+    def head_scores(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """What the most frequent terms add to the cosine of each of n texts with each row."""
+        if self.matrix is None:
+            place, row, value = self.head
+            self.matrix = np.zeros((self.heads, self.block_count * BLOCK))
+            self.matrix[place, row] = value
+        place = self.place[term]
+        mine, texts = place >= 0, np.zeros((n, len(self.matrix)))
+        texts[text[mine], place[mine]] = weight[mine]
+        return texts @ self.matrix
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines (nine digits) of the k best with a positive cosine. Blocks are scored
         by falling bound, a growing group at a time, until no bound exceeds the k-th best; of rows
         that tie at the k-th place those of blocks scored earlier stay, then smaller rows."""
-        entry = ragged(self.term_entry[term], self.term_entry[term + 1] - self.term_entry[term])
-        if not len(entry):
-            return np.zeros(0, np.int64), np.zeros(0)
-        share, block = np.repeat(weight, self.term_entry[term + 1] - self.term_entry[term]), self.entry_block[entry]
-        bound = np.round(np.bincount(block, self.entry_max[entry] * share, minlength=self.block_count) + 1e-12, 9)
+        return next(self.nearest_each(np.zeros(len(term), np.int64), term, weight, 1, k))
+
+    def nearest_each(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for each of n texts, whose terms are given in their order."""
+        tail = self.place[term] < 0
+        span, tail_span = np.searchsorted(text, np.arange(n + 1)), np.searchsorted(text[tail], np.arange(n + 1))
+        tail_term, tail_weight = term[tail], weight[tail]
+        for at in range(0, n, TEXTS):
+            end = min(at + TEXTS, n)
+            mine = slice(span[at], span[end])
+            heads = self.head_scores(text[mine] - at, term[mine], weight[mine], end - at)
+            bounds = heads.reshape(len(heads), -1, BLOCK).max(2)
+            for i, j, head, bound in zip(tail_span[at:end], tail_span[at + 1:end + 1], heads, bounds):
+                yield self._search(head, bound, tail_term[i:j], tail_weight[i:j], k)
+
+    def _search(self, head: np.ndarray, bound: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest``, given the scores by the matrix, their largest in each block, and the other terms."""
+        start = self.term_entry[term]
+        n = self.term_entry[term + 1] - start
+        entry, share = ragged(start, n), np.repeat(weight, n)
+        block = self.entry_block[entry]
+        bound = np.round(bound + np.bincount(block, self.entry_max[entry] * share, minlength=self.block_count) + 1e-12, 9)
         by_bound = np.argsort(-bound, kind="stable")
         by_bound = by_bound[:int((bound > 0).sum())]
-        first, size = self.first[entry], self.size[entry]
         best_row, best = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, FIRST
         while at < len(by_bound):
-            if len(best) == k and bound[by_bound[at]] <= best[-1]:
-                break
+            if len(best) == k:
+                by_bound = by_bound[:max(at, int(np.searchsorted(-bound[by_bound], -best[-1])))]
+                if at >= len(by_bound):
+                    break
             chosen = np.zeros(self.block_count, bool)
             chosen[by_bound[at:at + step]] = True
-            mine = np.flatnonzero(chosen[block])
-            n = size[mine]
-            post = ragged(first[mine], n)
+            if 2 * len(by_bound[at:at + step]) > self.block_count:  # runs of whole terms are read faster
+                first = self.first[start]
+                n = self.first[self.term_entry[term + 1]] - first
+                post, of = ragged(first, n), weight
+            else:
+                mine = np.flatnonzero(chosen[block])
+                first = self.first[entry[mine]]
+                n = self.first[entry[mine] + 1] - first
+                post, of = ragged(first, n), share[mine]
             self.scored += len(post)
-            score = np.round(np.bincount(self.row[post], self.weight[post] * np.repeat(share[mine], n)), 9)
+            score = head + np.bincount(self.row[post], self.weight[post] * np.repeat(of, n), minlength=len(head))
+            score = np.round(score.reshape(-1, BLOCK)[chosen].ravel(), 9)
             hit = np.flatnonzero(score > (best[-1] if len(best) == k else 0.0))
-            row, cosine = np.concatenate([best_row, hit]), np.concatenate([best, score[hit]])
+            found = np.flatnonzero(chosen)[hit // BLOCK] * BLOCK + hit % BLOCK
+            row, cosine = np.concatenate([best_row, found]), np.concatenate([best, score[hit]])
             if len(row) > 8 * k:  # all that tie with the k-th best stay for the sort
                 near = np.flatnonzero(cosine >= np.partition(cosine, -k)[-k])
                 row, cosine = row[near], cosine[near]
             order = np.argsort(-cosine, kind="stable")[:k]
             best_row, best = row[order], cosine[order]
-            at, step = at + step, step * 2
-        self.held += int(size.sum())
+            at, step = at + step, step * 8
+        self.held += int((self.first[self.term_entry[term + 1]] - self.first[start]).sum())
         return best_row, best
 
 
@@ -193,6 +245,41 @@ def vote(row: np.ndarray, cosine: np.ndarray, y: np.ndarray) -> float:
     return float((w * y[row]).sum() / w.sum()) if len(row) else -1.0
 
 
+def cross_votes(spark: SparkSession, row: np.ndarray, term: np.ndarray, count: np.ndarray, y: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The vote on each example by the examples of the other parts; a task for each part."""
+    shared = spark.sparkContext.broadcast((row, term, count, y, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, term, count, y, idf = shared.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                other = np.arange(len(y)) % PARTS != k
+                mine, asked = other[row], int((~other).sum())
+                weights, index = indexed(np.cumsum(other)[row[mine]] - 1, term[mine], count[mine], y[other], idf)
+                known = ~mine & (weights[term] > 0)
+                left, t = np.cumsum(~other)[row[known]] - 1, term[known]
+                found = index.nearest_each(left, t, vectors(left, t, count[known], weights, asked), asked, NEIGHBOURS)
+                votes = np.array([vote(near, cosine, y[other]) for near, cosine in found], "<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([votes.tobytes()], pa.binary())], names=["part", "votes"])
+
+    votes = np.zeros(len(y))
+    for r in spark.range(0, PARTS, 1, PARTS).mapInArrow(run, "part long, votes binary").collect():
+        votes[r["part"]::PARTS] = np.frombuffer(r["votes"], "<f8")
+    shared.destroy()
+    return votes
+
+
+def calibration(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept for votes. Where the examples that got one share a label, they say nothing
+    about votes for the other; then all votes for a label and one example of each kind set its rate."""
+    pos = int((y > 0).sum())
+    neg = len(y) - pos
+    if pos and neg:
+        return fit_platt(votes, y)
+    low, high = np.log(1 / (neg + 2)), np.log(pos + 2)
+    return float(high - low), float(low)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
     """Index of the examples and calibration; None if no labelled text may be learned from."""
     may_learn = labels.where(remainder("doc_id", FOLD) != HELD_OUT)
@@ -216,25 +303,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
     ids, y = found["doc_id"].to_numpy(), (found["y"] == "1").to_numpy().astype(float)
     term = [np.frombuffer(t, "<u8") for t in found["term"]]
     count = [np.frombuffer(t, "<u4") for t in found["n"]]
-    row = np.repeat(np.arange(len(found)), [len(t) for t in term])
+    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(t) for t in term])
     term, count = np.concatenate(term), np.concatenate(count)
     del found
     vocabulary, at = np.unique(term, return_inverse=True)
+    at = at.astype(np.int32)
+    del term
     df, n_docs = document_frequency(docs, vocabulary)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    votes, part = np.zeros(len(y)), np.arange(len(y)) % PARTS
-    for k in range(PARTS):
-        other = part != k
-        mine = other[row]
-        weights, index = indexed(np.cumsum(other)[row[mine]] - 1, at[mine], count[mine], y[other], idf)
-        known = ~mine & (weights[at] > 0)
-        left, t = np.cumsum(~other)[row[known]] - 1, at[known]
-        weight = vectors(left, t, count[known], weights, int((~other).sum()))
-        span = np.searchsorted(left, np.arange(int((~other).sum()) + 1))
-        votes[~other] = [vote(*index.nearest(t[i:j], weight[i:j], NEIGHBOURS), y[other]) for i, j in zip(span, span[1:])]
+    votes = cross_votes(docs.sparkSession, row, at, count, y, idf)
     # a text without neighbours gets the base rate of such rows, drawn to that of all rows
     near = votes >= 0
-    slope, intercept = fit_platt(votes[near], y[near])
+    slope, intercept = calibration(votes[near], y[near])
     lone, base = y[~near], (y.sum() + 1) / (len(y) + 2)
     weights, index = indexed(row, at, count, y, idf)
     order = arranged(row, at, vectors(row, at, count, weights, len(y)), len(y), len(vocabulary))
@@ -259,9 +339,7 @@ def text_scores(m: dict | None, raw: np.ndarray, off: np.ndarray) -> tuple[np.nd
         row, term, count = term_counts(raw, off, m["vocabulary"])
         term = term.astype(np.int64)
         weight = vectors(row, term, count, m["idf"], n)
-        span = np.searchsorted(row, np.arange(n + 1))
-        for k, (i, j) in enumerate(zip(span, span[1:])):
-            near, cosine = m["index"].nearest(term[i:j], weight[i:j], NEIGHBOURS)
+        for k, (near, cosine) in enumerate(m["index"].nearest_each(row, term, weight, n, NEIGHBOURS)):
             share = vote(near, cosine, m["y"])
             if share >= 0:
                 scores[k] = 1 / (1 + np.exp(-np.clip(m["slope"] * share + m["intercept"], -30, 30)))

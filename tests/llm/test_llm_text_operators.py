@@ -230,6 +230,32 @@ def test_toxicity_learns_rare_words_from_few_examples(spark):
     assert got.near_ids.map(set).tolist().count(rare) == 1 and got.score.nunique() == 2
 
 
+def test_calibration_of_one_label_does_not_speak_for_the_other():
+    for y in (np.ones(84), np.zeros(84), np.zeros(0)):
+        slope, intercept = toxicity.calibration(y, y)
+        low, high = (1 / (1 + np.exp(-slope * v - intercept)) for v in (0, 1))
+        assert low < 0.5 < high
+
+
+def test_terms_of_many_examples_stand_in_a_matrix():
+    rng = np.random.default_rng(8)
+    n, vocabulary, k = 500, 60, 9
+    dense = rng.random((n, vocabulary)) * (rng.random((n, vocabulary)) < np.linspace(0.5, 0.01, vocabulary))
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    row, term = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(row, term, dense[row, term], n, vocabulary)
+    assert 0 < index.heads < vocabulary
+    queries = rng.random((300, vocabulary)) * (rng.random((300, vocabulary)) < 0.1)  # more than one group of texts, some empty
+    queries[::50] = 0
+    text, t = np.nonzero(queries)
+    found = list(index.nearest_each(text, t, queries[text, t], len(queries), k))
+    assert len(found) == len(queries)
+    for query, (got_row, got) in zip(queries, found):
+        full = np.round(dense @ query, 9)
+        want = np.sort(full[full > 0])[::-1][:k]
+        assert np.allclose(got, want, atol=2e-9) and np.allclose(full[got_row], got, atol=2e-9)
+
+
 def test_arranged_examples_let_blocks_be_skipped(monkeypatch):
     monkeypatch.setattr(toxicity, "FIRST", 4)  # 30 blocks only
     rng = np.random.default_rng(6)
