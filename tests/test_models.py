@@ -111,6 +111,27 @@ def test_shards_come_near_a_single_one(monkeypatch, panel):
         assert np.allclose(a[name].history[:4], b[name].history, atol=1e-6)
 
 
+def test_networks_that_step_together_equal_single_ones(monkeypatch, panel):
+    """A whole table, with steps of several networks at once; and each network has a task of its own."""
+    _, df = panel
+    jobs = [mlp.Job(str(c), range(k), F.col("c_year") < 2015, F.col("c_year") == c, hidden=(12, 6), epochs=6, rate=0.01, dropout=d)
+            for c in (2015, 2016, 2017) for k, d in ((4, 0.0), (3, 0.0), (4, 0.2))]
+    for i, j in enumerate(jobs):
+        j.name, j.seed = f"{j.name}|{i}", i
+    single = mlp.fit_jobs(df, FEATS, "yield", jobs)
+    monkeypatch.setattr(mlp, "PIECE_BYTES", 1)
+    monkeypatch.setattr(mlp, "CELLS", 1)
+    together = mlp.fit_jobs(df, FEATS, "yield", jobs)
+    for name, net in single.items():
+        assert np.allclose(net.history, together[name].history, atol=1e-4)
+        assert all(np.allclose(a, b, atol=1e-4) for (a, _), (b, _) in zip(net.layers, together[name].layers))
+    table = mlp._training_table(df, FEATS, "yield", jobs)
+    monkeypatch.setattr(mlp, "CELLS", 64)
+    cells, groups = mlp._cells(table, 9, 1)
+    held = cells.select("cell", F.spark_partition_id().alias("p")).distinct().collect()
+    assert groups == 9 and len(held) == len({r.p for r in held}) == len({r.cell for r in held})
+
+
 def test_copies_of_a_row_weigh_and_empty_jobs_are_left_out(panel):
     _, df = panel
     job = mlp.Job("j", range(4), F.col("country") == "UA", hidden=(6,), epochs=4, rate=0.01)
