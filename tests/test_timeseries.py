@@ -110,3 +110,14 @@ def test_cumulative_leads(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, c double")
     assert tuple(L.cumulative_leads(df, ["a", "b", "c"]).first()) == (1.0, 3.0, 6.0)
     assert tuple(L.cumulative_leads(df, ["a", "b", "c"], compounding=True).first()) == (1.0, 3.0, 7.0)
+
+
+def test_months_are_gathered_before_they_are_added_up(spark, capsys):
+    rows = [("r", "evi", f"2020-01-{d:02d}", float(d)) for d in range(1, 32)] + [("r", "evi", "2020-02-29", None), (None, "evi", "2020-02-01", 3.0)]
+    daily = spark.createDataFrame(rows, "region_id string, param string, d string, value double").withColumn("obs_date", F.to_date("d"))
+    means = lambda **kw: sorted((str(r.region_id), str(r.label), r.value) for r in S.resample_monthly(daily, **kw).collect())
+    assert means() == means(one_per_day=False) == [("None", "2020-02-29", 3.0), ("r", "2020-01-31", 16.0), ("r", "2020-02-29", None)]
+    capsys.readouterr()
+    S.resample_monthly(daily).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and plan.index("partial_avg") < plan.index("Exchange"), plan
