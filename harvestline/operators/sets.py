@@ -19,7 +19,9 @@ def union_common_columns(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def intersect_years(left: DataFrame, right: DataFrame, year: str = "c_year") -> DataFrame:
-    return left.select(year).intersect(right.select(year))
+    """Years of both sides, null among them. Each side is reduced to its years before they meet: an
+    intersection of the rows would sort all rows of a year in one task."""
+    return left.select(year).distinct().intersect(right.select(year).distinct())
 
 
 def except_rows(all_rows: DataFrame, held_out: DataFrame, key: Sequence[str] | None = None) -> DataFrame:

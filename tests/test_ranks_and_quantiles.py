@@ -123,3 +123,19 @@ def test_an_outlier_leaves_no_crowded_part(spark):
     parts = with_part(crowded, F.col("v")).groupBy("_bucket", "_part").count()
     assert parts.agg(F.max("count")).first()[0] < 200_000 / 1000
     assert abs(exact_quantiles(counts.drop("_g"), "v", {"m": 0.5}).first().m - 300) < 1e-3
+
+
+def plan_of(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_years_are_reduced_before_they_meet(spark, capsys):
+    from harvestline.operators.sets import intersect_years
+
+    years = lambda *v: spark.createDataFrame([(y,) for y in v], "c_year int")
+    out = intersect_years(years(1, 1, 2, None), years(1, 2, 2, 3, None))
+    assert sorted(str(r.c_year) for r in out.collect()) == ["1", "2", "None"]
+    plan = plan_of(out, capsys)
+    assert plan[plan.index("Join"):].count("Aggregate") >= 4, plan  # both sides, before and after their shuffles
