@@ -139,3 +139,25 @@ def test_years_are_reduced_before_they_meet(spark, capsys):
     assert sorted(str(r.c_year) for r in out.collect()) == ["1", "2", "None"]
     plan = plan_of(out, capsys)
     assert plan[plan.index("Join"):].count("Aggregate") >= 4, plan  # both sides, before and after their shuffles
+
+
+def test_few_groups_meet_their_statistics_in_parts(spark, capsys):
+    """One crop and one fraction: neither the crop's mean nor the group's range gathers the rows."""
+    from harvestline.functions.ranking import with_bucket
+    from harvestline.operators.scores import sample_fraction_curve
+
+    rows = [(1, "A", float(k)) for k in range(1, 1000)] + [(2, None, 5.0), (2, None, 15.0), (2, "B", None)]
+    scores = spark.createDataFrame(rows, "fraction int, crop string, score double")
+    found = {r.fraction: r for r in sample_fraction_curve(scores).collect()}
+    assert abs(found[1].median - 1) < 1e-12 and abs(found[1]["mean"] - 1) < 1e-12 and found[1].n == 999
+    assert abs(found[2].median - 1) < 1e-12 and abs(found[2]["std"] - 0.5) < 1e-12 and found[2].n == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "_part" in plan_of(sample_fraction_curve(scores), capsys)
+        counts = scores.where("score is not null").select(F.struct("fraction").alias("_g"), F.col("score").alias("_v"))
+        placed = with_bucket(counts, F.col("_v"), sums={"_sv": F.col("_v")})
+        assert placed.where("_g.fraction = 1").select("_sv").distinct().collect() == [(999 * 500.0,)]
+        assert placed.where("_g.fraction = 1").agg(F.min("_bucket"), F.max("_bucket")).first() == (0, 4095)
+        assert "hashpartitioning(_g" in (plan := plan_of(placed, capsys)) and "_salt" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
