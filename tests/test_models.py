@@ -228,3 +228,31 @@ def test_registered_searches_are_whole(monkeypatch):
     assert not {"draws", "folds"} & (called["random_search"][1].keys() | called["tuning_compare"][1].keys())
     assert called["tuning_compare"][0][2] == [1, 2, 3, 4] and called["transfer_country_year"][0][1] == ["a", "b", "c"]
     assert called["folds"] == 3 and [len(x) for x in called["grid_search_boosted"][0][2].values()] == [3, 3, 3]
+
+
+def gappy(spark, n=240):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"region_id": [f"r{i}" for i in range(n)], "c_year": 2000 + np.arange(n) % 4, **{c: rng.normal(size=n) + 100 for c in FEATS}})
+    pdf["yield"] = pdf.evi_LT1 * 2 - pdf.t2m_LT2 + rng.normal(size=n)
+    pdf.loc[rng.random(n) < 0.2, "evi_LT1"] = np.nan
+    return pdf, spark.createDataFrame(pdf).replace(float("nan"), None)
+
+
+def test_least_squares_of_all_folds_take_their_sums_from_one_scan(spark, monkeypatch):
+    pdf, df = gappy(spark)
+    fits = []
+    real = M.fit_predict
+    monkeypatch.setattr(M, "fit_predict", lambda *a, **kw: fits.append(a[2]) or real(*a, **kw))
+    sets = {"two": FEATS[:2], "all": FEATS}
+    df = df.withColumn("copy", F.col("evi_LT2") * 2)
+    out = M.leave_one_group(df, M.linear, sets, groups=[2000, 2001, 2003]).toPandas()
+    assert not fits and len(out) == 2 * 180 and out.columns.tolist() == [*KEYS, "y_true", "y_pred", "setup", "fold"]
+    for (setup, fold), got in out.groupby(["setup", "fold"]):
+        train, test = pdf[pdf.c_year != fold], pdf[pdf.c_year == fold].set_index("region_id").loc[got.region_id]
+        mean = train[sets[setup]].mean()
+        x = lambda t: np.column_stack([np.ones(len(t)), t[sets[setup]].fillna(mean)])
+        assert np.allclose(x(test) @ np.linalg.lstsq(x(train), train["yield"], rcond=None)[0], got.y_pred, atol=1e-6)
+    # what the sums leave undetermined, and penalties, are fitted to the rows
+    M.leave_one_group(df, M.linear, {"dependent": ["evi_LT2", "copy"]}, groups=[2000])
+    M.leave_one_group(df, lambda: M.lasso(0.1), {"two": FEATS[:2]}, groups=[2000])
+    assert fits == [["evi_LT2", "copy"], FEATS[:2]]
