@@ -256,3 +256,22 @@ def test_least_squares_of_all_folds_take_their_sums_from_one_scan(spark, monkeyp
     M.leave_one_group(df, M.linear, {"dependent": ["evi_LT2", "copy"]}, groups=[2000])
     M.leave_one_group(df, lambda: M.lasso(0.1), {"two": FEATS[:2]}, groups=[2000])
     assert fits == [["evi_LT2", "copy"], FEATS[:2]]
+
+
+def test_search_prepares_each_fold_once(spark, monkeypatch):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import Imputer
+    from pyspark.ml.tuning import CrossValidator
+
+    _, df = gappy(spark)
+    data = df.withColumn("label", F.col("yield")).withColumn("fold", F.col("c_year") - 2000).withColumn("fold", F.col("fold").cast("int")).coalesce(1)
+    tree, maps = M.forest(3, 3), [{"maxDepth": 1}, {"maxDepth": 3}]
+    cv = CrossValidator(estimator=M.scaled_fit(tree, FEATS), estimatorParamMaps=[{tree.maxDepth: m["maxDepth"]} for m in maps], numFolds=4,
+                        foldCol="fold", evaluator=RegressionEvaluator(labelCol="label", predictionCol="y_pred", metricName="rmse"))
+    wanted = cv.fit(data).avgMetrics
+    fits, real = [], Imputer.fit
+    monkeypatch.setattr(Imputer, "fit", lambda self, *a, **kw: fits.append(1) or real(self, *a, **kw))
+    found = {r.setting: r.score for r in M._search(data, tree, maps, FEATS, "yield", "fold", 4, "rmse").collect()}
+    assert len(fits) == 4 and np.allclose([found[0], found[1]], wanted, rtol=1e-9)
+    with pytest.raises(ValueError):
+        M._search(data, tree, maps, FEATS, "yield", "fold", 5, "rmse")
