@@ -275,3 +275,14 @@ def test_search_prepares_each_fold_once(spark, monkeypatch):
     assert len(fits) == 4 and np.allclose([found[0], found[1]], wanted, rtol=1e-9)
     with pytest.raises(ValueError):
         M._search(data, tree, maps, FEATS, "yield", "fold", 5, "rmse")
+
+
+def test_leads_are_tuned_side_by_side(spark, monkeypatch):
+    import threading
+
+    _, df = gappy(spark)
+    both = threading.Barrier(2)
+    names = lambda d, known, keep, *a, **kw: both.wait(60) * 0 or spark.createDataFrame([(f, True) for f in known[:keep]], "feature string, selected boolean")
+    monkeypatch.setattr(M, "rfe", names)
+    out = M.tuning_compare(df.coalesce(1), FEATS, [1, 2], space={"maxDepth": [1, 2]}, draws=2, folds=2, keep=1, make=lambda: M.forest(2, 2)).collect()
+    assert sorted((r.lead, r.setup, r.n) for r in out) == sorted((n, s, 240) for n in (1, 2) for s in ("default", "selected", "tuned", "both"))
