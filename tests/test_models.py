@@ -286,3 +286,14 @@ def test_leads_are_tuned_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(M, "rfe", names)
     out = M.tuning_compare(df.coalesce(1), FEATS, [1, 2], space={"maxDepth": [1, 2]}, draws=2, folds=2, keep=1, make=lambda: M.forest(2, 2)).collect()
     assert sorted((r.lead, r.setup, r.n) for r in out) == sorted((n, s, 240) for n in (1, 2) for s in ("default", "selected", "tuned", "both"))
+
+
+def test_forest_keeps_the_nodes_of_rows(spark, monkeypatch):
+    _, df = gappy(spark)
+    df = df.coalesce(1)
+    kept, real = [], M.fit_predict
+    monkeypatch.setattr(M, "fit_predict", lambda data, estimator, *a, **kw: kept.append(estimator.getCacheNodeIds()) or real(data, estimator, *a, **kw))
+    test = F.col("c_year") == 2003
+    preds = lambda out: {r.region_id: r.y_pred for r in out.collect()}
+    found = preds(M.model_forest(df, FEATS, test, trees=5))
+    assert kept == [True] and found == preds(M.holdout(df, M.forest(5), FEATS, test)) and len(found) == 60
