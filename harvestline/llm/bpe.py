@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 
 from harvestline.llm import vectext as vt
 from harvestline.llm.chunks import CHUNK_BYTES, chunked, id_array, pack, ragged, texts, unpack
+from harvestline.llm.common import give_back, slices
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -51,18 +52,35 @@ def piece_table(path: str | None) -> pa.Array:
     return pa.array([p.encode() for p in pieces], pa.large_binary())
 
 
-def distinct_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+def distinct_words(raw: np.ndarray, off: np.ndarray, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """For a chunk: word offsets per text, the distinct word at each position, the distinct words
-    and their hashes. Two independent hashes tell words apart; if words ever share one of them
-    but not the other, other hash functions are taken."""
-    start, end, word_off = vt.words(raw, off)
+    and their hashes, in order of the hashes. Texts are taken about ``size`` bytes at a time, so
+    that only a number per word and the distinct words are held for the whole chunk. Two independent
+    hashes tell words apart; if words ever share one of them but not the other, other hash functions
+    are taken."""
     for bank in range(20, 40, 2):
-        h = vt.span_hashes(raw, start, end, bank)
-        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        second = vt.span_hashes(raw, start, end, bank + 1)
-        if (second == second[first][inverse]).all():
+        word_off, hashes, unique, check, words = [np.zeros(1, np.int64)], [], np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, object)
+        apart = True
+        for i, j in slices(off, size):
+            part = raw[off[i]:off[j]]
+            start, end, of = vt.words(part, off[i:j + 1] - off[i])
+            h, second = vt.span_hashes(part, start, end, bank), vt.span_hashes(part, start, end, bank + 1)
+            mine, first = np.unique(h, return_index=True)
+            apart = apart and bool((second == second[first][np.searchsorted(mine, h)]).all())
+            at = np.searchsorted(unique, mine)
+            known = unique[np.minimum(at, len(unique) - 1)] == mine if len(unique) else np.zeros(len(mine), bool)
+            apart = apart and bool((check[at[known]] == second[first][known]).all())
+            new, first = ~known, first[~known]
+            found = np.empty(len(first), object)
+            found[:] = [part[a:b].tobytes() for a, b in zip(start[first], end[first])]
+            unique, check, words = np.insert(unique, at[new], mine[new]), np.insert(check, at[new], second[first]), np.insert(words, at[new], found)
+            word_off.append(of[1:] + word_off[-1][-1])
+            hashes.append(h)
+        if apart:
             break
-    return word_off, inverse, [raw[a:b].tobytes() for a, b in zip(start[first], end[first])], unique
+    for k, h in enumerate(hashes):
+        hashes[k] = np.searchsorted(unique, h).astype(np.int32)
+    return np.concatenate(word_off), np.concatenate(hashes) if hashes else np.zeros(0, np.int32), words.tolist(), unique
 
 
 def questions(words: list[bytes], buckets: int) -> list[np.ndarray]:
@@ -110,6 +128,8 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, chun
         _, _, raw, off = texts(group)
         words = distinct_words(raw, off)[2]
         asked = [(b, pack(b"\n".join(words[k] for k in places))) for b, places in enumerate(questions(words, buckets)) if len(places)]
+        del words, raw, off
+        give_back()
         chunk = group.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in asked], pa.int32()), "chunk": pa.array([chunk] * len(asked), pa.int32()),
                          "words": pa.array([w for _, w in asked], pa.binary())})
@@ -145,6 +165,8 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, chun
                 out["decoded_sha256"].append(hashlib.sha256(data[piece_off[a]:max(piece_off[b] - 1, piece_off[a])]).hexdigest())
                 if with_ids:
                     out["ids"].append(flat[a:b].astype(np.int32))
+        del word_off, inverse, words, table, tables, count, first, raw, off, asked
+        give_back()
         columns = {"doc_id": id_array(ids, null), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
                    "ids_sha256": pa.array(out["ids_sha256"], pa.string()), "decoded_sha256": pa.array(out["decoded_sha256"], pa.string())}
         if with_ids:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from harvestline.llm.common import prepared, strings
+from harvestline.llm.common import give_back, prepared, strings
 
 CHUNK_BYTES = 8 << 20  # text in a chunk, about; a longer single text is a chunk of its own size
 
@@ -47,10 +47,10 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, by_text: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            raw, off = strings(batch.column(1))
             for i in range(0, batch.num_rows, 1000):
                 j = min(i + 1000, batch.num_rows)
-                blobs = [compressor.compress(raw[a:b].tobytes()) for a, b in zip(off[i:j], off[i + 1:j + 1])]
+                raw, off = strings(batch.column(1).slice(i, j - i))  # no second copy of the whole batch
+                blobs = [compressor.compress(raw[a:b].tobytes()) for a, b in zip(off, off[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(2).slice(i, j - i), batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(blobs, pa.binary())],
                     names=["chunk", "doc_id", "packed"])
@@ -65,6 +65,7 @@ def texts(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     """A chunk's texts sorted by id (null last) and content: ids, which are null, bytes, offsets."""
     if not group.num_rows:
         return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    give_back()  # what the chunk before left
     column = group.column("doc_id").combine_chunks()
     null = column.is_null().to_numpy(zero_copy_only=False)
     ids = column.fill_null(0).to_numpy(zero_copy_only=False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from harvestline.session import cut_lineage, scratch_path, ship_package
 SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
 
-__all__ = ["SPACES", "WORD", "cut_lineage", "pieces", "prepared", "remainder", "scratch_path", "slices",
+__all__ = ["SPACES", "WORD", "cut_lineage", "give_back", "pieces", "prepared", "remainder", "scratch_path", "slices",
            "stored", "strings", "table", "texts_of"]
 
 
@@ -41,6 +42,16 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def give_back() -> None:
+    """Returns the memory that this Python worker has freed to the system. Spark keeps idle workers and takes
+    them in turn, so that all would hold the peak of their last task beside those at work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not the GNU C library
+        pass
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,6 +85,9 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1
         raw, off = strings(batch.column(batch.schema.get_field_index(text)))
         for i, j in slices(off, size, rows):
             yield batch.slice(i, j - i), raw[off[i]:off[j]], off[i:j + 1] - off[i]
+        del raw, off
+    batch = None
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -305,6 +305,32 @@ def test_an_id_with_many_rows_is_spread_over_chunks(spark):
     assert sorted(got.ids_sha256) == sorted(brute_tokens(t)[1] for _, t in rows)
 
 
+def test_distinct_words_of_a_chunk_are_found_a_slice_at_a_time():
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = [b" ".join(b"w%d" % rng.randrange(300) for _ in range(2000)) + rng.choice([b"", b"\n", b" "]) for _ in range(250)] + [b"", b" "]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    bpe.distinct_words(raw[:100], np.array([0, 100]))  # tables of the hashes
+    tracemalloc.start()
+    word_off, inverse, words, hashes = bpe.distinct_words(raw, off, 100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * len(inverse)  # all numbers of all words at once took over 60 bytes a word
+    assert [words[k] for k in inverse] == b" ".join(texts).split() and len(set(words)) == len(words) == 300
+    assert word_off.tolist() == [0, *np.cumsum([len(t.split()) for t in texts])] and (np.diff(hashes.astype(float)) >= 0).all()
+
+
+def test_workers_give_freed_memory_back():
+    from harvestline.llm.common import pieces
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    blocks = [np.ones(12_000) for _ in range(3000)]  # 96 KB each: from the heap, which the last one keeps from shrinking
+    last, full = blocks[-1], held()
+    del blocks
+    assert list(pieces(iter([]))) == [] and held() < full - 200e6 and last[0] == 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_no_token_crosses_ascii_white_space(text):
