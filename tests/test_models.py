@@ -297,3 +297,16 @@ def test_forest_keeps_the_nodes_of_rows(spark, monkeypatch):
     preds = lambda out: {r.region_id: r.y_pred for r in out.collect()}
     found = preds(M.model_forest(df, FEATS, test, trees=5))
     assert kept == [True] and found == preds(M.holdout(df, M.forest(5), FEATS, test)) and len(found) == 60
+
+
+def test_fits_of_few_rows_have_few_tasks(spark, monkeypatch):
+    _, df = gappy(spark)
+    df, parts, real = df.repartition(6, "region_id"), [], M.fit_predict
+    monkeypatch.setattr(M, "fit_predict", lambda data, *a, **kw: parts.append(data.rdd.getNumPartitions()) or real(data, *a, **kw))
+    make = lambda: M.boosted(3)
+    preds = lambda: {(r.region_id, r.setup, r.fold): r.y_pred for r in M.leave_one_group(df, make, {"two": FEATS[:2]}, groups=[2000, 2001]).collect()}
+    few = preds()
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 1)
+    many = preds()
+    assert parts[:2] == [1, 1] and min(parts[2:]) > 1 and len(few) == 120 and few.keys() == many.keys()
+    assert np.allclose([few[k] for k in few], [many[k] for k in few], rtol=1e-9)
