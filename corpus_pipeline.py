@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harvestline.llm import bpe, mixing, near_dups, secret_scan, toxicity
 from harvestline.llm.common import stored, table
+from harvestline.llm.membership import without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     members = stored(groups.join(keyed.select(row_key, "doc_id"), row_key), "near-dedup-members")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", row_key)
     chosen = members.groupBy("component_id").agg(F.min(rank)[row_key].alias(row_key)).select(row_key)
-    spare = members.select(row_key).join(chosen, row_key, "left_anti")
-    return keyed.join(spare, row_key, "left_anti").select(docs.columns)
+    spare = stored(members.select(row_key).join(chosen, row_key, "left_anti"), "near-dedup-spare")
+    return without(keyed, spare, row_key).select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from harvestline.llm import vectext as vt
 from harvestline.llm.common import pieces, prepared, stored, strings
 from harvestline.llm.graph import components
+from harvestline.llm.membership import members
 from harvestline.llm.prefixes import least_partner, pairs_across, useful
 
 U = np.uint64
@@ -139,17 +140,21 @@ def may_link(percent: int) -> Column:
 
 
 def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, packed) of the documents named in ``ids`` (doc_id)."""
+    """(doc_id, packed) of the documents named in ``ids`` (doc_id). Few others are packed and shuffled."""
+    listed = members(ids, "doc_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            batch = batch.filter(pa.array(listed.may_hold(batch.column(2).to_numpy())))
             raw, off = strings(batch.column(1))
             for i in range(0, batch.num_rows, 1000):
                 j = min(i + 1000, batch.num_rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(
                     [compressor.compress(raw[a:b].tobytes()) for a, b in zip(off[i:j], off[i + 1:j + 1])], pa.binary())], names=["doc_id", "packed"])
 
-    return prepared(docs, "doc_id", "text").mapInArrow(run, "doc_id long, packed binary").join(ids, "doc_id", "left_semi")
+    rows = prepared(docs, "doc_id", "text").withColumn("place", listed.place(F.col("doc_id")))
+    return rows.mapInArrow(run, "doc_id long, packed binary").join(ids, "doc_id", "left_semi")
 
 
 def shared_postings(texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -228,7 +233,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     central = met.join(met.groupBy("node").agg(F.sum("members").alias("meetings")), "node")
     pivots = central.groupBy("key").agg(F.max_by("node", rank).alias("pivot"))
     buckets = stored(met.select("key", "node").join(pivots, "key"), "buckets")
-    ids = buckets.select("node").distinct()
+    ids = stored(buckets.select("node").distinct(), "met")
     texts = stored(packed_texts(docs, ids.withColumnRenamed("node", "doc_id")), "node-texts")
     nodes = stored(classes.select("node", "n", "sig.s0", "sig.s1", "sig.s2", "sig.bands").join(ids, "node", "left_semi"), "nodes")
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(3)])

@@ -16,6 +16,7 @@ import corpus_pipeline
 from harvestline.llm.chunks import chunked
 from harvestline.llm import archives, bpe, mixing, near_dups, substrings, toxicity, vector_search
 from harvestline.llm.graph import components
+from harvestline.llm.membership import MOST_BITS, members, without
 from harvestline.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -201,6 +202,49 @@ def test_pipeline_filters_act_on_rows(spark, tmp_path):
     assert sorted(map(str, [(r.doc_id, r.text) for r in left.collect()])) == sorted(map(str, [(5, other), (3, clean), (None, "null only " * 3), (8, None), (8, "")]))
 
 
+def text_scans_without_exchange(df):
+    """Number of scans of texts whose rows reach the result without a shuffle."""
+    above, free = [], 0
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        node = line.lstrip(" :+-")
+        depth = len(line) - len(node)
+        above = [(d, n) for d, n in above if d < depth] + [(depth, node)]
+        free += "FileScan" in node and "text" in node and not any("Exchange" in n for _, n in above)
+    return free
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    """However many rows go, those that stay are told before the join; result as by brute force."""
+    rows = near_corpus(5)
+    docs = frame(spark, rows + ODD)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)  # as with more ids than can be broadcast
+    try:
+        left = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+        assert text_scans_without_exchange(left) == 1
+        known = [r for r in ODD if r[0] is not None]
+        want = [i for i, (_, component) in brute_components(rows + known, 5, 80).items() if i == component]
+        assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(want)
+        assert left.where("doc_id is null").count() == 1
+    finally:
+        spark.conf.set(threshold, before)
+
+
+def test_rows_outside_a_list_are_told(spark):
+    ids = spark.range(0, 20_000, 7).union(spark.range(0, 700, 7)).selectExpr("cast(id as int) as key").union(spark.createDataFrame([(None,)], "key int"))
+    listed = members(ids, "key")
+    assert listed.bits < MOST_BITS
+    rows = spark.range(20_000).selectExpr("id as key", "id % 3 as other").union(spark.createDataFrame([(None, 1), (7, 2), (8, 2)], "key long, other long"))
+    places = rows.where("key is not null").select("key", listed.place(rows["key"]).alias("place")).toPandas()
+    held = listed.may_hold(places.place.to_numpy())
+    assert held[places.key % 7 == 0].all() and held[places.key % 7 > 0].mean() < 0.1
+    want = sorted(k for k in [*range(20_000), 8] if k % 7)
+    left = without(rows, ids, "key").collect()
+    assert sorted(r.key for r in left if r.key is not None) == want and sum(r.key is None for r in left) == 1
+    assert without(rows, ids.limit(0), "key").count() == rows.count()
+
+
 def test_repeated_and_no_documents(spark):
     got = near_dups.near_duplicates(frame(spark, [(4, "a b c d e f"), (4, "a b c d e f"), (2, "A b c d e f"), (9, "q")])).toPandas()
     assert sorted(zip(got.doc_id, got.component_id)) == [(2, 2), (4, 2), (4, 2), (9, 9)]
