@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from harvestline.functions.metrics import pearson
 from harvestline.functions.quantiles import attach, exact_quantiles
 from harvestline.functions.ranking import hash_rank, null_safe_join, packed, with_bucket
+from harvestline.session import cut_lineage
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str], rank: str) -> DataFrame:
@@ -27,9 +28,11 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str], rank: str) -> Dat
 
 
 def spearman_ci(df: DataFrame, target: str, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation of the target with every feature and its 95 % Fisher band."""
+    """Rank correlation of the target with every feature and its 95 % Fisher band. The rows are
+    written once, as both ranks and their buckets read them."""
     keys = [*by, "feature"]
-    long = (df.unpivot([*by, target], list(features), "feature", "x").withColumnRenamed(target, "_y")
+    rows = cut_lineage(df.select(*dict.fromkeys([*by, target, *features])))
+    long = (rows.unpivot([*by, target], list(features), "feature", "x").withColumnRenamed(target, "_y")
             .where("x is not null and _y is not null"))
     ranked = average_rank(average_rank(long, "x", keys, "_rx"), "_y", keys, "_ry")
     out = ranked.groupBy(*keys).agg(pearson("_rx", "_ry").alias("r"), F.count(F.lit(1)).alias("n"))

@@ -151,7 +151,7 @@ def _(v: Views):
 
 # --- statistics ----------------------------------------------------------------------
 
-_SPEARMAN = " UNION ALL ".join(f"SELECT '{f}' AS feature, floor(\"{f}\" * 7.3) AS x, \"yield\" AS y FROM features WHERE \"{f}\" IS NOT NULL" for f in FEATURES[-4:])
+_SPEARMAN = " UNION ALL ".join(f"SELECT '{f}' AS feature, floor(\"{f}\" * 7.3) AS x, \"yield\" AS y FROM features WHERE \"{f}\" IS NOT NULL" for f in FEATURES)
 _AVG_RANK = "rank() OVER (PARTITION BY feature ORDER BY {c}) + (count(*) OVER (PARTITION BY feature, {c}) - 1) / 2.0"
 
 
@@ -160,8 +160,7 @@ _AVG_RANK = "rank() OVER (PARTITION BY feature ORDER BY {c}) + (count(*) OVER (P
            tanh(atanh(r) + 1.96 / sqrt(n - 3)) - tanh(atanh(r) - 1.96 / sqrt(n - 3)) AS width, n FROM (SELECT feature, corr(rx, ry) AS r, count(*) AS n FROM
            (SELECT feature, {_AVG_RANK.format(c='x')} AS rx, {_AVG_RANK.format(c='y')} AS ry FROM ({_SPEARMAN})) GROUP BY 1)""", "features")
 def _(v: Views):
-    cols = FEATURES[-4:]
-    return T.spearman_ci(v.features.withColumns({c: F.floor(F.col(c) * 7.3).cast("double") for c in cols}), "yield", cols)
+    return T.spearman_ci(v.features.withColumns({c: F.floor(F.col(c) * 7.3).cast("double") for c in FEATURES}), "yield", FEATURES)
 
 
 @query("pearson_matrix", "feature_a feature_b r:d",

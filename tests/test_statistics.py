@@ -129,3 +129,25 @@ def test_conformed_tables_hold_no_nan(spark):
     df = spark.createDataFrame([(1, "p", "2020-01-01", float("nan")), (2, "p", "2020-01-02", 1.5)], "region_id int, param string, obs_date string, value double")
     out = B.conform(df, SERIES)
     assert out.schema == SERIES and [r.value for r in out.orderBy("region_id").collect()] == [None, 1.5]
+
+
+def test_registered_rank_correlation_has_every_predictor(spark, tmp_path):
+    """One row for each of the 16 predictors, as in the query's SQL."""
+    import duckdb
+
+    import __spark_entry__ as registry
+    from harvestline.registry.views import FEATURES
+
+    rng = np.random.default_rng(5)
+    n = 900
+    rows = [(int(i), int(i % 40), int(i % 30), 1, float(q), float(p), float(d) / 100, float(t) / 100, "R", "2000-%02d-05" % (i % 12 + 1))
+            for i, (q, p, d, t) in enumerate(zip(rng.integers(1, 50, n), rng.uniform(900, 90000, n).round(2), rng.integers(0, 10, n), rng.integers(0, 8, n)))]
+    cols = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, day string"
+    table = spark.createDataFrame(rows, cols).withColumn("l_shipdate", F.to_timestamp("day")).drop("day")
+    table.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.queries()["spearman_ci"](spark, str(tmp_path)).collect()
+    assert sorted(r.feature for r in got) == sorted(FEATURES)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    wanted = {r[0]: r[1:] for r in con.execute(registry.oracle_sql()["spearman_ci"]).fetchall()}
+    assert wanted == {r.feature: tuple(r)[1:] for r in got}
