@@ -310,3 +310,57 @@ def test_fits_of_few_rows_have_few_tasks(spark, monkeypatch):
     many = preds()
     assert parts[:2] == [1, 1] and min(parts[2:]) > 1 and len(few) == 120 and few.keys() == many.keys()
     assert np.allclose([few[k] for k in few], [many[k] for k in few], rtol=1e-9)
+
+
+def small_network(hidden=(8, 6), n=150, kind=float, **kw):
+    rng = np.random.default_rng(8)
+    x, h = rng.normal(size=(n, 4)), np.sort(rng.integers(-1 << 62, 1 << 62, n))
+    job = mlp.Job("j", range(4), None, hidden=hidden, **kw)
+    net = mlp.Net(mlp._initial(job), [0, 1, 2, 3], x.mean(0), x.std(0), 0.0, 1.0)
+    return mlp.State(net, job, job.rate, False, keep=net.layers), mlp.Rows(net, x, x[:, 0] - x[:, 1], np.ones(n, np.int64) + (h % 3), h, kind)
+
+
+@pytest.mark.parametrize("kw", [{}, {"dropout": 0.3}, {"trainable": 2}, {"optimizer": "sgd", "trainable": 1}, {"hidden": ()}, {"batch": 16}])
+def test_steps_of_several_networks_are_those_of_one(kw):
+    """Three epochs of the plain steps, and of the same network among others of its shape; one has fewer rows."""
+    alone, rows = small_network(**kw)
+    together = [small_network(**{**kw, "seed": 42 if i == 1 else i, "dropout": kw.get("dropout", 0.0) * (i != 2), "n": 70 if i == 2 else 150}) for i in range(3)]
+    for epoch in range(3):
+        mlp._epoch(alone, rows, epoch)
+        mlp._epoch_together([s for s, _ in together], [r for _, r in together], epoch)
+    same = together[1][0]
+    assert alone.steps == same.steps and np.allclose(mlp._flat(alone.net.layers), mlp._flat(same.net.layers), atol=1e-10)
+    assert np.allclose(alone.m, same.m, atol=1e-10) and (kw.get("optimizer") or np.allclose(alone.v, same.v, atol=1e-10))
+
+
+def test_no_weight_stays_subnormal():
+    state, rows = small_network(kind=np.float32)
+    state.net.layers[0][0][:2], state.net.layers[1][0][3] = 3e-39, -2e-40
+    state.rate = 1e-9
+    mlp._epoch_together([state], [rows], 0)
+    flat = np.abs(mlp._flat(state.net.layers)).astype(np.float32)
+    assert not ((flat > 0) & (flat < np.finfo(np.float32).tiny)).any() and np.isfinite(flat).all()
+
+
+def test_jobs_that_differ_in_name_only_share_a_network(panel, monkeypatch):
+    _, df = panel
+    trained, real = [], mlp._fit_group
+    monkeypatch.setattr(mlp, "_fit_group", lambda d, f, y, jobs: trained.extend(j.name for j in jobs) or real(d, f, y, jobs))
+    train = lambda c, y: X.role_conditions("all", c, y)["train"]
+    jobs = [mlp.Job(f"{c}|{y}", range(4), train(c, y), hidden=(6,), epochs=2) for c in ("UA", "AT") for y in (2010, 2011)]
+    jobs += [mlp.Job("text", range(4), F.col("c_year") == "1", epochs=2), mlp.Job("number", range(4), F.col("c_year") == 1, epochs=2)]
+    nets = mlp.fit_jobs(df, FEATS, "yield", jobs)
+    assert trained == ["UA|2010", "UA|2011", "text", "number"] and set(nets) == {j.name for j in jobs[:4]}
+    alone = mlp.fit_jobs(df, FEATS, "yield", [jobs[2]])["AT|2010"]
+    assert np.allclose(mlp._flat(nets["AT|2010"].layers), mlp._flat(alone.layers), atol=1e-9)
+
+
+def test_packed_cells_hold_all_rows(panel):
+    pdf, df = panel
+    jobs = [mlp.Job(str(c), range(4), F.col("c_year") < 2016, F.col("c_year") == c) for c in (2016, 2017)]
+    cells, groups = mlp._cells(mlp._training_table(df, FEATS, "yield", jobs), 2, 3, [0, 0])
+    rows = [mlp._unpacked(r.data, r.rows, 4, 2) for r in mlp._packed(cells, 4, 2).collect()]
+    assert groups == 1 and len(rows) == 3
+    assert np.allclose(np.sort(np.concatenate([r[1] for r in rows])), np.sort(pdf["yield"]))
+    assert sum((r[4] == 1).sum() for r in rows) == 2 * 288 and sum((r[4] == 2).sum() for r in rows) == 2 * 48
+    assert all((np.diff(r[2]) > 0).all() and (r[3] == 1).all() and r[0].shape[1] == 4 for r in rows)
