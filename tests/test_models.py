@@ -364,3 +364,31 @@ def test_packed_cells_hold_all_rows(panel):
     assert np.allclose(np.sort(np.concatenate([r[1] for r in rows])), np.sort(pdf["yield"]))
     assert sum((r[4] == 1).sum() for r in rows) == 2 * 288 and sum((r[4] == 2).sum() for r in rows) == 2 * 48
     assert all((np.diff(r[2]) > 0).all() and (r[3] == 1).all() and r[0].shape[1] == 4 for r in rows)
+
+
+def test_fits_on_all_features_serve_where_all_are_selected(spark, monkeypatch):
+    """At the last lead two features are known and two are kept; fits on all features go beside the selection."""
+    import threading
+
+    _, df = gappy(spark)
+    both, sets, real = threading.Barrier(2), [], M.leave_one_group
+
+    def names(d, known, keep, *a, **kw):
+        if len(known) == 4:
+            both.wait(60)
+        return spark.createDataFrame([(f, True) for f in known[:keep]], "feature string, selected boolean")
+
+    def folds(data, make, chosen, *a, **kw):
+        (setup, cols), = chosen.items()
+        sets.append((setup, len(cols)))
+        if setup == "default" and len(cols) == 4:
+            both.wait(60)
+        return real(data, make, chosen, *a, **kw)
+
+    monkeypatch.setattr(M, "rfe", names)
+    monkeypatch.setattr(M, "leave_one_group", folds)
+    out = M.tuning_compare(df.coalesce(1), FEATS, [1, 2], space={"maxDepth": [1, 2]}, draws=2, folds=2, keep=2, make=lambda: M.forest(2, 2)).toPandas()
+    assert sorted(sets) == sorted([(s, 4) for s in ("default", "tuned")] + [(s, 2) for s in ("default", "tuned", "selected", "both")])
+    assert sorted(zip(out.lead, out.setup, out.n)) == sorted((n, s, 240) for n in (1, 2) for s in ("default", "selected", "tuned", "both"))
+    last = out[out.lead == 2].set_index("setup").ev
+    assert last["selected"] == last["default"] and last["both"] == last["tuned"]
